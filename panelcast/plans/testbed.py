@@ -27,7 +27,7 @@ from panelcast.operators.profile import (
     silhouette_sweep,
 )
 from panelcast.operators.share import breakdown, collapse_small, distribution, equals, group_share, pivot_share
-from panelcast.sources.tables import table
+from panelcast.sources.tables import TableCache
 
 # Category values of the test tables used as parameters.
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
@@ -38,6 +38,13 @@ SEGMENT_ORDER = ["MACHINERY", "HOUSEHOLD", "FURNITURE", "BUILDING"]
 SEED = 42
 
 
+_TABLES = TableCache()
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return _TABLES.get(spark, d, name)
+
+
 def _r(c: str, places: int) -> F.Column:
     return F.round(F.col(c), places).alias(c)
 

@@ -2,10 +2,11 @@
 
 from panelcast.sources.jdbc import jdbc_options, read_jdbc
 from panelcast.sources.sinks import checkpoint_dir, materialize, write_result
-from panelcast.sources.tables import TEST_TABLES, load_tables, table
+from panelcast.sources.tables import TEST_TABLES, TableCache, load_tables, table
 
 __all__ = [
     "TEST_TABLES",
+    "TableCache",
     "checkpoint_dir",
     "jdbc_options",
     "load_tables",

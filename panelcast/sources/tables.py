@@ -22,6 +22,25 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(root, f"{name}.parquet"))
 
 
+class TableCache:
+    """Lazily read tables, one DataFrame per (session, path).
+
+    Reading a parquet table lists its files and reads footers on the driver;
+    reusing the DataFrame for later queries skips that work, as a catalog
+    table would.  Files changed after the first read are not seen.
+    """
+
+    def __init__(self):
+        self._dfs: dict[tuple[str, str], DataFrame] = {}
+
+    def get(self, spark: SparkSession, root: str, name: str) -> DataFrame:
+        k = (spark.sparkContext.applicationId, os.path.join(os.path.abspath(root), name))
+        df = self._dfs.get(k)
+        if df is None:
+            df = self._dfs[k] = table(spark, root, name)
+        return df
+
+
 def load_tables(spark: SparkSession, root: str, names: Iterable[str] | None = None) -> dict[str, DataFrame]:
     """Dict of lazily read tables.  ``names`` defaults to every ``*.parquet``
     entry under ``root``."""

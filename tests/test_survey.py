@@ -1,0 +1,114 @@
+"""Each named analysis on the survey-shaped fixture; expected
+values worked out by hand from tests/fixtures.py."""
+
+import pytest
+
+from panelcast.plans import survey as S
+from test_fanout import literal_avg, literal_fanout
+
+
+def test_q_ai1_industry_shares(survey):
+    rows = S.ai_use_by_industry(survey).collect()
+    assert [r.Industry for r in rows] == ["Fintech", "Healthcare"]  # 'Other: consulting' has no answers
+    f, h = rows
+    assert (f.Yes, f["No, but I plan to soon"], f["No, and I don't plan to"], f.NA) == (50.0, 25.0, 25.0, 0.0)
+    # Healthcare's NULL answer stays in the denominator (K1): 2 + 1 of 4.
+    assert (h.Yes, h["No, but I plan to soon"], h["No, and I don't plan to"]) == (50.0, 25.0, 0.0)
+
+
+def test_q_ai2_devtype_shares(survey):
+    rows = S.ai_use_by_devtype(survey).collect()
+    assert [r.DevType for r in rows] == ["Senior Executive (C-Suite, VP, etc.)", "Developer, front-end",
+                                         "Developer, back-end"]
+    assert rows[1].Yes == pytest.approx(200 / 3)
+    assert rows[2]["No, but I plan to soon"] == pytest.approx(40.0)
+    assert "NA" not in rows[0].asDict()
+
+
+def test_q_ai3_trust_order(survey):
+    got = [(r.AIAcc, r["count"]) for r in S.ai_trust(survey).collect()]
+    assert got == [("Highly trust", 3), ("Somewhat trust", 2), ("Neither trust nor distrust", 1),
+                   ("Somewhat distrust", 1), ("Highly distrust", 1), ("Bogus level", 1)]
+
+
+def test_q_ai4_threat(survey):
+    assert dict(S.ai_threat(survey).collect()) == {"Yes": 4, "No": 4, "I'm not sure": 2}
+
+
+def test_q_ai5_ai6_details(survey):
+    dev, ind = S.ai_threat_details(survey, "I'm not sure")
+    assert dict(dev.collect()) == {"Developer, front-end": 2}
+    assert dict(ind.collect()) == {"Fintech": 1, "Healthcare": 1}
+    dev, ind = S.ai_trust_details(survey, "Highly trust")
+    assert sum(r["count"] for r in dev.collect()) == 3
+    assert dict(ind.collect()) == {"Fintech": 2, "Healthcare": 1}
+
+
+@pytest.mark.parametrize("fn,dim,exclude,keep_null", [
+    (S.avg_salary_by_education, "EdLevel", ["Something else"], False),
+    (S.avg_salary_by_learn_code, "learn_code_method", ["Not Specified"], False),
+    (S.avg_salary_by_years_code_pro, "YearsCodePro", [], True),
+    (S.avg_salary_by_dev_type, "DevType", ["Other (please specify):", "NA"], False),
+    (S.avg_salary_by_industry, "Industry", ["Other:", "NA"], False),
+    (S.avg_salary_by_programming_language, "programming_language", [], True),
+])
+def test_q_co3_to_co8(survey, fn, dim, exclude, keep_null):
+    got = {r[dim]: r.average_salary for r in fn(S.salary_base(survey)).collect()}
+    assert got == pytest.approx(literal_avg(literal_fanout(), dim, exclude, keep_null))
+
+
+def test_q_co2_histogram(survey):
+    h = S.salary_histogram(S.salary_base(survey)).collect()
+    assert len(h) == 100 and sum(r.cnt for r in h) == len(literal_fanout())
+
+
+def test_q_ed1_ed2(survey):
+    assert sorted(r.ResponseId for r in S.clean_respondents(survey).collect()) == [1, 2, 3, 4, 5, 10, 11, 12]
+    assert S.learn_code_methods(survey).count() == 13
+
+
+def test_q_ed3_ed4_flows(survey):
+    f = S.pathway_pair_flows(survey).collect()
+    per_hop = {}
+    for r in f:
+        per_hop[r.hop] = per_hop.get(r.hop, 0) + r["count"]
+    assert per_hop == {0: 11, 1: 11, 2: 11}
+    graphs = S.pathway_graphs(survey)
+    nodes, links = graphs["DevType"]
+    labels = {r.label for r in nodes.collect()}
+    assert "Colleague" in labels and "  Colleague\t" not in labels
+    assert sum(r.value for r in links.collect()) == 22
+
+
+def test_q_ed5_indicator_matrix(survey):
+    long = S.indicator_matrix(survey)
+    assert sorted({r.ResponseId for r in long.collect()}) == [1, 2, 4, 5, 10, 11, 12]
+    assert long.count() == 31
+    labels = {r.label for r in long.collect()}
+    assert {"Bachelor degree", "Books or physical media", "Senior Executive"} <= labels
+
+
+def test_q_ed6_ed7_associations(survey):
+    top = S.education_industry_associations(survey).collect()
+    assert len(top) == 10
+    bsc = S.association_grid(S._universe(survey), "ResponseId", "EdLevel", "Industry",
+                             ["Bachelor degree"], ["Fintech"]).first()
+    assert (bsc.n, bsc.r, bsc.k, bsc.n11) == (7, 4, 3, 2)
+    assert bsc.v == pytest.approx(2 / 12)
+    dev = S.education_devtype_associations(survey).collect()
+    assert len(dev) == 10 and all(r.v is None or 0 <= r.v <= 1 for r in dev)
+
+
+def test_q_ed8_ed9_ed10_ml(survey):
+    c = S.respondent_clusters(survey).collect()
+    assert len(c) == 7 and {r.cluster for r in c} <= {0, 1, 2}
+    p = S.cluster_projection(survey).collect()
+    assert len(p) == 7
+    sweep = S.cluster_count_sweep(survey, ks=[2, 3]).collect()
+    assert all(-1 <= r.silhouette <= 1 for r in sweep)
+
+
+def test_q_tt(survey):
+    out = S.technology_trends(survey)
+    assert set(out) == {"ProgrammingLanguage", "Database"}
+    assert [r.name for r in out["ProgrammingLanguage"].collect()] == ["Python", "Rust", "SQL", "Go"]
