@@ -95,37 +95,53 @@ def association_grid(
     Result: ``feature, target, n11, r, k, n, v``; |features| x |targets| rows.
     """
     spark = df.sparkSession
+    fl = _labels(spark, "feature", list(features))
+    tl = _labels(spark, "target", list(targets))
+    grid = fl.select("feature", F.explode(F.array(*[F.lit(t) for t in targets])).alias("target"))
     if multi_valued:
         d = df.select(qcol(entity).alias("_e"), qcol(x).alias("_x"), qcol(y).alias("_y")).distinct()
         cnt = F.count_distinct("_e")
         n_total = d.agg(F.count_distinct("_e")).scalar()
-        r = d.groupBy(F.col("_x").alias("feature")).agg(cnt.alias("r"))
+        r = d.groupBy(F.col("_x").alias("feature")).agg(cnt.alias("r")).withColumn("n", n_total)
         k = d.groupBy(F.col("_y").alias("target")).agg(cnt.alias("k"))
         n11 = d.groupBy(F.col("_x").alias("feature"), F.col("_y").alias("target")).agg(cnt.alias("n11"))
+        g = (
+            grid.join(n11, ["feature", "target"], "left")
+            .join(r, "feature", "left")
+            .join(k, "target", "left")
+            .withColumn("n", F.max("n").over(Window.partitionBy()))
+        )
     else:
-        # One aggregate of the data; r, k and n are sums over its cells.
+        # One aggregate of the data, then one window chain over its cells:
+        # marginals r, k and the universe size n (which also counts NULL and
+        # unlisted values).  Every branch below reads the cells through the
+        # unpartitioned n window, which no filter can pass, so the cells'
+        # exchange is identical in all branches and Spark reuses it: the
+        # data are read once.  The windows see cells, never data rows.
         cells = df.groupBy(qcol(x).alias("feature"), qcol(y).alias("target")).agg(
             F.count(F.lit(1)).alias("n11")
         )
-        n_total = cells.agg(F.sum("n11")).scalar()
-        r = cells.groupBy("feature").agg(F.sum("n11").alias("r"))
-        k = cells.groupBy("target").agg(F.sum("n11").alias("k"))
-        n11 = cells
-    fl = _labels(spark, "feature", list(features))
-    tl = _labels(spark, "target", list(targets))
-    grid = fl.select("feature", F.explode(F.array(*[F.lit(t) for t in targets])).alias("target"))
-    g = (
-        grid.join(n11.filter(F.col("feature").isNotNull() & F.col("target").isNotNull()), ["feature", "target"], "left")
-        .join(r.join(fl, "feature", "left_semi"), "feature", "left")
-        .join(k.join(tl, "target", "left_semi"), "target", "left")
-        .select(
-            "feature",
-            "target",
-            F.coalesce("n11", F.lit(0)).cast("long").alias("n11"),
-            F.coalesce("r", F.lit(0)).cast("long").alias("r"),
-            F.coalesce("k", F.lit(0)).cast("long").alias("k"),
-            F.coalesce(n_total, F.lit(0)).cast("long").alias("n"),
+        w = (
+            cells.withColumn("r", F.sum("n11").over(Window.partitionBy("feature")))
+            .withColumn("k", F.sum("n11").over(Window.partitionBy("target")))
+            .withColumn("n", F.sum("n11").over(Window.partitionBy()))
+        )
+        fr = w.groupBy("feature").agg(F.max("r").alias("r"), F.max("n").alias("_nf"))
+        tk = w.groupBy("target").agg(F.max("k").alias("k"), F.max("n").alias("_nt"))
+        g = (
+            grid.join(w.select("feature", "target", "n11", F.col("n").alias("_nc")), ["feature", "target"], "left")
+            .join(fr, "feature", "left")
+            .join(tk, "target", "left")
+            # Labels absent from the data still belong to the same universe.
+            .withColumn("n", F.max(F.coalesce("_nc", "_nf", "_nt")).over(Window.partitionBy()))
         )
+    g = g.select(
+        "feature",
+        "target",
+        F.coalesce("n11", F.lit(0)).cast("long").alias("n11"),
+        F.coalesce("r", F.lit(0)).cast("long").alias("r"),
+        F.coalesce("k", F.lit(0)).cast("long").alias("k"),
+        F.coalesce("n", F.lit(0)).cast("long").alias("n"),
     )
     n, a, rr, kk = (F.col(c).cast("double") for c in ("n", "n11", "r", "k"))
     den = F.sqrt(rr * (n - rr) * kk * (n - kk))

@@ -2,95 +2,113 @@
 A11, U2-U4, P15).
 
 A pathway is a list of columns ``[a, b, c, ...]``; hop i counts rows per
-``(layer_i, layer_i+1)`` pair.  All hops come from one aggregate of the input
-at the finest grain (every pathway column), so an expensive input such as a
-join is computed once; the hop tables re-aggregate that small result and
-share its exchange.
+``(layer_i, layer_i+1)`` value pair.
+
+Plan shape: every row is exploded into one small struct per hop and all hops
+are counted by ONE ``groupBy(hop, source, target)``.  Partial aggregation
+runs before the single shuffle, so the input (typically a large join) is
+read once and a hot pair costs one row per task in the shuffle.  Node ids
+are ranked on the exploded link ends of the (small) aggregated flows; links
+are re-paired by their own key, so no branch of the plan re-reads the input.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelcast.functions.missing import clean_label, qcol
 
 
-def pair_flows(df: DataFrame, pairs: Sequence[tuple[str, str]], count_col: str = "count") -> DataFrame:
+def _lab(c: str | Column, strip: bool) -> Column:
+    col = (qcol(c) if isinstance(c, str) else c).cast("string")
+    return clean_label(col) if strip else col
+
+
+def pair_flows(df: DataFrame, pairs: Sequence[tuple[str, str]], count_col: str = "count",
+               strip: bool = False) -> DataFrame:
     """Row counts per (source, target) value pair for each column pair.
 
     Result: ``hop`` (index into ``pairs``), ``source``, ``target``, ``count``;
-    labels are cast to string so that hops of different types stack.
+    labels are cast to string so that hops of different types stack.  With
+    ``strip`` labels lose surrounding whitespace before counting (P15).
     """
-    cols = list(dict.fromkeys(c for p in pairs for c in p))
-    fine = df.groupBy(*[qcol(c) for c in cols]).agg(F.count(F.lit(1)).alias("_n"))
-    hops = [
-        fine.groupBy(qcol(a), qcol(b)).agg(F.sum("_n").alias(count_col)).select(
-            F.lit(i).alias("hop"),
-            qcol(a).cast("string").alias("source"),
-            qcol(b).cast("string").alias("target"),
-            F.col(count_col),
-        )
+    hops = F.array(*[
+        F.struct(F.lit(i).alias("hop"), _lab(a, strip).alias("source"), _lab(b, strip).alias("target"))
         for i, (a, b) in enumerate(pairs)
-    ]
-    return reduce(DataFrame.unionByName, hops)
+    ])
+    return (
+        df.select(F.explode(hops).alias("_h"))
+        .groupBy(F.col("_h.hop").alias("hop"), F.col("_h.source").alias("source"), F.col("_h.target").alias("target"))
+        .agg(F.count(F.lit(1)).alias(count_col))
+    )
 
 
-def pathway(df: DataFrame, layers: Sequence[str], count_col: str = "count") -> DataFrame:
+def pathway(df: DataFrame, layers: Sequence[str], count_col: str = "count", strip: bool = False) -> DataFrame:
     """Flows along consecutive layers (G2): hop i goes from ``layers[i]`` to
-    ``layers[i+1]``.  Two pathways sharing a first hop are two calls; the
-    shared aggregate is planned once per call."""
+    ``layers[i+1]``.  Two pathways sharing a first hop are two calls."""
     if len(layers) < 2:
         raise ValueError("a pathway needs at least two layers")
-    return pair_flows(df, list(zip(layers[:-1], layers[1:])), count_col)
+    return pair_flows(df, list(zip(layers[:-1], layers[1:])), count_col, strip)
 
 
 def _clean(flows: DataFrame, count_col: str, strip: bool) -> DataFrame:
     """Strip labels, then re-sum links that became equal."""
-    src = clean_label("source") if strip else F.col("source")
-    tgt = clean_label("target") if strip else F.col("target")
+    if not strip:
+        return flows.select("hop", "source", "target", F.col(count_col))
     return (
-        flows.select("hop", src.alias("source"), tgt.alias("target"), F.col(count_col))
-        .groupBy("hop", "source", "target")
+        flows.groupBy("hop", clean_label("source").alias("source"), clean_label("target").alias("target"))
         .agg(F.sum(count_col).alias(count_col))
     )
 
 
+def _ends(f: DataFrame, count_col: str) -> DataFrame:
+    """One row per link end: ``hop, source, target, count, role, layer, label``."""
+    end = F.array(
+        F.struct(F.lit(0).alias("role"), F.col("hop").alias("layer"), F.col("source").alias("label")),
+        F.struct(F.lit(1).alias("role"), (F.col("hop") + 1).alias("layer"), F.col("target").alias("label")),
+    )
+    return f.select("hop", "source", "target", count_col, F.explode(end).alias("_e")).select(
+        "hop", "source", "target", count_col, "_e.role", "_e.layer", "_e.label"
+    )
+
+
+def _node_id(ends: DataFrame, merge_labels: bool) -> DataFrame:
+    """Adds ``node_id`` (0-based, in (layer, label) order) and ``node_layer``.
+
+    The ranking window sees link ends of the aggregated flows only -- at
+    most two rows per distinct (source, target) pair of category labels,
+    never the data rows.
+    """
+    if merge_labels:
+        ends = ends.withColumn("node_layer", F.min("layer").over(Window.partitionBy("label")))
+    else:
+        ends = ends.withColumn("node_layer", F.col("layer"))
+    rank = F.dense_rank().over(Window.orderBy("node_layer", "label")) - 1
+    return ends.withColumn("node_id", rank.cast("long"))
+
+
 def flow_nodes(flows: DataFrame, count_col: str = "count", strip: bool = True, merge_labels: bool = False) -> DataFrame:
-    """Distinct nodes with integer ids from 0.
+    """Distinct nodes with integer ids from 0 (G4, U4): ``node_id, layer, label``.
 
     A node is ``(layer, label)``: the source of hop i sits in layer i, its
     target in layer i+1 (K11).  ``merge_labels=True`` makes one node per label
     across layers, as the reference does; its ``layer`` is the first one.
-    Ids follow (layer, label) order.  The ranking window sees only the
-    distinct node labels (categories of the pathway columns), never the data
-    rows.
     """
-    f = _clean(flows, count_col, strip)
-    ends = f.select(F.col("hop").alias("layer"), F.col("source").alias("label")).unionByName(
-        f.select((F.col("hop") + 1).alias("layer"), F.col("target").alias("label"))
-    )
-    if merge_labels:
-        nodes = ends.groupBy("label").agg(F.min("layer").alias("layer"))
-    else:
-        nodes = ends.distinct()
-    rank = F.dense_rank().over(Window.orderBy("layer", "label")) - 1
-    return nodes.select(rank.cast("long").alias("node_id"), "layer", "label")
+    ends = _node_id(_ends(_clean(flows, count_col, strip), count_col), merge_labels)
+    return ends.select("node_id", F.col("node_layer").alias("layer"), "label").distinct()
 
 
 def flow_links(flows: DataFrame, count_col: str = "count", strip: bool = True, merge_labels: bool = False) -> DataFrame:
-    """Links rewritten to node ids: ``source_id, target_id, value``."""
-    f = _clean(flows, count_col, strip)
-    nodes = flow_nodes(flows, count_col, strip, merge_labels)
-    if merge_labels:
-        s = nodes.select(F.col("label").alias("source"), F.col("node_id").alias("source_id"))
-        t = nodes.select(F.col("label").alias("target"), F.col("node_id").alias("target_id"))
-        j = f.join(s, "source").join(t, "target")
-    else:
-        s = nodes.select(F.col("layer").alias("hop"), F.col("label").alias("source"), F.col("node_id").alias("source_id"))
-        t = nodes.select((F.col("layer") - 1).alias("hop"), F.col("label").alias("target"), F.col("node_id").alias("target_id"))
-        j = f.join(s, ["hop", "source"]).join(t, ["hop", "target"])
-    return j.groupBy("source_id", "target_id").agg(F.sum(count_col).alias("value"))
+    """Links rewritten to node ids: ``source_id, target_id, value``.
+
+    Ids equal those of :func:`flow_nodes` on the same flows.
+    """
+    ends = _node_id(_ends(_clean(flows, count_col, strip), count_col), merge_labels)
+    links = ends.groupBy("hop", "source", "target", count_col).agg(
+        F.max(F.when(F.col("role") == 0, F.col("node_id"))).alias("source_id"),
+        F.max(F.when(F.col("role") == 1, F.col("node_id"))).alias("target_id"),
+    )
+    return links.groupBy("source_id", "target_id").agg(F.sum(count_col).alias("value"))

@@ -6,9 +6,11 @@ and ML vectors are built from label sets with a fixed vocabulary, so no data
 value ever becomes a column name.
 
 ``cluster_profiles``, ``project_2d`` and ``silhouette_sweep`` fit Spark ML
-models, which run jobs when called.  Their input vectors are persisted once
-(MEMORY_AND_DISK: partitions lost with an executor are recomputed from
-lineage) and released after the fit.
+models, which run jobs when called.  The normalised vectors are written once
+as a reliable checkpoint in the shared ``spark.checkpoint.dir`` (lineage cut:
+a lost executor costs a re-read, not a re-run of the input pipeline); the
+iterative fits, the projection and the returned assignments all read that
+copy.
 """
 
 from __future__ import annotations
@@ -20,10 +22,11 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, CountVectorizerModel, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelcast.functions.missing import qcol, relabel
+from panelcast.sources.sinks import materialize
 
 
 def indicator_long(
@@ -40,32 +43,36 @@ def indicator_long(
 
     Single-choice ``attrs`` of the entity table give one row per non-NULL
     answer; ``bridge_labels`` (``key, bridge_label``) give one row per distinct
-    label of an entity.  With ``require_bridge`` only entities that have at
-    least one bridge label are kept (the reference's inner join), via a
-    semi join on the key instead of joining wide tables.  ``rename`` relabels
-    values (not columns).
+    label of an entity.  Only entities of the entity table count, and with
+    ``require_bridge`` only those with at least one bridge label (the
+    reference's inner join of pivots).  ``rename`` relabels values.
+
+    Plan: entity rows (plus one marker row per entity) and bridge rows are
+    stacked, de-duplicated with map-side partial aggregation (a hot entity's
+    repeated labels collapse before the shuffle), and a window by key keeps
+    the keys present on both sides.  Each input is read once; a window
+    partition holds one entity's distinct labels.
     """
     rename = rename or {}
-    ent = entities
-    if bridge_labels is not None and require_bridge:
-        ent = ent.join(bridge_labels.select(qcol(key)), key, "left_semi")
-    pairs = F.array(*[F.struct(F.lit(a).alias("feature"), qcol(a).cast("string").alias("label")) for a in attrs])
-    parts = (
-        ent.select(qcol(key), F.explode(pairs).alias("_p"))
-        .select(qcol(key), F.col("_p.feature").alias("feature"), F.col("_p.label").alias("label"))
-        .filter(F.col("label").isNotNull())
+    marker = F.struct(F.lit(None).cast("string").alias("feature"), F.lit(None).cast("string").alias("label"))
+    pairs = F.array(marker, *[F.struct(F.lit(a).alias("feature"), qcol(a).cast("string").alias("label"))
+                              for a in attrs])
+    rows = entities.select(qcol(key), F.explode(pairs).alias("_p"), F.lit(0).alias("_src")).select(
+        qcol(key), F.col("_p.feature").alias("feature"), F.col("_p.label").alias("label"), "_src"
     )
     if bridge_labels is not None:
-        b = (
-            bridge_labels.filter(qcol(bridge_label).isNotNull())
-            .groupBy(qcol(key), qcol(bridge_label).cast("string").alias("label"))
-            .agg(F.lit(bridge_feature).alias("feature"))
-            .select(qcol(key), "feature", "label")
-            # Labels of entities filtered out of the entity table do not count.
-            .join(entities.select(qcol(key)), key, "left_semi")
+        b = bridge_labels.filter(qcol(bridge_label).isNotNull()).select(
+            qcol(key), F.lit(bridge_feature).alias("feature"), qcol(bridge_label).cast("string").alias("label"),
+            F.lit(1).alias("_src"),
         )
-        parts = parts.unionByName(b)
-    return parts.select(qcol(key), "feature", relabel("label", rename).alias("label"))
+        rows = rows.unionByName(b)
+    rows = rows.distinct()
+    w = Window.partitionBy(qcol(key))
+    keep = F.max((F.col("_src") == 0).cast("int")).over(w) == 1
+    if bridge_labels is not None and require_bridge:
+        keep = keep & (F.max(F.col("_src")).over(w) == 1)
+    out = rows.withColumn("_keep", keep).filter(F.col("_keep") & F.col("label").isNotNull())
+    return out.select(qcol(key), "feature", relabel("label", rename).alias("label"))
 
 
 def indicator_wide(long: DataFrame, key: str, values: Sequence[str]) -> DataFrame:
@@ -113,14 +120,10 @@ def cluster_profiles(
 
     ``seed`` is required: an unseeded KMeans changes between processes (T13).
     """
-    norm = normalized(vectors, features_col).select(qcol(key), "normalized_features")
-    norm = norm.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        model = KMeans(featuresCol="normalized_features", predictionCol="cluster", k=k, seed=seed,
-                       maxIter=max_iter).fit(norm)
-    finally:
-        norm.unpersist()
-    return model.transform(normalized(vectors, features_col)).select(qcol(key), "cluster", "normalized_features")
+    norm = materialize(normalized(vectors, features_col).select(qcol(key), "normalized_features"))
+    model = KMeans(featuresCol="normalized_features", predictionCol="cluster", k=k, seed=seed,
+                   maxIter=max_iter).fit(norm)
+    return model.transform(norm).select(qcol(key), "cluster", "normalized_features")
 
 
 def project_2d(clustered: DataFrame, key: str, features_col: str = "normalized_features") -> DataFrame:
@@ -131,11 +134,7 @@ def project_2d(clustered: DataFrame, key: str, features_col: str = "normalized_f
     we fix them so that each component's largest-magnitude loading is
     positive.  The d x 2 loading matrix is the only thing read on the driver.
     """
-    data = clustered.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        model = PCA(k=2, inputCol=features_col, outputCol="_pca").fit(data)
-    finally:
-        data.unpersist()
+    model = PCA(k=2, inputCol=features_col, outputCol="_pca").fit(clustered)
     pc = model.pc.toArray()
     signs = []
     for j in range(2):
@@ -162,7 +161,7 @@ def silhouette_sweep(
     and evaluation is a distributed Spark ML job over the persisted vectors;
     the result has one row per k.
     """
-    norm = normalized(vectors, features_col).select("normalized_features")
+    norm = materialize(normalized(vectors, features_col).select("normalized_features"))
     norm = norm.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         ev = ClusteringEvaluator(featuresCol="normalized_features", predictionCol="cluster",
