@@ -128,9 +128,15 @@ def relabel(c: str | Column, mapping: Mapping[str, str]) -> Column:
     return F.coalesce(F.try_element_at(m, col), col)
 
 
+# Every character ``str.strip()`` removes (all lie below U+3001), by rule.
+WHITESPACE = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())
+
+
 def clean_label(c: str | Column) -> Column:
-    """Strip leading and trailing whitespace of any kind.
+    """Strip leading and trailing whitespace of any kind, as ``str.strip()``
+    does (P15).
 
-    ``F.trim`` removes spaces only; tabs and newlines need the regex.
+    ``F.trim`` removes spaces only; ``btrim`` with the whitespace set also
+    removes tabs, newlines and Unicode spaces, without a regex.
     """
-    return F.regexp_replace(as_col(c), r"(?U)^\s+|\s+$", "")
+    return F.btrim(as_col(c), F.lit(WHITESPACE))

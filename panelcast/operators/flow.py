@@ -55,13 +55,18 @@ def pathway(df: DataFrame, layers: Sequence[str], count_col: str = "count", stri
 
 
 def _clean(flows: DataFrame, count_col: str, strip: bool) -> DataFrame:
-    """Strip labels, then re-sum links that became equal."""
-    if not strip:
-        return flows.select("hop", "source", "target", F.col(count_col))
-    return (
-        flows.groupBy("hop", clean_label("source").alias("source"), clean_label("target").alias("target"))
-        .agg(F.sum(count_col).alias(count_col))
-    )
+    """Strip labels, then re-sum links that became equal.
+
+    Links without positive flow are dropped.  Because that filter reads the
+    count, the optimizer keeps the flows' own aggregate even when only the
+    labels are wanted (node lists), so labels are stripped once per link,
+    never once per data row.
+    """
+    if strip:
+        flows = flows.groupBy("hop", clean_label("source").alias("source"), clean_label("target").alias("target")).agg(
+            F.sum(count_col).alias(count_col)
+        )
+    return flows.select("hop", "source", "target", F.col(count_col)).filter(F.col(count_col) > 0)
 
 
 def _ends(f: DataFrame, count_col: str) -> DataFrame:
