@@ -16,6 +16,7 @@ copy.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
@@ -154,22 +155,29 @@ def silhouette_sweep(
     seed: int,
     features_col: str = "features",
     distance: str = "cosine",
+    concurrent_fits: int = 8,
 ) -> DataFrame:
     """Cosine silhouette of KMeans for each k (M9): ``k, silhouette``.
 
     The default ``ks`` is 3..50, the sweep the reference describes.  Each fit
-    and evaluation is a distributed Spark ML job over the persisted vectors;
-    the result has one row per k.
+    and evaluation is a distributed Spark ML job over the checkpointed
+    vectors.  The fits are independent, so up to ``concurrent_fits`` of them
+    are submitted at once from driver threads; Spark interleaves their tasks
+    (only the k values are looped over on the driver, never data).  Each
+    fit's result is a single score; the output has one row per k.
     """
     norm = materialize(normalized(vectors, features_col).select("normalized_features"))
     norm = norm.persist(StorageLevel.MEMORY_AND_DISK)
+    ev = ClusteringEvaluator(featuresCol="normalized_features", predictionCol="cluster",
+                             metricName="silhouette", distanceMeasure=distance)
+
+    def score(k: int) -> tuple[int, float]:
+        model = KMeans(featuresCol="normalized_features", predictionCol="cluster", k=int(k), seed=seed).fit(norm)
+        return int(k), float(ev.evaluate(model.transform(norm)))
+
     try:
-        ev = ClusteringEvaluator(featuresCol="normalized_features", predictionCol="cluster",
-                                 metricName="silhouette", distanceMeasure=distance)
-        scores = []
-        for k in ks:
-            model = KMeans(featuresCol="normalized_features", predictionCol="cluster", k=int(k), seed=seed).fit(norm)
-            scores.append((int(k), float(ev.evaluate(model.transform(norm)))))
+        with ThreadPoolExecutor(max_workers=max(1, concurrent_fits)) as pool:
+            scores = list(pool.map(score, list(ks)))
     finally:
         norm.unpersist()
     return vectors.sparkSession.createDataFrame(scores, "k int, silhouette double")
