@@ -28,30 +28,45 @@ def _lab(c: str | Column, strip: bool) -> Column:
 
 
 def pair_flows(df: DataFrame, pairs: Sequence[tuple[str, str]], count_col: str = "count",
-               strip: bool = False) -> DataFrame:
+               strip: bool = False, weight: str | None = None) -> DataFrame:
     """Row counts per (source, target) value pair for each column pair.
 
     Result: ``hop`` (index into ``pairs``), ``source``, ``target``, ``count``;
     labels are cast to string so that hops of different types stack.  With
     ``strip`` labels lose surrounding whitespace before counting (P15).
+    ``weight`` names a column of row multiplicities (see :func:`bridge_weights`);
+    each row then counts that many times.
     """
     hops = F.array(*[
         F.struct(F.lit(i).alias("hop"), _lab(a, strip).alias("source"), _lab(b, strip).alias("target"))
         for i, (a, b) in enumerate(pairs)
     ])
+    w = F.lit(1).alias("_w") if weight is None else qcol(weight).cast("long").alias("_w")
     return (
-        df.select(F.explode(hops).alias("_h"))
+        df.select(F.explode(hops).alias("_h"), w)
         .groupBy(F.col("_h.hop").alias("hop"), F.col("_h.source").alias("source"), F.col("_h.target").alias("target"))
-        .agg(F.count(F.lit(1)).alias(count_col))
+        .agg(F.sum("_w").alias(count_col))
     )
 
 
-def pathway(df: DataFrame, layers: Sequence[str], count_col: str = "count", strip: bool = False) -> DataFrame:
+def bridge_weights(labels: DataFrame, key: str, label: str, weight: str = "mult") -> DataFrame:
+    """``key, label, mult``: how often each entity names each label.
+
+    Joining this (instead of raw bridge rows) to the entity table keeps the
+    flow counts of the literal join while an entity with a huge number of
+    bridge rows arrives at the join as one row per distinct label; the
+    counting is pre-aggregated map-side.
+    """
+    return labels.groupBy(qcol(key), qcol(label)).agg(F.count(F.lit(1)).alias(weight))
+
+
+def pathway(df: DataFrame, layers: Sequence[str], count_col: str = "count", strip: bool = False,
+            weight: str | None = None) -> DataFrame:
     """Flows along consecutive layers (G2): hop i goes from ``layers[i]`` to
     ``layers[i+1]``.  Two pathways sharing a first hop are two calls."""
     if len(layers) < 2:
         raise ValueError("a pathway needs at least two layers")
-    return pair_flows(df, list(zip(layers[:-1], layers[1:])), count_col, strip)
+    return pair_flows(df, list(zip(layers[:-1], layers[1:])), count_col, strip, weight)
 
 
 def _clean(flows: DataFrame, count_col: str, strip: bool) -> DataFrame:

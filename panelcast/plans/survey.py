@@ -18,7 +18,7 @@ from panelcast.functions.missing import NULLS, Missing, drop_missing, qcol, rela
 from panelcast.operators.adoption import adoption_vs_demand
 from panelcast.operators.association import association_grid, top_associations
 from panelcast.operators.fanout import Bridge, FanoutBase, decode, fanout_base, grouped_avg, histogram
-from panelcast.operators.flow import flow_links, flow_nodes, pair_flows, pathway
+from panelcast.operators.flow import bridge_weights, flow_links, flow_nodes, pair_flows, pathway
 from panelcast.operators.profile import (
     cluster_profiles,
     indicator_long,
@@ -228,12 +228,14 @@ def learn_code_methods(t: Tables) -> DataFrame:
 
 
 def _combined(t: Tables) -> DataFrame:
-    return learn_code_methods(t).join(clean_respondents(t), KEY)
+    """Respondents joined with their learning methods, one row per distinct
+    (respondent, method) with its multiplicity ``mult``."""
+    return bridge_weights(learn_code_methods(t), KEY, "name").join(clean_respondents(t), KEY)
 
 
 def pathway_pair_flows(t: Tables) -> DataFrame:
     """Q-ED3: education -> method, method -> developer type, method -> industry."""
-    return pair_flows(_combined(t), [("EdLevel", "name"), ("name", "DevType"), ("name", "Industry")])
+    return pair_flows(_combined(t), [("EdLevel", "name"), ("name", "DevType"), ("name", "Industry")], weight="mult")
 
 
 def pathway_graphs(t: Tables) -> dict[str, tuple[DataFrame, DataFrame]]:
@@ -241,7 +243,7 @@ def pathway_graphs(t: Tables) -> dict[str, tuple[DataFrame, DataFrame]]:
     comb = _combined(t)
     out = {}
     for last in ("DevType", "Industry"):
-        flows = pathway(comb, ["EdLevel", "name", last])
+        flows = pathway(comb, ["EdLevel", "name", last], weight="mult")
         out[last] = (flow_nodes(flows), flow_links(flows))
     return out
 

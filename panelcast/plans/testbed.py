@@ -16,7 +16,7 @@ from panelcast.functions.missing import NULLS, Missing, drop_missing
 from panelcast.operators.adoption import adoption_vs_demand
 from panelcast.operators.association import association_grid, contingency, cramers_v, top_associations
 from panelcast.operators.fanout import Bridge, decode, fanout_base, grouped_avg, histogram
-from panelcast.operators.flow import flow_links, flow_nodes, pair_flows, pathway
+from panelcast.operators.flow import bridge_weights, flow_links, flow_nodes, pair_flows, pathway
 from panelcast.operators.profile import (
     array_vectors,
     cluster_profiles,
@@ -216,7 +216,9 @@ def _combined(spark, d):
     ent = table(spark, d, "orders").join(
         table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment"), "o_custkey"
     ).select("o_orderkey", "c_mktsegment", "o_orderpriority", "o_orderstatus")
-    return _part_types(spark, d).join(ent, "o_orderkey")
+    # Bridge rows pre-aggregated per (order, part type); "mult" keeps the
+    # row count of the literal join.
+    return bridge_weights(_part_types(spark, d), "o_orderkey", "p_type").join(ent, "o_orderkey")
 
 
 PATHWAY = ["c_mktsegment", "p_type", "o_orderpriority"]
@@ -224,15 +226,15 @@ PATHWAY = ["c_mktsegment", "p_type", "o_orderpriority"]
 
 def q_pair_flows(spark, d):
     pairs = [("c_mktsegment", "p_type"), ("p_type", "o_orderpriority"), ("p_type", "o_orderstatus")]
-    return pair_flows(_combined(spark, d), pairs)
+    return pair_flows(_combined(spark, d), pairs, weight="mult")
 
 
 def q_flow_nodes(spark, d):
-    return flow_nodes(pathway(_combined(spark, d), PATHWAY))
+    return flow_nodes(pathway(_combined(spark, d), PATHWAY, weight="mult"))
 
 
 def q_flow_links(spark, d):
-    return flow_links(pathway(_combined(spark, d), PATHWAY))
+    return flow_links(pathway(_combined(spark, d), PATHWAY, weight="mult"))
 
 
 # ---------------------------------------------------------------- indicators
