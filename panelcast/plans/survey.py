@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.functions.missing import NULLS, Missing, drop_missing, qcol, relabel
+from panelcast.functions.missing import NULLS, Missing, drop_missing, relabel
 from panelcast.operators.adoption import adoption_vs_demand
 from panelcast.operators.association import association_grid, top_associations
 from panelcast.operators.fanout import Bridge, FanoutBase, decode, fanout_base, grouped_avg, histogram
@@ -314,4 +314,4 @@ def technology_trends(t: Tables) -> dict[str, DataFrame]:
             if bridge in t and bridge + WANT_SUFFIX in t and lookup in t}
 
 
-__all__ = [n for n in dir() if not n.startswith("_") and n not in ("annotations", "F", "DataFrame", "qcol")]
+__all__ = [n for n in dir() if not n.startswith("_") and n not in ("annotations", "F", "DataFrame")]
