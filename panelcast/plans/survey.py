@@ -313,5 +313,3 @@ def technology_trends(t: Tables) -> dict[str, DataFrame]:
     return {lookup: technology_trend(t, bridge, lookup) for bridge, lookup in TECHNOLOGY_FAMILIES
             if bridge in t and bridge + WANT_SUFFIX in t and lookup in t}
 
-
-__all__ = [n for n in dir() if not n.startswith("_") and n not in ("annotations", "F", "DataFrame")]
