@@ -46,19 +46,22 @@ class Missing:
     def answered(self, c: str | Column) -> Column:
         """Predicate that is true exactly for answered (non-missing) values.
 
-        Never evaluates to NULL, so it can be negated safely.
+        Never evaluates to NULL, so it can be negated safely, and it is built
+        from ``IS [NOT] NULL``, ``NOT IN`` and ``NOT STARTSWITH`` so that the
+        parquet reader receives it as pushed filters.
         """
         col = as_col(c)
         checks = []
         if self.values:
             checks.append(~col.isin(*self.values))
         checks.extend(~col.startswith(p) for p in self.prefixes)
+        if self.nulls:
+            # FALSE AND NULL is FALSE: a NULL value never leaks through.
+            return reduce(lambda a, b: a & b, checks, col.isNotNull())
         if not checks:
-            ok = F.lit(True)
-        else:
-            ok = reduce(lambda a, b: a & b, checks)
-        # A NULL value is answered only when nulls are not treated as missing.
-        return F.when(col.isNull(), F.lit(not self.nulls)).otherwise(ok)
+            return F.lit(True)
+        # TRUE OR NULL is TRUE: a NULL value always counts as answered.
+        return col.isNull() | reduce(lambda a, b: a & b, checks)
 
 
 NONE = Missing(nulls=False)

@@ -53,3 +53,9 @@ def test_each_table_read_once(plans, name):
 def test_filters_reach_the_scan(plans):
     assert "PushedFilters: [IsNotNull(o_totalprice), GreaterThan(o_totalprice,0.0), LessThan(o_totalprice,400000.0)" \
         in plans["avg_by_attribute_entity"]
+
+
+def test_missing_answer_filters_reach_the_scan(plans):
+    assert "PushedFilters: [IsNotNull(o_orderpriority), Not(EqualTo(o_orderpriority,5-LOW))]" in plans["group_share"]
+    assert "IsNotNull(c_mktsegment)" in plans["distribution_ordered"]
+    assert "Not(StringStartsWith(source,src1))" in plans["clean_entities"]
