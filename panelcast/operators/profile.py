@@ -23,7 +23,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, CountVectorizerModel, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.functions.missing import qcol, relabel
@@ -49,41 +49,45 @@ def indicator_long(
     reference's inner join of pivots).  ``rename`` relabels values.
 
     Plan: entity rows (plus one marker row per entity) and bridge rows are
-    stacked, de-duplicated with map-side partial aggregation (a hot entity's
-    repeated labels collapse before the shuffle), and a window by key keeps
-    the keys present on both sides.  Each input is read once; a window
-    partition holds one entity's distinct labels.
+    stacked and gathered into one set per entity with ``collect_set``, which
+    merges map-side, so a hot entity's repeated labels collapse before the
+    single shuffle by key.  A set holds an entity's distinct answers -- at
+    most its attributes plus the distinct labels of the bridge vocabulary.
+    Entities are kept by testing the set (entity side present, bridge side
+    present) and the set is exploded back to rows.  Each input is read once.
     """
     rename = rename or {}
-    marker = F.struct(F.lit(None).cast("string").alias("feature"), F.lit(None).cast("string").alias("label"))
-    pairs = F.array(marker, *[F.struct(F.lit(a).alias("feature"), qcol(a).cast("string").alias("label"))
-                              for a in attrs])
-    rows = entities.select(qcol(key), F.explode(pairs).alias("_p"), F.lit(0).alias("_src")).select(
-        qcol(key), F.col("_p.feature").alias("feature"), F.col("_p.label").alias("label"), "_src"
-    )
+
+    def item(feature, label, src):
+        return F.struct(feature.alias("feature"), label.alias("label"), F.lit(src).alias("src"))
+
+    marker = item(F.lit(None).cast("string"), F.lit(None).cast("string"), 0)
+    pairs = F.array(marker, *[item(F.lit(a), qcol(a).cast("string"), 0) for a in attrs])
+    rows = entities.select(qcol(key), F.explode(pairs).alias("_p"))
     if bridge_labels is not None:
         b = bridge_labels.filter(qcol(bridge_label).isNotNull()).select(
-            qcol(key), F.lit(bridge_feature).alias("feature"), qcol(bridge_label).cast("string").alias("label"),
-            F.lit(1).alias("_src"),
+            qcol(key), item(F.lit(bridge_feature), qcol(bridge_label).cast("string"), 1).alias("_p")
         )
         rows = rows.unionByName(b)
-    rows = rows.distinct()
-    w = Window.partitionBy(qcol(key))
-    keep = F.max((F.col("_src") == 0).cast("int")).over(w) == 1
+    sets = rows.groupBy(qcol(key)).agg(F.collect_set("_p").alias("_ps"))
+    keep = F.exists("_ps", lambda x: x["src"] == 0)
     if bridge_labels is not None and require_bridge:
-        keep = keep & (F.max(F.col("_src")).over(w) == 1)
-    out = rows.withColumn("_keep", keep).filter(F.col("_keep") & F.col("label").isNotNull())
-    return out.select(qcol(key), "feature", relabel("label", rename).alias("label"))
+        keep = keep & F.exists("_ps", lambda x: x["src"] == 1)
+    out = sets.filter(keep).select(qcol(key), F.explode("_ps").alias("_p")).filter(F.col("_p.label").isNotNull())
+    return out.select(qcol(key), F.col("_p.feature").alias("feature"), relabel(F.col("_p.label"), rename).alias("label"))
 
 
 def indicator_wide(long: DataFrame, key: str, values: Sequence[str]) -> DataFrame:
     """One row per entity, one 0/1 column per listed label.
 
     Labels off the list are ignored; a listed label nobody has is all 0.
+    Written as one conditional aggregate per label -- what a pivot with an
+    explicit value list does -- in a single hash aggregation by entity.
     """
-    values = list(values)
-    wide = long.groupBy(qcol(key)).pivot("label", values).agg(F.max(F.lit(1)))
-    return wide.select(qcol(key), *[F.coalesce(qcol(v), F.lit(0)).cast("int").alias(v) for v in values])
+    lab = F.col("label")
+    return long.groupBy(qcol(key)).agg(*[
+        F.max((lab == F.lit(v)).cast("int")).alias(str(v)) for v in values
+    ])
 
 
 def indicator_vectors(long: DataFrame, key: str, vocab: Sequence[str], out_col: str = "features") -> DataFrame:
