@@ -189,8 +189,8 @@ def grouped_avg(
 def histogram(
     df: DataFrame,
     col: str | Column,
-    lo: float,
-    hi: float,
+    lo: float | None,
+    hi: float | None,
     bins: int,
     weight: str | Column | None = None,
     fill_empty: bool = True,
@@ -200,16 +200,28 @@ def histogram(
 
     Bin i covers ``[lo + i*w, lo + (i+1)*w)`` with ``w = (hi - lo) / bins``; the
     last bin also holds ``hi``; values outside the range or NULL are left out.
+    ``lo``/``hi`` = None take the data's minimum/maximum (as a chart library
+    does), computed as scalar subqueries of one min/max aggregate.
     ``weight`` sums a weight column instead of counting rows (fan-out base).
     ``fill_empty`` adds empty bins with count 0.  The counts have at most
     ``bins`` rows, so the fill join is small whatever the input size.
     """
-    if bins <= 0 or not hi > lo:
-        raise ValueError("need bins > 0 and hi > lo")
-    width = (hi - lo) / bins
+    if bins <= 0:
+        raise ValueError("need bins > 0")
     x = as_col(col).cast("double")
-    b = F.least(F.floor((x - F.lit(float(lo))) / F.lit(width)), F.lit(bins - 1)).cast("long")
-    rows = df.filter(x.isNotNull() & (x >= F.lit(float(lo))) & (x <= F.lit(float(hi))))
+    if lo is None or hi is None:
+        rng = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"))
+        lo_c = F.lit(float(lo)) if lo is not None else rng.select("lo").scalar()
+        hi_c = F.lit(float(hi)) if hi is not None else rng.select("hi").scalar()
+    else:
+        if not hi > lo:
+            raise ValueError("need hi > lo")
+        lo_c, hi_c = F.lit(float(lo)), F.lit(float(hi))
+    width = (hi_c - lo_c) / F.lit(float(bins))
+    # A degenerate range (all values equal) puts everything in bin 0.
+    raw = F.when(width > 0, F.floor((x - lo_c) / width)).otherwise(F.lit(0))
+    b = F.least(raw, F.lit(bins - 1)).cast("long")
+    rows = df.filter(x.isNotNull() & (x >= lo_c) & (x <= hi_c))
     val = F.count(F.lit(1)) if weight is None else F.sum(as_col(weight).cast("long"))
     counts = rows.groupBy(b.alias("bin")).agg(val.alias(count_col))
     if fill_empty:
@@ -217,7 +229,7 @@ def histogram(
         counts = all_bins.join(counts, "bin", "left").select("bin", F.coalesce(count_col, F.lit(0)).alias(count_col))
     return counts.select(
         "bin",
-        (F.lit(float(lo)) + F.col("bin") * F.lit(width)).alias("bin_lo"),
-        (F.lit(float(lo)) + (F.col("bin") + 1) * F.lit(width)).alias("bin_hi"),
+        (lo_c + F.col("bin") * width).alias("bin_lo"),
+        (lo_c + (F.col("bin") + 1) * width).alias("bin_hi"),
         count_col,
     )

@@ -121,3 +121,11 @@ def test_decode_inner_and_left(survey):
     left = decode(t["RespondentLearnCode"], "ResponseId", "id", t["LearnCode"], "id", "name", how="left")
     assert inner.count() == len(RESPONDENT_LEARN_CODE) - 1  # id 99 is dangling
     assert left.filter("name IS NULL").count() == 1
+
+
+def test_histogram_data_range(spark):
+    df = spark.createDataFrame([(2.0,), (4.0,), (6.0,), (10.0,), (None,)], "x double")
+    h = {r.bin: (r.bin_lo, r.bin_hi, r.cnt) for r in histogram(df, "x", None, None, 4).collect()}
+    assert h == {0: (2.0, 4.0, 1), 1: (4.0, 6.0, 1), 2: (6.0, 8.0, 1), 3: (8.0, 10.0, 1)}
+    same = spark.createDataFrame([(3.0,), (3.0,)], "x double")
+    assert [(r.bin, r.cnt) for r in histogram(same, "x", None, None, 2).orderBy("bin").collect()] == [(0, 2), (1, 0)]
