@@ -13,6 +13,7 @@ from panelcast.functions.missing import (
     qcol,
     relabel,
 )
+from panelcast.functions.ranking import dense_index
 
 __all__ = [
     "NONE",
@@ -20,6 +21,7 @@ __all__ = [
     "Missing",
     "as_col",
     "clean_label",
+    "dense_index",
     "drop_missing",
     "excluding",
     "in_open_range",

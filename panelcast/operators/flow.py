@@ -8,18 +8,20 @@ Plan shape: every row is exploded into one small struct per hop and all hops
 are counted by ONE ``groupBy(hop, source, target)``.  Partial aggregation
 runs before the single shuffle, so the input (typically a large join) is
 read once and a hot pair costs one row per task in the shuffle.  Node ids
-are ranked on the exploded link ends of the (small) aggregated flows; links
-are re-paired by their own key, so no branch of the plan re-reads the input.
+come from a distributed dense index over the distinct link ends of the
+aggregated flows; links join that index, and both branches share the
+flows' exchange, so no branch of the plan re-reads the input.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.functions.missing import clean_label, qcol
+from panelcast.functions.ranking import dense_index
 
 
 def _lab(c: str | Column, strip: bool) -> Column:
@@ -84,30 +86,19 @@ def _clean(flows: DataFrame, count_col: str, strip: bool) -> DataFrame:
     return flows.select("hop", "source", "target", F.col(count_col)).filter(F.col(count_col) > 0)
 
 
-def _ends(f: DataFrame, count_col: str) -> DataFrame:
-    """One row per link end: ``hop, source, target, count, role, layer, label``."""
-    end = F.array(
-        F.struct(F.lit(0).alias("role"), F.col("hop").alias("layer"), F.col("source").alias("label")),
-        F.struct(F.lit(1).alias("role"), (F.col("hop") + 1).alias("layer"), F.col("target").alias("label")),
-    )
-    return f.select("hop", "source", "target", count_col, F.explode(end).alias("_e")).select(
-        "hop", "source", "target", count_col, "_e.role", "_e.layer", "_e.label"
-    )
-
-
-def _node_id(ends: DataFrame, merge_labels: bool) -> DataFrame:
-    """Adds ``node_id`` (0-based, in (layer, label) order) and ``node_layer``.
-
-    The ranking window sees link ends of the aggregated flows only -- at
-    most two rows per distinct (source, target) pair of category labels,
-    never the data rows.
-    """
+def _nodes(f: DataFrame, merge_labels: bool) -> DataFrame:
+    """Distinct nodes ``node_layer, label`` with a 0-based ``node_id`` in
+    (layer, label) order.  The ids come from :func:`dense_index`, which never
+    sends all nodes to one task."""
+    ends = f.select(F.explode(F.array(
+        F.struct(F.col("hop").alias("layer"), F.col("source").alias("label")),
+        F.struct((F.col("hop") + 1).alias("layer"), F.col("target").alias("label")),
+    )).alias("_e")).select("_e.layer", "_e.label")
     if merge_labels:
-        ends = ends.withColumn("node_layer", F.min("layer").over(Window.partitionBy("label")))
+        nodes = ends.groupBy("label").agg(F.min("layer").alias("node_layer"))
     else:
-        ends = ends.withColumn("node_layer", F.col("layer"))
-    rank = F.dense_rank().over(Window.orderBy("node_layer", "label")) - 1
-    return ends.withColumn("node_id", rank.cast("long"))
+        nodes = ends.select(F.col("layer").alias("node_layer"), "label")
+    return dense_index(nodes, ["node_layer", "label"], "node_id")
 
 
 def flow_nodes(flows: DataFrame, count_col: str = "count", strip: bool = True, merge_labels: bool = False) -> DataFrame:
@@ -117,18 +108,27 @@ def flow_nodes(flows: DataFrame, count_col: str = "count", strip: bool = True, m
     target in layer i+1 (K11).  ``merge_labels=True`` makes one node per label
     across layers, as the reference does; its ``layer`` is the first one.
     """
-    ends = _node_id(_ends(_clean(flows, count_col, strip), count_col), merge_labels)
-    return ends.select("node_id", F.col("node_layer").alias("layer"), "label").distinct()
+    nodes = _nodes(_clean(flows, count_col, strip), merge_labels)
+    return nodes.select("node_id", F.col("node_layer").alias("layer"), "label")
 
 
 def flow_links(flows: DataFrame, count_col: str = "count", strip: bool = True, merge_labels: bool = False) -> DataFrame:
     """Links rewritten to node ids: ``source_id, target_id, value``.
 
-    Ids equal those of :func:`flow_nodes` on the same flows.
+    Ids equal those of :func:`flow_nodes` on the same flows.  The links and
+    the node index come from the same cleaned flows, so their exchange is
+    shared.
     """
-    ends = _node_id(_ends(_clean(flows, count_col, strip), count_col), merge_labels)
-    links = ends.groupBy("hop", "source", "target", count_col).agg(
-        F.max(F.when(F.col("role") == 0, F.col("node_id"))).alias("source_id"),
-        F.max(F.when(F.col("role") == 1, F.col("node_id"))).alias("target_id"),
-    )
-    return links.groupBy("source_id", "target_id").agg(F.sum(count_col).alias("value"))
+    f = _clean(flows, count_col, strip)
+    nodes = _nodes(f, merge_labels)
+    if merge_labels:
+        src = nodes.select(F.col("label").alias("source"), F.col("node_id").alias("source_id"))
+        tgt = nodes.select(F.col("label").alias("target"), F.col("node_id").alias("target_id"))
+        j = f.join(src, "source").join(tgt, "target")
+    else:
+        src = nodes.select(F.col("node_layer").alias("hop"), F.col("label").alias("source"),
+                           F.col("node_id").alias("source_id"))
+        tgt = nodes.select((F.col("node_layer") - 1).alias("hop"), F.col("label").alias("target"),
+                           F.col("node_id").alias("target_id"))
+        j = f.join(src, ["hop", "source"]).join(tgt, ["hop", "target"])
+    return j.groupBy("source_id", "target_id").agg(F.sum(count_col).alias("value"))

@@ -52,3 +52,15 @@ def test_clean_label_strips_tabs_and_newlines(spark):
     assert _vals(df.select(clean_label("c").alias("c")), "c") == ["a", "b"]
     # Spark's trim keeps the tab and newline.
     assert len(df.select(F.trim("c")).first()[0]) == 3
+
+
+def test_dense_index_matches_dense_rank(spark):
+    from pyspark.sql import Window
+
+    from panelcast.functions import dense_index
+
+    df = spark.range(0, 5000).select((F.col("id") % 97).alias("a"), (F.col("id") % 7).cast("string").alias("b"))
+    got = {(r.a, r.b): r.id for r in dense_index(df, ["a", "b"], partitions=5).collect()}
+    ranked = df.distinct().select("a", "b", (F.dense_rank().over(Window.orderBy("a", "b")) - 1).alias("id"))
+    assert got == {(r.a, r.b): r.id for r in ranked.collect()}
+    assert sorted(got.values()) == list(range(len(got)))
