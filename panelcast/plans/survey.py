@@ -301,15 +301,15 @@ def cluster_count_sweep(t: Tables, ks=SWEEP_KS, seed: int = SWEEP_SEED) -> DataF
 
 # ------------------------------------------------------------------ technology trends (Q-TT1 .. Q-TT9)
 
-def technology_trend(t: Tables, bridge: str, lookup: str) -> DataFrame:
+def technology_demand(t: Tables, bridge: str, lookup: str) -> DataFrame:
     """Q-TT: distinct respondents who worked with / want each technology."""
     return adoption_vs_demand(t[bridge], t[bridge + WANT_SUFFIX], KEY, "id", t[lookup], "id", "name").select(
         "name", "cnt", "want_cnt", "id"
     )
 
 
-def technology_trends(t: Tables) -> dict[str, DataFrame]:
+def technology_demand_all(t: Tables) -> dict[str, DataFrame]:
     """Q-TT1..9: one result per technology family present in ``t``."""
-    return {lookup: technology_trend(t, bridge, lookup) for bridge, lookup in TECHNOLOGY_FAMILIES
+    return {lookup: technology_demand(t, bridge, lookup) for bridge, lookup in TECHNOLOGY_FAMILIES
             if bridge in t and bridge + WANT_SUFFIX in t and lookup in t}
 

@@ -109,6 +109,6 @@ def test_q_ed8_ed9_ed10_ml(survey):
 
 
 def test_q_tt(survey):
-    out = S.technology_trends(survey)
+    out = S.technology_demand_all(survey)
     assert set(out) == {"ProgrammingLanguage", "Database"}
     assert [r.name for r in out["ProgrammingLanguage"].collect()] == ["Python", "Rust", "SQL", "Go"]
