@@ -112,28 +112,22 @@ def association_grid(
             .withColumn("n", F.max("n").over(Window.partitionBy()))
         )
     else:
-        # One aggregate of the data, then one window chain over its cells:
-        # marginals r, k and the universe size n (which also counts NULL and
-        # unlisted values).  Every branch below reads the cells through the
-        # unpartitioned n window, which no filter can pass, so the cells'
-        # exchange is identical in all branches and Spark reuses it: the
-        # data are read once.  The windows see cells, never data rows.
-        cells = df.groupBy(qcol(x).alias("feature"), qcol(y).alias("target")).agg(
-            F.count(F.lit(1)).alias("n11")
-        )
-        w = (
-            cells.withColumn("r", F.sum("n11").over(Window.partitionBy("feature")))
-            .withColumn("k", F.sum("n11").over(Window.partitionBy("target")))
-            .withColumn("n", F.sum("n11").over(Window.partitionBy()))
-        )
-        fr = w.groupBy("feature").agg(F.max("r").alias("r"), F.max("n").alias("_nf"))
-        tk = w.groupBy("target").agg(F.max("k").alias("k"), F.max("n").alias("_nt"))
+        # One aggregate of the data; the marginals r, k and the universe size
+        # n (which also counts NULL and unlisted values) are sums over its
+        # cells.  The joins below use null-safe equality, so the optimizer
+        # infers no NOT NULL filter to push under the aggregate: every branch
+        # keeps the identical cells plan, its exchange is reused, and the
+        # data are read once.  n is a scalar subquery (a global sum of
+        # partial sums); no window gathers the cells into one task.
+        cells = df.groupBy(qcol(x).alias("_cf"), qcol(y).alias("_ct")).agg(F.count(F.lit(1)).alias("n11"))
+        r = cells.groupBy(F.col("_cf").alias("_rf")).agg(F.sum("n11").alias("r"))
+        k = cells.groupBy(F.col("_ct").alias("_kt")).agg(F.sum("n11").alias("k"))
+        n_total = cells.agg(F.sum("n11")).scalar()
         g = (
-            grid.join(w.select("feature", "target", "n11", F.col("n").alias("_nc")), ["feature", "target"], "left")
-            .join(fr, "feature", "left")
-            .join(tk, "target", "left")
-            # Labels absent from the data still belong to the same universe.
-            .withColumn("n", F.max(F.coalesce("_nc", "_nf", "_nt")).over(Window.partitionBy()))
+            grid.join(cells, F.col("feature").eqNullSafe(F.col("_cf")) & F.col("target").eqNullSafe(F.col("_ct")), "left")
+            .join(r, F.col("feature").eqNullSafe(F.col("_rf")), "left")
+            .join(k, F.col("target").eqNullSafe(F.col("_kt")), "left")
+            .withColumn("n", n_total)
         )
     g = g.select(
         "feature",
