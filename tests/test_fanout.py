@@ -129,3 +129,22 @@ def test_histogram_data_range(spark):
     assert h == {0: (2.0, 4.0, 1), 1: (4.0, 6.0, 1), 2: (6.0, 8.0, 1), 3: (8.0, 10.0, 1)}
     same = spark.createDataFrame([(3.0,), (3.0,)], "x double")
     assert [(r.bin, r.cnt) for r in histogram(same, "x", None, None, 2).orderBy("bin").collect()] == [(0, 2), (1, 0)]
+
+
+def test_entity_weighting_on_bridge_dimension(base):
+    lc = dict(LEARN_CODE)
+    ents = {}
+    for r in RESPONDENTS:
+        sal = r[7]
+        if sal is not None and 0 < sal < 1000000:
+            ents[r[0]] = sal
+    acc = defaultdict(list)
+    for rid, sal in ents.items():
+        labels = {lc.get(i) for e, i in RESPONDENT_LEARN_CODE if e == rid} or {None}
+        for lab in labels:
+            acc[lab].append(sal)
+    want = {k: sum(v) / len(v) for k, v in acc.items() if k != "Not Specified"}
+    got = {r.learn_code_method: r.average
+           for r in grouped_avg(base, "learn_code_method", exclude=["Not Specified"], keep_null=True,
+                                weighting="entity").collect()}
+    assert got == pytest.approx(want)

@@ -104,3 +104,11 @@ def test_breakdown_apostrophe_filter(spark):
     df = spark.createDataFrame(rows, "threat string, dev string")
     out = dict(breakdown(df, "dev", equals("threat", "I'm not sure"), Missing(values=["NA"]), 1.5).collect())
     assert out == {"Dev": 98, "Other": 1}
+
+
+def test_pivot_share_numeric_answers(spark):
+    df = spark.createDataFrame([("g", 1), ("g", 1), ("g", 2), ("h", 2)], "g string, a int")
+    w = pivot_share(group_share(df, "g", "a"), "g", "a", [1, 2, 3], sort_by=1)
+    assert w.columns == ["g", "1", "2", "3"]
+    assert [tuple(r) for r in w.collect()] == [("g", pytest.approx(200 / 3), pytest.approx(100 / 3), 0.0),
+                                               ("h", 0.0, 100.0, 0.0)]
