@@ -25,8 +25,9 @@ def dense_index(df: DataFrame, cols: Sequence[str], id_col: str = "id", partitio
     across the two uses: a range repartition with an explicit count is never
     coalesced by AQE.
     """
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # One range partition per core by default: the distinct values are far
+    # fewer than the data rows, and every core still gets a share.
+    n = partitions or df.sparkSession.sparkContext.defaultParallelism
     keys = [qcol(c) for c in cols]
     parts = (
         df.select(*keys).distinct()
