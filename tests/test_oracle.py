@@ -38,3 +38,9 @@ def test_ml_queries_rows(spark, name):
     df = E.queries()[name](spark, SF001)
     key = df.columns[0]
     assert df.count() == df.select(key).distinct().count() > 0
+
+
+def test_silhouette_sweep_query_rows(spark):
+    rows = E.queries()["silhouette_sweep"](spark, SF001).collect()
+    assert [r.k for r in rows] == list(range(3, 51))
+    assert all(-1.0 <= r.silhouette <= 1.0 for r in rows)
