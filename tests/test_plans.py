@@ -59,3 +59,11 @@ def test_missing_answer_filters_reach_the_scan(plans):
     assert "PushedFilters: [IsNotNull(o_orderpriority), Not(EqualTo(o_orderpriority,5-LOW))]" in plans["group_share"]
     assert "IsNotNull(c_mktsegment)" in plans["distribution_ordered"]
     assert "Not(StringStartsWith(source,src1))" in plans["clean_entities"]
+
+
+def test_no_single_task_windows(plans):
+    # Grand totals are scalar subqueries; node ids come from dense_index.
+    for name in ("association_grid", "top_associations", "collapse_small", "breakdown_collapsed"):
+        assert "Window [" not in plans[name], name
+    for name in ("flow_nodes", "flow_links"):
+        assert "dense_rank" not in plans[name], name
