@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelcast.functions.missing import qcol
+from panelcast.sources.sinks import materialize
 
 
 def dense_index(df: DataFrame, cols: Sequence[str], id_col: str = "id", partitions: int | None = None) -> DataFrame:
@@ -21,9 +22,9 @@ def dense_index(df: DataFrame, cols: Sequence[str], id_col: str = "id", partitio
 
     The row number within a partition is read off
     ``monotonically_increasing_id()`` (partition index << 33 | row position),
-    so numbering needs no second shuffle.  Partition indexes are stable
-    across the two uses: a range repartition with an explicit count is never
-    coalesced by AQE.
+    so numbering needs no second shuffle.  The numbered rows are stored once
+    (``materialize``) and both uses read that copy: range bounds come from a
+    sample, so a second run of the same plan could cut elsewhere.
     """
     # One range partition per core by default: the distinct values are far
     # fewer than the data rows, and every core still gets a share.
@@ -35,6 +36,7 @@ def dense_index(df: DataFrame, cols: Sequence[str], id_col: str = "id", partitio
         .sortWithinPartitions(*keys)
         .select(*keys, F.spark_partition_id().alias("_pid"), F.monotonically_increasing_id().alias("_mid"))
     )
+    parts = materialize(parts)
     local = parts.withColumn("_pos", F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33))
     sizes = parts.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)

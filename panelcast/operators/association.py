@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.functions.missing import qcol
@@ -40,27 +40,29 @@ def contingency(df: DataFrame, x: str, y: str, count_col: str = "cnt") -> DataFr
 
 
 def cramers_v(df: DataFrame, x: str, y: str) -> DataFrame:
-    """One row: ``chi2, dof, n, v`` for columns x and y (M1)."""
-    cells = contingency(df, x, y, "_n")
-    cells = cells.select(
-        qcol(x),
-        qcol(y),
-        F.col("_n").cast("double").alias("_n"),
-        F.sum("_n").over(Window.partitionBy(qcol(x))).cast("double").alias("_r"),
-        F.sum("_n").over(Window.partitionBy(qcol(y))).cast("double").alias("_c"),
-    )
-    s = cells.agg(
-        F.sum("_n").alias("n"),
-        F.sum(F.col("_n") * F.col("_n") / (F.col("_r") * F.col("_c"))).alias("_s"),
-        F.count_distinct(qcol(x)).alias("_rows"),
-        F.count_distinct(qcol(y)).alias("_cols"),
-    )
-    chi2 = F.greatest(F.col("n") * (F.col("_s") - F.lit(1.0)), F.lit(0.0))
+    """One row: ``chi2, dof, n, v`` for columns x and y (M1).  Without rows in
+    which both are known: 0, 0, 0 and NULL."""
+    cells = contingency(df, x, y, "_n").select(qcol(x).alias("_x"), qcol(y).alias("_y"), F.col("_n").cast("double").alias("_n"))
+    r = cells.groupBy("_x").agg(F.sum("_n").alias("_r"))
+    c = cells.groupBy("_y").agg(F.sum("_n").alias("_c"))
+    n = r.agg(F.coalesce(F.sum("_r"), F.lit(0.0))).scalar()
+    # Null-safe: a plain key would add filters that set the branches' reads apart.
+    r, c = r.withColumnRenamed("_x", "_rx"), c.withColumnRenamed("_y", "_cy")
+    full = cells.join(r, F.col("_x").eqNullSafe(F.col("_rx"))).join(c, F.col("_y").eqNullSafe(F.col("_cy")))
+    e = F.col("_r") * F.col("_c") / n
+    s = full.agg(
+        F.coalesce(F.sum(F.pow(F.col("_n") - e, 2.0) / e), F.lit(0.0)).alias("_s"),
+        F.coalesce(F.sum(e), F.lit(0.0)).alias("_e"),
+        F.count_distinct("_x").alias("_rows"),
+        F.count_distinct("_y").alias("_cols"),
+    ).withColumn("n", n)
+    # An empty cell adds its expectation; all expectations add up to n.
+    chi2 = F.greatest(F.col("_s") + F.col("n") - F.col("_e"), F.lit(0.0))
     m = F.least(F.col("_rows"), F.col("_cols")) - 1
     v = F.sqrt(F.try_divide(F.try_divide(chi2, F.col("n")), m.cast("double")))
     return s.select(
         chi2.alias("chi2"),
-        ((F.col("_rows") - 1) * (F.col("_cols") - 1)).cast("long").alias("dof"),
+        (F.greatest(F.col("_rows") - 1, F.lit(0)) * F.greatest(F.col("_cols") - 1, F.lit(0))).cast("long").alias("dof"),
         F.col("n").cast("long").alias("n"),
         F.when(m > 0, v).alias("v"),
     )

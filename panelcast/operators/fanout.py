@@ -140,6 +140,7 @@ def grouped_avg(
     weighting: str = "fanout",
     sort: str | None = "value",
     avg_col: str = "average",
+    numeric_key: bool = False,
 ) -> DataFrame:
     """Mean of the measure per value of ``dim``.
 
@@ -152,6 +153,8 @@ def grouped_avg(
                   'entity': every entity counts once per group.
     sort       -- 'value' (mean ascending, then key), 'key' (key ascending,
                   NULL first) or None.
+    numeric_key -- sort='key' compares textual keys as numbers; keys that are
+                  none come after the numbers.
     """
     if weighting not in ("fanout", "entity"):
         raise ValueError("weighting must be 'fanout' or 'entity'")
@@ -180,7 +183,9 @@ def grouped_avg(
     if sort == "value":
         out = out.orderBy(F.col(avg_col).asc(), qcol(dim).asc_nulls_first())
     elif sort == "key":
-        out = out.orderBy(qcol(dim).asc_nulls_first())
+        key = qcol(dim)
+        first = [key.isNotNull(), key.try_cast("double").asc_nulls_last()] if numeric_key else []
+        out = out.orderBy(*first, key.asc_nulls_first())
     elif sort is not None:
         raise ValueError("sort must be 'value', 'key' or None")
     return out
@@ -195,11 +200,14 @@ def histogram(
     weight: str | Column | None = None,
     fill_empty: bool = True,
     count_col: str = "cnt",
+    outside: bool = False,
 ) -> DataFrame:
     """Equal-width histogram of ``col`` over ``[lo, hi]``.
 
     Bin i covers ``[lo + i*w, lo + (i+1)*w)`` with ``w = (hi - lo) / bins``; the
-    last bin also holds ``hi``; values outside the range or NULL are left out.
+    last bin also holds ``hi``.  NULL and NaN are left out; values outside the
+    range too, unless ``outside`` adds a bin -1 for those below ``lo`` and a
+    bin ``bins`` for those above ``hi``.
     ``lo``/``hi`` = None take the data's minimum/maximum (as a chart library
     does), computed as scalar subqueries of one min/max aggregate.
     ``weight`` sums a weight column instead of counting rows (fan-out base).
@@ -209,6 +217,7 @@ def histogram(
     if bins <= 0:
         raise ValueError("need bins > 0")
     x = as_col(col).cast("double")
+    df = df.filter(x.isNotNull() & ~F.isnan(x))
     if lo is None or hi is None:
         rng = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"))
         lo_c = F.lit(float(lo)) if lo is not None else rng.select("lo").scalar()
@@ -221,15 +230,19 @@ def histogram(
     # A degenerate range (all values equal) puts everything in bin 0.
     raw = F.when(width > 0, F.floor((x - lo_c) / width)).otherwise(F.lit(0))
     b = F.least(raw, F.lit(bins - 1)).cast("long")
-    rows = df.filter(x.isNotNull() & (x >= lo_c) & (x <= hi_c))
+    if outside:
+        b = F.when(x < lo_c, F.lit(-1)).when(x > hi_c, F.lit(bins)).otherwise(b).cast("long")
+        rows = df
+    else:
+        rows = df.filter((x >= lo_c) & (x <= hi_c))
     val = F.count(F.lit(1)) if weight is None else F.sum(as_col(weight).cast("long"))
     counts = rows.groupBy(b.alias("bin")).agg(val.alias(count_col))
     if fill_empty:
-        all_bins = df.sparkSession.range(bins).withColumnRenamed("id", "bin")
+        all_bins = df.sparkSession.range(-int(outside), bins + int(outside)).withColumnRenamed("id", "bin")
         counts = all_bins.join(counts, "bin", "left").select("bin", F.coalesce(count_col, F.lit(0)).alias(count_col))
     return counts.select(
         "bin",
-        (lo_c + F.col("bin") * width).alias("bin_lo"),
-        (lo_c + (F.col("bin") + 1) * width).alias("bin_hi"),
+        F.when(F.col("bin") >= 0, lo_c + F.col("bin") * width).alias("bin_lo"),
+        F.when(F.col("bin") < bins, lo_c + (F.col("bin") + 1) * width).alias("bin_hi"),
         count_col,
     )

@@ -72,18 +72,12 @@ def pathway(df: DataFrame, layers: Sequence[str], count_col: str = "count", stri
 
 
 def _clean(flows: DataFrame, count_col: str, strip: bool) -> DataFrame:
-    """Strip labels, then re-sum links that became equal.
-
-    Links without positive flow are dropped.  Because that filter reads the
-    count, the optimizer keeps the flows' own aggregate even when only the
-    labels are wanted (node lists), so labels are stripped once per link,
-    never once per data row.
-    """
+    """Strip labels, then re-sum links that became equal."""
     if strip:
         flows = flows.groupBy("hop", clean_label("source").alias("source"), clean_label("target").alias("target")).agg(
             F.sum(count_col).alias(count_col)
         )
-    return flows.select("hop", "source", "target", F.col(count_col)).filter(F.col(count_col) > 0)
+    return flows.select("hop", "source", "target", F.col(count_col))
 
 
 def _nodes(f: DataFrame, merge_labels: bool) -> DataFrame:
@@ -101,11 +95,18 @@ def _nodes(f: DataFrame, merge_labels: bool) -> DataFrame:
     return dense_index(nodes, ["node_layer", "label"], "node_id")
 
 
+def _null_safe(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Inner join in which NULL keys meet, with the left keys kept."""
+    r = right.select(*[qcol(c).alias(f"_r_{c}") if c in on else qcol(c) for c in right.columns])
+    match = [qcol(c).eqNullSafe(qcol(f"_r_{c}")) for c in on]
+    return left.join(r, match).drop(*[f"_r_{c}" for c in on])
+
+
 def flow_nodes(flows: DataFrame, count_col: str = "count", strip: bool = True, merge_labels: bool = False) -> DataFrame:
     """Distinct nodes with integer ids from 0 (G4, U4): ``node_id, layer, label``.
 
     A node is ``(layer, label)``: the source of hop i sits in layer i, its
-    target in layer i+1 (K11).  ``merge_labels=True`` makes one node per label
+    target in layer i+1 (K11).  A NULL label is a node like any other.  ``merge_labels=True`` makes one node per label
     across layers, as the reference does; its ``layer`` is the first one.
     """
     nodes = _nodes(_clean(flows, count_col, strip), merge_labels)
@@ -115,20 +116,20 @@ def flow_nodes(flows: DataFrame, count_col: str = "count", strip: bool = True, m
 def flow_links(flows: DataFrame, count_col: str = "count", strip: bool = True, merge_labels: bool = False) -> DataFrame:
     """Links rewritten to node ids: ``source_id, target_id, value``.
 
-    Ids equal those of :func:`flow_nodes` on the same flows.  The links and
-    the node index come from the same cleaned flows, so their exchange is
-    shared.
+    Ids equal those of :func:`flow_nodes` on the same flows.  Labels are
+    compared null-safe, so no flow is lost: the values add up to the flows.
     """
     f = _clean(flows, count_col, strip)
     nodes = _nodes(f, merge_labels)
     if merge_labels:
         src = nodes.select(F.col("label").alias("source"), F.col("node_id").alias("source_id"))
         tgt = nodes.select(F.col("label").alias("target"), F.col("node_id").alias("target_id"))
-        j = f.join(src, "source").join(tgt, "target")
+        keys = []
     else:
         src = nodes.select(F.col("node_layer").alias("hop"), F.col("label").alias("source"),
                            F.col("node_id").alias("source_id"))
         tgt = nodes.select((F.col("node_layer") - 1).alias("hop"), F.col("label").alias("target"),
                            F.col("node_id").alias("target_id"))
-        j = f.join(src, ["hop", "source"]).join(tgt, ["hop", "target"])
+        keys = ["hop"]
+    j = _null_safe(_null_safe(f, src, [*keys, "source"]), tgt, [*keys, "target"])
     return j.groupBy("source_id", "target_id").agg(F.sum(count_col).alias("value"))

@@ -18,7 +18,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, CountVectorizerModel, Normalizer
@@ -46,7 +45,9 @@ def indicator_long(
     answer; ``bridge_labels`` (``key, bridge_label``) give one row per distinct
     label of an entity.  Only entities of the entity table count, and with
     ``require_bridge`` only those with at least one bridge label (the
-    reference's inner join of pivots).  ``rename`` relabels values.
+    reference's inner join of pivots).  Rows with a NULL key are left out, as
+    a join on the key does.  ``rename`` relabels values; labels that become
+    equal count once.
 
     Plan: entity rows (plus one marker row per entity) and bridge rows are
     stacked and gathered into one set per entity with ``collect_set``, which
@@ -59,13 +60,14 @@ def indicator_long(
     rename = rename or {}
 
     def item(feature, label, src):
-        return F.struct(feature.alias("feature"), label.alias("label"), F.lit(src).alias("src"))
+        # Relabelled before the sets are built, so labels mapped to one are one row.
+        return F.struct(feature.alias("feature"), relabel(label, rename).alias("label"), F.lit(src).alias("src"))
 
     marker = item(F.lit(None).cast("string"), F.lit(None).cast("string"), 0)
     pairs = F.array(marker, *[item(F.lit(a), qcol(a).cast("string"), 0) for a in attrs])
-    rows = entities.select(qcol(key), F.explode(pairs).alias("_p"))
+    rows = entities.filter(qcol(key).isNotNull()).select(qcol(key), F.explode(pairs).alias("_p"))
     if bridge_labels is not None:
-        b = bridge_labels.filter(qcol(bridge_label).isNotNull()).select(
+        b = bridge_labels.filter(qcol(bridge_label).isNotNull() & qcol(key).isNotNull()).select(
             qcol(key), item(F.lit(bridge_feature), qcol(bridge_label).cast("string"), 1).alias("_p")
         )
         rows = rows.unionByName(b)
@@ -74,20 +76,23 @@ def indicator_long(
     if bridge_labels is not None and require_bridge:
         keep = keep & F.exists("_ps", lambda x: x["src"] == 1)
     out = sets.filter(keep).select(qcol(key), F.explode("_ps").alias("_p")).filter(F.col("_p.label").isNotNull())
-    return out.select(qcol(key), F.col("_p.feature").alias("feature"), relabel(F.col("_p.label"), rename).alias("label"))
+    return out.select(qcol(key), F.col("_p.feature").alias("feature"), F.col("_p.label").alias("label"))
 
 
-def indicator_wide(long: DataFrame, key: str, values: Sequence[str]) -> DataFrame:
+def indicator_wide(long: DataFrame, key: str, values: Sequence[str], rest: str | None = None) -> DataFrame:
     """One row per entity, one 0/1 column per listed label.
 
-    Labels off the list are ignored; a listed label nobody has is all 0.
+    A listed label nobody has is all 0.  ``rest`` names a further column that
+    is 1 for entities with a label off the list; without it such labels have
+    no column.
     Written as one conditional aggregate per label -- what a pivot with an
     explicit value list does -- in a single hash aggregation by entity.
     """
     lab = F.col("label")
+    more = [] if rest is None else [F.coalesce(F.max((~lab.isin(list(values))).cast("int")), F.lit(0)).alias(rest)]
     return long.groupBy(qcol(key)).agg(*[
         F.max((lab == F.lit(v)).cast("int")).alias(str(v)) for v in values
-    ])
+    ], *more)
 
 
 def indicator_vectors(long: DataFrame, key: str, vocab: Sequence[str], out_col: str = "features") -> DataFrame:
@@ -97,7 +102,7 @@ def indicator_vectors(long: DataFrame, key: str, vocab: Sequence[str], out_col:
     entity label set goes through ``CountVectorizerModel`` with a fixed
     vocabulary; labels off the vocabulary are ignored (T12: no NULLs, no NaN).
     """
-    sets = long.groupBy(qcol(key)).agg(F.collect_set("label").alias("_labels"))
+    sets = long.groupBy(qcol(key)).agg(F.collect_set(F.when(F.col("label").isin(list(vocab)), F.col("label"))).alias("_labels"))
     cv = CountVectorizerModel.from_vocabulary(list(vocab), inputCol="_labels", outputCol=out_col, binary=True)
     return cv.transform(sets).select(qcol(key), out_col)
 
@@ -171,7 +176,6 @@ def silhouette_sweep(
     fit's result is a single score; the output has one row per k.
     """
     norm = materialize(normalized(vectors, features_col).select("normalized_features"))
-    norm = norm.persist(StorageLevel.MEMORY_AND_DISK)
     ev = ClusteringEvaluator(featuresCol="normalized_features", predictionCol="cluster",
                              metricName="silhouette", distanceMeasure=distance)
 
@@ -179,9 +183,6 @@ def silhouette_sweep(
         model = KMeans(featuresCol="normalized_features", predictionCol="cluster", k=int(k), seed=seed).fit(norm)
         return int(k), float(ev.evaluate(model.transform(norm)))
 
-    try:
-        with ThreadPoolExecutor(max_workers=max(1, concurrent_fits)) as pool:
-            scores = list(pool.map(score, list(ks)))
-    finally:
-        norm.unpersist()
+    with ThreadPoolExecutor(max_workers=max(1, concurrent_fits)) as pool:
+        scores = list(pool.map(score, list(ks)))
     return vectors.sparkSession.createDataFrame(scores, "k int, silhouette double")

@@ -91,17 +91,28 @@ def pivot_share(
     values: Sequence,
     pct_col: str = "percentage",
     sort_by=None,
+    rest: str | None = None,
 ) -> DataFrame:
     """Long shares -> one row per group, one column per answer value.
 
     ``values`` is required: no job runs to discover them (P14, T8, T11), and a
     listed answer that never occurs still gets its column, filled with 0.
+    ``rest`` names a further column with the summed share of all answers that
+    are not listed; without it they have no column.
     ``sort_by`` names one of the values; rows are sorted by it, descending,
     then by the group (T15).
     """
-    values = list(values)
-    wide = shares.groupBy(qcol(group)).pivot(answer, values).agg(F.max(qcol(pct_col)))
     names = [str(v) for v in values]
+    if rest is not None:
+        if rest in names:
+            raise ValueError("rest is one of the values")
+        names.append(rest)
+    # A listed answer has one cell per group; the others add up under rest.
+    label = qcol(answer).cast("string")
+    if rest is not None:
+        label = F.when(label.isin(names[:-1]), label).otherwise(F.lit(rest))
+    wide = (shares.select(qcol(group), label.alias("_answer"), qcol(pct_col).alias("_pct"))
+            .groupBy(qcol(group)).pivot("_answer", names).agg(F.sum("_pct")))
     wide = wide.select(qcol(group), *[F.coalesce(qcol(n), F.lit(0.0)).alias(n) for n in names])
     if sort_by is not None:
         wide = wide.orderBy(qcol(str(sort_by)).desc(), qcol(group))

@@ -24,21 +24,13 @@ def _q(name: str) -> str:
 
 
 ORDERS_SHARE = """
-WITH base AS (
-    SELECT o_orderpriority, NULLIF(o_orderstatus, 'F') AS o_orderstatus FROM orders
-),
-totals AS (
-    SELECT o_orderpriority, COUNT(*) AS total
-    FROM base
-    WHERE o_orderpriority IS NOT NULL AND o_orderpriority <> '5-LOW'
-    GROUP BY o_orderpriority
-)
-SELECT b.o_orderpriority, b.o_orderstatus,
-       CAST(COUNT(*) AS DOUBLE) * 100.0 / t.total AS percentage
-FROM base b
-JOIN totals t ON b.o_orderpriority = t.o_orderpriority
-WHERE b.o_orderpriority IS NOT NULL AND b.o_orderstatus IS NOT NULL
-GROUP BY b.o_orderpriority, b.o_orderstatus, t.total
+SELECT DISTINCT o_orderpriority, status AS o_orderstatus, alike * 100.0::DOUBLE / everyone AS percentage
+FROM (
+    SELECT o_orderpriority, NULLIF(o_orderstatus, 'F') AS status,
+           COUNT(*) OVER (PARTITION BY o_orderpriority) AS everyone,
+           COUNT(*) OVER (PARTITION BY o_orderpriority, NULLIF(o_orderstatus, 'F')) AS alike
+    FROM orders WHERE o_orderpriority <> '5-LOW'
+) WHERE status IS NOT NULL
 """
 
 FANOUT = """
@@ -78,32 +70,17 @@ SELECT 'Other' AS {label}, CAST(SUM(cnt) AS BIGINT) AS cnt FROM s WHERE pct < {t
 
 def _adoption(item: str, lookup: str | None, lookup_id: str | None, label: str | None, src: str,
               worked: str, want: str, entity: str, how: str = "inner") -> str:
-    head = f"""
-WITH t AS (
-    SELECT {item} AS id, COUNT(DISTINCT {entity}) AS cnt FROM {src}
-    WHERE {worked} AND {item} IS NOT NULL GROUP BY 1
-),
-w AS (
-    SELECT {item} AS id, COUNT(DISTINCT {entity}) AS want_cnt FROM {src}
-    WHERE {want} AND {item} IS NOT NULL GROUP BY 1
-)
-"""
-    if how == "inner" and lookup is None:
-        return head + """
-SELECT t.id, CAST(t.cnt AS BIGINT) AS cnt, CAST(w.want_cnt AS BIGINT) AS want_cnt
-FROM t JOIN w ON t.id = w.id
-"""
-    if how == "inner":
-        return head + f"""
-SELECT t.id, lu.{label} AS name, CAST(t.cnt AS BIGINT) AS cnt, CAST(w.want_cnt AS BIGINT) AS want_cnt
-FROM t JOIN w ON t.id = w.id JOIN {lookup} lu ON t.id = lu.{lookup_id}
-"""
-    return head + f"""
-SELECT COALESCE(t.id, w.id) AS id, lu.{label} AS name,
-       CAST(COALESCE(t.cnt, 0) AS BIGINT) AS cnt, CAST(COALESCE(w.want_cnt, 0) AS BIGINT) AS want_cnt
-FROM t FULL OUTER JOIN w ON t.id = w.id
-LEFT JOIN {lookup} lu ON COALESCE(t.id, w.id) = lu.{lookup_id}
+    # Who has a thing and who wants it, each pair once; then one count of either kind per thing.
+    both = "HAVING bool_or(has) AND bool_or(NOT has)" if how == "inner" else ""
+    counted = f"""
+SELECT id, COUNT(who) FILTER (WHERE has) AS cnt, COUNT(who) FILTER (WHERE NOT has) AS want_cnt
+FROM (SELECT DISTINCT {item} AS id, {entity} AS who, {worked} AS has FROM {src} WHERE {worked} OR {want})
+WHERE id IS NOT NULL GROUP BY id {both}
 """
+    if lookup is None:
+        return counted
+    kind = "JOIN" if how == "inner" else "LEFT JOIN"
+    return f"SELECT c.id, {label} AS name, cnt, want_cnt FROM ({counted}) c {kind} {lookup} ON {lookup_id} = c.id"
 
 
 COMBINED = """
@@ -135,6 +112,10 @@ nodes AS (
 )
 """
 
+PATHWAY_FLOWS_NULL = PATHWAY_FLOWS.replace(f"comb AS ({COMBINED})", f"""
+comb AS (SELECT * REPLACE (NULLIF(c_mktsegment, 'BUILDING') AS c_mktsegment, NULLIF(p_type, 'PROMO') AS p_type) FROM ({COMBINED}))""").replace(
+    "ORDER BY layer, label)", "ORDER BY layer, label NULLS FIRST)")
+
 INDICATOR_LONG = """
 WITH lab AS (
     SELECT DISTINCT l.l_orderkey AS o_orderkey, p.p_type AS label
@@ -229,16 +210,16 @@ ORACLE = {
 SELECT o_orderpriority, o_orderstatus, ROUND(percentage, 6) AS percentage FROM ({ORDERS_SHARE}) s
 """,
     "group_share_answered": """
-WITH base AS (
-    SELECT source, lang FROM documents
-    WHERE source IS NOT NULL AND lang IS NOT NULL AND lang <> 'es'
-),
-totals AS (SELECT source, COUNT(*) AS total FROM base GROUP BY source)
-SELECT b.source, b.lang, ROUND(CAST(COUNT(*) AS DOUBLE) * 100.0 / t.total, 6) AS percentage
-FROM base b JOIN totals t ON b.source = t.source
-GROUP BY b.source, b.lang, t.total
+SELECT DISTINCT source, lang,
+       ROUND(COUNT(*) OVER (PARTITION BY source, lang) * 100.0::DOUBLE / COUNT(*) OVER (PARTITION BY source), 6) AS percentage
+FROM documents WHERE source IS NOT NULL AND lang <> 'es'
 """,
     "pivot_share": _pivot(),
+    "pivot_share_rest": f"""
+SELECT o_orderpriority, ROUND(COALESCE(SUM(percentage) FILTER (WHERE o_orderstatus = 'O'), 0), 6) AS "O",
+       ROUND(COALESCE(SUM(percentage) FILTER (WHERE o_orderstatus <> 'O'), 0), 6) AS rest
+FROM ({ORDERS_SHARE}) GROUP BY o_orderpriority
+""",
     "distribution_ordered": f"""
 SELECT c_mktsegment, CAST(COUNT(*) AS BIGINT) AS cnt,
        CAST(CASE c_mktsegment {_ORD} ELSE 6 END AS INTEGER) AS ord
@@ -270,14 +251,18 @@ WHERE o_totalprice IS NOT NULL AND o_totalprice > 0 AND o_totalprice < 400000
 GROUP BY o_orderpriority
 """,
     "histogram": """
-WITH b AS (
-    SELECT LEAST(CAST(FLOOR((o_totalprice - 0.0) / 10000.0) AS BIGINT), 49) AS bin FROM orders
-    WHERE o_totalprice IS NOT NULL AND o_totalprice >= 0 AND o_totalprice <= 500000
-),
-c AS (SELECT bin, COUNT(*) AS cnt FROM b GROUP BY bin)
-SELECT r.range AS bin, CAST(r.range AS DOUBLE) * 10000.0 AS bin_lo, CAST(r.range + 1 AS DOUBLE) * 10000.0 AS bin_hi,
-       CAST(COALESCE(c.cnt, 0) AS BIGINT) AS cnt
-FROM range(0, 50) r LEFT JOIN c ON r.range = c.bin
+SELECT b.range AS bin, CASE WHEN b.range >= 0 THEN b.range * 10000.0::DOUBLE END AS bin_lo,
+       CASE WHEN b.range < 50 THEN (b.range + 1) * 10000.0::DOUBLE END AS bin_hi,
+       (SELECT COUNT(*) FROM orders
+        WHERE CASE WHEN o_totalprice < 0 THEN -1 WHEN o_totalprice > 500000 THEN 50
+                   ELSE LEAST(FLOOR(o_totalprice / 10000.0::DOUBLE), 49) END = b.range) AS cnt
+FROM range(-1, 51) b
+""",
+    "histogram_auto": """
+WITH e AS (SELECT MIN(o_totalprice)::DOUBLE AS lo, MAX(o_totalprice)::DOUBLE AS hi, (hi - lo) / 20.0::DOUBLE AS w FROM orders)
+SELECT b.range AS bin, ROUND(lo + b.range * w, 4) AS bin_lo, ROUND(lo + (b.range + 1) * w, 4) AS bin_hi,
+       (SELECT COUNT(*) FROM orders, e WHERE LEAST(FLOOR((o_totalprice - lo) / w), 19) = b.range) AS cnt
+FROM range(0, 20) b, e
 """,
     "histogram_weighted": f"""
 WITH fan AS ({FANOUT}),
@@ -319,8 +304,16 @@ SELECT 2 AS hop, p_type AS source, o_orderstatus AS target, CAST(COUNT(*) AS BIG
 WITH {PATHWAY_FLOWS}
 SELECT s.node_id AS source_id, t.node_id AS target_id, CAST(SUM(f.cnt) AS BIGINT) AS value
 FROM f
-JOIN nodes s ON s.layer = f.hop AND s.label = f.source
-JOIN nodes t ON t.layer = f.hop + 1 AND t.label = f.target
+JOIN nodes s ON s.layer = f.hop AND s.label IS NOT DISTINCT FROM f.source
+JOIN nodes t ON t.layer = f.hop + 1 AND t.label IS NOT DISTINCT FROM f.target
+GROUP BY 1, 2
+""",
+    "flow_links_null": f"""
+WITH {PATHWAY_FLOWS_NULL}
+SELECT s.node_id AS source_id, t.node_id AS target_id, CAST(SUM(f.cnt) AS BIGINT) AS value
+FROM f
+JOIN nodes s ON s.layer = f.hop AND s.label IS NOT DISTINCT FROM f.source
+JOIN nodes t ON t.layer = f.hop + 1 AND t.label IS NOT DISTINCT FROM f.target
 GROUP BY 1, 2
 """,
     "indicator_long": INDICATOR_LONG,

@@ -109,6 +109,9 @@ ANSWERED = Missing(values=[NA])
 
 Tables = dict[str, DataFrame]
 
+#: The column of answers that are not on a pivot's list.
+REST = "Not listed"
+
 
 # ------------------------------------------------------------------ AI adoption (Q-AI1 .. Q-AI6)
 
@@ -116,13 +119,13 @@ def ai_use_by_industry(t: Tables) -> DataFrame:
     """Q-AI1: AI use share per industry, wide, sorted by "Yes".  'NA' answers
     keep their column here (K2) and denominators count all answers (K1)."""
     s = group_share(t["Respondent"], "Industry", "AISelect", INDUSTRY_MISSING, NULLS)
-    return pivot_share(s, "Industry", "AISelect", AI_SELECT_VALUES + [NA], sort_by="Yes")
+    return pivot_share(s, "Industry", "AISelect", AI_SELECT_VALUES + [NA], sort_by="Yes", rest=REST)
 
 
 def ai_use_by_devtype(t: Tables) -> DataFrame:
     """Q-AI2: the same per developer type; 'NA' answers dropped."""
     s = group_share(t["Respondent"], "DevType", "AISelect", DEVTYPE_MISSING, ANSWERED)
-    return pivot_share(s, "DevType", "AISelect", AI_SELECT_VALUES, sort_by="Yes")
+    return pivot_share(s, "DevType", "AISelect", AI_SELECT_VALUES, sort_by="Yes", rest=REST)
 
 
 def ai_trust(t: Tables) -> DataFrame:
@@ -309,7 +312,9 @@ def technology_demand(t: Tables, bridge: str, lookup: str) -> DataFrame:
 
 
 def technology_demand_all(t: Tables) -> dict[str, DataFrame]:
-    """Q-TT1..9: one result per technology family present in ``t``."""
-    return {lookup: technology_demand(t, bridge, lookup) for bridge, lookup in TECHNOLOGY_FAMILIES
-            if bridge in t and bridge + WANT_SUFFIX in t and lookup in t}
+    """Q-TT1..9: one result per technology family; a missing table is an error."""
+    missing = [n for bridge, lookup in TECHNOLOGY_FAMILIES for n in (bridge, bridge + WANT_SUFFIX, lookup) if n not in t]
+    if missing:
+        raise KeyError(f"missing tables: {', '.join(missing)}")
+    return {lookup: technology_demand(t, bridge, lookup) for bridge, lookup in TECHNOLOGY_FAMILIES}
 

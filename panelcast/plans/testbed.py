@@ -27,7 +27,7 @@ from panelcast.operators.profile import (
     silhouette_sweep,
 )
 from panelcast.operators.share import breakdown, collapse_small, distribution, equals, group_share, pivot_share
-from panelcast.sources.tables import TableCache
+from panelcast.sources.tables import table
 
 # Category values of the test tables used as parameters.
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
@@ -38,24 +38,6 @@ SEGMENT_ORDER = ["MACHINERY", "HOUSEHOLD", "FURNITURE", "BUILDING"]
 SEED = 42
 
 
-_TABLES = TableCache()
-_BUILT: dict = {}
-
-
-def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return _TABLES.get(spark, d, name)
-
-
-def _once(spark: SparkSession, d: str, name: str, build):
-    """A lazy plan shared by several queries (built once per session and data
-    folder, like the reference's one salary base for seven aggregates).
-    Only the plan is shared; no data are cached."""
-    k = (spark.sparkContext.applicationId, d, name)
-    if k not in _BUILT:
-        _BUILT[k] = build()
-    return _BUILT[k]
-
-
 def _r(c: str, places: int) -> F.Column:
     return F.round(F.col(c), places).alias(c)
 
@@ -91,6 +73,12 @@ def q_pivot_share(spark, d):
     return w.select("o_orderpriority", *[_r(v, 6) for v in STATUSES])
 
 
+def q_pivot_share_rest(spark, d):
+    """One status listed; the others add up in a column of their own."""
+    w = pivot_share(_orders_shares(spark, d), "o_orderpriority", "o_orderstatus", ["O"], rest="rest")
+    return w.select("o_orderpriority", *[_r(v, 6) for v in ("O", "rest")])
+
+
 def q_distribution_ordered(spark, d):
     cust = table(spark, d, "customer")
     return distribution(
@@ -116,23 +104,21 @@ def q_collapse_small(spark, d):
 # ---------------------------------------------------------------- fan-out
 
 def _fanout(spark, d):
-    def build():
-        orders = table(spark, d, "orders")
-        li = table(spark, d, "lineitem")
-        attrs = {
-            "o_orderpriority": F.col("o_orderpriority"),
-            "o_orderstatus": F.col("o_orderstatus"),
-            "o_year": F.year("o_orderdate"),
-        }
-        return fanout_base(
-            orders, "o_orderkey", "o_totalprice", measure_name="salary", attrs=attrs,
-            bridges=[
-                Bridge("s_name", li, "l_orderkey", "l_suppkey", table(spark, d, "supplier"), "s_suppkey", "s_name"),
-                Bridge("p_type", li, "l_orderkey", "l_partkey", table(spark, d, "part"), "p_partkey", "p_type"),
-            ],
-            lo=0, hi=400000,
-        )
-    return _once(spark, d, "fanout", build)
+    orders = table(spark, d, "orders")
+    li = table(spark, d, "lineitem")
+    attrs = {
+        "o_orderpriority": F.col("o_orderpriority"),
+        "o_orderstatus": F.col("o_orderstatus"),
+        "o_year": F.year("o_orderdate"),
+    }
+    return fanout_base(
+        orders, "o_orderkey", "o_totalprice", measure_name="salary", attrs=attrs,
+        bridges=[
+            Bridge("s_name", li, "l_orderkey", "l_suppkey", table(spark, d, "supplier"), "s_suppkey", "s_name"),
+            Bridge("p_type", li, "l_orderkey", "l_partkey", table(spark, d, "part"), "p_partkey", "p_type"),
+        ],
+        lo=0, hi=400000,
+    )
 
 
 def q_fanout_base(spark, d):
@@ -168,7 +154,12 @@ def q_avg_by_attribute_entity(spark, d):
 
 
 def q_histogram(spark, d):
-    return histogram(table(spark, d, "orders"), "o_totalprice", 0, 500000, 50)
+    return histogram(table(spark, d, "orders"), "o_totalprice", 0, 500000, 50, outside=True)
+
+
+def q_histogram_auto(spark, d):
+    h = histogram(table(spark, d, "orders"), "o_totalprice", None, None, 20)
+    return h.select("bin", _r("bin_lo", 4), _r("bin_hi", 4), "cnt")
 
 
 def q_histogram_weighted(spark, d):
@@ -226,14 +217,12 @@ def q_decode(spark, d):
 
 
 def _combined(spark, d):
-    def build():
-        ent = table(spark, d, "orders").join(
-            table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment"), "o_custkey"
-        ).select("o_orderkey", "c_mktsegment", "o_orderpriority", "o_orderstatus")
-        # Bridge rows pre-aggregated per (order, part type); "mult" keeps the
-        # row count of the literal join.
-        return bridge_weights(_part_types(spark, d), "o_orderkey", "p_type").join(ent, "o_orderkey")
-    return _once(spark, d, "combined", build)
+    ent = table(spark, d, "orders").join(
+        table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment"), "o_custkey"
+    ).select("o_orderkey", "c_mktsegment", "o_orderpriority", "o_orderstatus")
+    # Bridge rows pre-aggregated per (order, part type); "mult" keeps the
+    # row count of the literal join.
+    return bridge_weights(_part_types(spark, d), "o_orderkey", "p_type").join(ent, "o_orderkey")
 
 
 PATHWAY = ["c_mktsegment", "p_type", "o_orderpriority"]
@@ -248,6 +237,14 @@ def q_flow_nodes(spark, d):
     return flow_nodes(pathway(_combined(spark, d), PATHWAY, weight="mult"))
 
 
+def q_flow_links_null(spark, d):
+    """Links whose ends may be NULL (one segment and one part type made NULL)."""
+    df = _combined(spark, d).withColumns({
+        "c_mktsegment": F.expr("nullif(c_mktsegment, 'BUILDING')"), "p_type": F.expr("nullif(p_type, 'PROMO')")})
+    f = pathway(df, PATHWAY, weight="mult")
+    return flow_links(f)
+
+
 def q_flow_links(spark, d):
     return flow_links(pathway(_combined(spark, d), PATHWAY, weight="mult"))
 
@@ -341,6 +338,7 @@ QUERIES = {
     "group_share": q_group_share,
     "group_share_answered": q_group_share_answered,
     "pivot_share": q_pivot_share,
+    "pivot_share_rest": q_pivot_share_rest,
     "distribution_ordered": q_distribution_ordered,
     "distribution": q_distribution,
     "breakdown_collapsed": q_breakdown_collapsed,
@@ -353,6 +351,7 @@ QUERIES = {
     "avg_by_key_sorted": q_avg_by_key_sorted,
     "avg_by_attribute_entity": q_avg_by_attribute_entity,
     "histogram": q_histogram,
+    "histogram_auto": q_histogram_auto,
     "histogram_weighted": q_histogram_weighted,
     "adoption_vs_demand_part": q_adoption_vs_demand_part,
     "adoption_vs_demand_supplier": q_adoption_vs_demand_supplier,
@@ -363,6 +362,7 @@ QUERIES = {
     "pair_flows": q_pair_flows,
     "flow_nodes": q_flow_nodes,
     "flow_links": q_flow_links,
+    "flow_links_null": q_flow_links_null,
     "indicator_long": q_indicator_long,
     "indicator_wide": q_indicator_wide,
     "contingency": q_contingency,

@@ -8,8 +8,6 @@ sizes) on, the Spark UI off.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 SCALE_CONF = {
@@ -24,7 +22,8 @@ SCALE_CONF = {
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "panelcast",
-                  driver_memory: str = "8g") -> SparkSession:
+                  driver_memory: str = "8g", checkpoint_dir: str | None = None) -> SparkSession:
+    """A local session; ``checkpoint_dir`` names the folder for stored steps."""
     b = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -35,7 +34,6 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    # Tests and local runs only: use a scratch folder when the session names none.
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="panelcast-ckpt-"))
+    if checkpoint_dir is not None:
+        spark.sparkContext.setCheckpointDir(checkpoint_dir)
     return spark

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,31 +18,15 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     Scans are columnar: Catalyst prunes columns and pushes filters into the
     parquet reader, so callers select and filter freely afterwards.
     """
-    return spark.read.parquet(os.path.join(root, f"{name}.parquet"))
-
-
-class TableCache:
-    """Lazily read tables, one DataFrame per (session, path).
-
-    Reading a parquet table lists its files and reads footers on the driver;
-    reusing the DataFrame for later queries skips that work, as a catalog
-    table would.  Files changed after the first read are not seen.
-    """
-
-    def __init__(self):
-        self._dfs: dict[tuple[str, str], DataFrame] = {}
-
-    def get(self, spark: SparkSession, root: str, name: str) -> DataFrame:
-        k = (spark.sparkContext.applicationId, os.path.join(os.path.abspath(root), name))
-        df = self._dfs.get(k)
-        if df is None:
-            df = self._dfs[k] = table(spark, root, name)
-        return df
+    return spark.read.parquet(f"{root.rstrip('/')}/{name}.parquet")
 
 
 def load_tables(spark: SparkSession, root: str, names: Iterable[str] | None = None) -> dict[str, DataFrame]:
     """Dict of lazily read tables.  ``names`` defaults to every ``*.parquet``
-    entry under ``root``."""
+    entry under ``root``, listed through Hadoop's file systems."""
     if names is None:
-        names = sorted(e[: -len(".parquet")] for e in os.listdir(root) if e.endswith(".parquet"))
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        entries = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+        found = [e.getPath().getName() for e in entries]
+        names = sorted(n[: -len(".parquet")] for n in found if n.endswith(".parquet"))
     return {n: table(spark, root, n) for n in names}

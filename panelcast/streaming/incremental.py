@@ -12,8 +12,6 @@ resumes where it stopped.
 
 from __future__ import annotations
 
-import os
-import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql.streaming import StreamingQuery
@@ -21,7 +19,6 @@ from pyspark.sql.streaming import StreamingQuery
 from panelcast.functions.missing import NULLS, Missing
 from panelcast.operators.fanout import histogram
 from panelcast.operators.share import distribution
-from panelcast.sources.sinks import checkpoint_dir
 
 
 def running_distribution(stream: DataFrame, col: str, missing: Missing = NULLS, where: Column | None = None,
@@ -36,19 +33,18 @@ def running_histogram(stream: DataFrame, col: str, lo: float, hi: float, bins: i
     return histogram(stream, col, lo, hi, bins, weight=weight, fill_empty=False)
 
 
-def write_snapshots(agg: DataFrame, path: str, checkpoint: str | None = None, available_now: bool = True,
+def write_snapshots(agg: DataFrame, path: str, checkpoint: str, available_now: bool = True,
                     processing_time: str | None = None) -> StreamingQuery:
-    """Start the streaming aggregate; after each micro-batch the complete
-    current result replaces the parquet table at ``path``.
+    """Start the streaming aggregate; each micro-batch publishes the complete
+    current result as its own folder ``path/version=N``, so readers of an
+    earlier version see no half-written table.  ``checkpoint`` is the shared
+    folder from which a restarted query goes on.
 
     ``available_now=True`` processes what the source holds and stops (batch
     style); otherwise the query runs with ``processing_time`` triggers.
     """
-    if checkpoint is None:
-        checkpoint = os.path.join(checkpoint_dir(agg.sparkSession), "streams", uuid.uuid4().hex)
-
-    def publish(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+    def publish(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/version={epoch}")
 
     w = agg.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(publish)
     if available_now:

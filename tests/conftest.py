@@ -12,10 +12,11 @@ SF01 = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from panelcast.session import local_session
 
-    s = local_session(cores="*", shuffle_partitions=8, app="panelcast-tests")
+    s = local_session(cores="*", shuffle_partitions=8, app="panelcast-tests",
+                      checkpoint_dir=str(tmp_path_factory.mktemp("checkpoints")))
     yield s
     s.stop()
 

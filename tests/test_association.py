@@ -80,3 +80,8 @@ def test_grid_multi_valued_counts_entities(spark):
 def test_top_associations_nulls_last(spark):
     g = spark.createDataFrame([("a", "x", None), ("b", "x", 0.5), ("c", "x", 0.7)], "feature string, target string, v double")
     assert [r.feature for r in top_associations(g, 3).collect()] == ["c", "b", "a"]
+
+
+def test_cramers_v_of_nothing(spark):
+    r = cramers_v(spark.createDataFrame([], "x string, y string"), "x", "y").first()
+    assert (r.chi2, r.dof, r.n, r.v) == (0.0, 0, 0, None)

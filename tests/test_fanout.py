@@ -148,3 +148,12 @@ def test_entity_weighting_on_bridge_dimension(base):
            for r in grouped_avg(base, "learn_code_method", exclude=["Not Specified"], keep_null=True,
                                 weighting="entity").collect()}
     assert got == pytest.approx(want)
+
+
+def test_histogram_nan_and_outside(spark):
+    from panelcast.operators import histogram
+
+    df = spark.createDataFrame([(float("nan"),), (1.0,), (2.0,), (9.0,), (-1.0,), (None,)], "v double")
+    assert [r.cnt for r in histogram(df, "v", None, None, 2).orderBy("bin").collect()] == [3, 1]
+    got = [(r.bin, r.bin_lo, r.bin_hi, r.cnt) for r in histogram(df, "v", 0, 4, 2, outside=True).orderBy("bin").collect()]
+    assert got == [(-1, None, 0.0, 1), (0, 0.0, 2.0, 1), (1, 2.0, 4.0, 1), (2, 4.0, None, 1)]

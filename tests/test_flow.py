@@ -38,3 +38,12 @@ def test_merge_labels_literal_mode(spark):
     assert len(nodes) == 6  # "School" is one node across layers
     links = flow_links(flows, merge_labels=True).collect()
     assert sum(r.value for r in links) == 12
+
+
+def test_null_labels_lose_no_flow(spark):
+    from panelcast.operators import flow_links, flow_nodes, pathway
+
+    df = spark.createDataFrame([("a", None), ("a", "b"), (None, "b")], "x string, y string")
+    f = pathway(df, ["x", "y"])
+    assert flow_nodes(f).count() == 4
+    assert sorted(r.value for r in flow_links(f).collect()) == [1, 1, 1]

@@ -64,3 +64,16 @@ def test_dense_index_matches_dense_rank(spark):
     ranked = df.distinct().select("a", "b", (F.dense_rank().over(Window.orderBy("a", "b")) - 1).alias("id"))
     assert got == {(r.a, r.b): r.id for r in ranked.collect()}
     assert sorted(got.values()) == list(range(len(got)))
+
+
+def test_dense_index_without_exchange_reuse(spark):
+    from panelcast.functions import dense_index
+
+    was = spark.conf.get("spark.sql.exchange.reuse")
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        df = spark.range(330_000).selectExpr("concat('k', xxhash64(id)) AS k")
+        r = dense_index(df, ["k"]).selectExpr("count(*) n", "count(DISTINCT id) d", "min(id) lo", "max(id) hi").first()
+        assert (r.n, r.d, r.lo, r.hi) == (330_000, 330_000, 0, 329_999)
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", was)

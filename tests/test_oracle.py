@@ -4,10 +4,11 @@ sf0.01 against DuckDB (row count, column names, order-insensitive values)."""
 import pytest
 
 import __spark_entry__ as E
+from panelcast.plans.oracle import ORACLE
+from panelcast.plans.testbed import QUERIES
 from compare import compare, duck
 from conftest import SF001, SF01
 
-ORACLE = E.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -17,8 +18,8 @@ def con():
 
 def test_every_query_has_oracle_or_is_ml():
     ml = {"cluster_profiles", "project_2d", "silhouette_sweep", "cluster_embeddings"}
-    assert set(E.queries()) - set(ORACLE) == ml
-    assert set(ORACLE) <= set(E.queries())
+    assert set(QUERIES) - set(ORACLE) == ml
+    assert set(ORACLE) <= set(QUERIES) <= set(E.queries())
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))

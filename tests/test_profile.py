@@ -89,3 +89,12 @@ def test_silhouette_in_range(vectors):
     s = silhouette_sweep(vectors, [2, 3], seed=42).collect()
     assert [r.k for r in s] == [2, 3]
     assert all(-1.0 <= r.silhouette <= 1.0 for r in s)
+
+
+def test_indicators_relabel_before_dedupe_and_drop_null_keys(spark):
+    ent = spark.createDataFrame([(1, "x"), (None, "x")], "id int, a string")
+    br = spark.createDataFrame([(1, "p"), (1, "q"), (None, "p")], "id int, name string")
+    long = indicator_long(ent, "id", ["a"], br, "b", "name", rename={"p": "r", "q": "r"})
+    assert sorted(map(tuple, long.collect())) == [(1, "a", "x"), (1, "b", "r")]
+    wide = indicator_wide(long, "id", ["x"], rest="rest").collect()
+    assert [tuple(r) for r in wide] == [(1, 1, 1)]

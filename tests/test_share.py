@@ -112,3 +112,11 @@ def test_pivot_share_numeric_answers(spark):
     assert w.columns == ["g", "1", "2", "3"]
     assert [tuple(r) for r in w.collect()] == [("g", pytest.approx(200 / 3), pytest.approx(100 / 3), 0.0),
                                                ("h", 0.0, 100.0, 0.0)]
+
+
+def test_pivot_rest_keeps_unlisted_answers(spark):
+    from panelcast.operators import group_share, pivot_share
+
+    df = spark.createDataFrame([("g", a) for a in ("Yes", "No", "New", "New")], "g string, a string")
+    r = pivot_share(group_share(df, "g", "a"), "g", "a", ["Yes", "No"], rest="rest").first()
+    assert (r.Yes, r.No, r.rest) == (25.0, 25.0, 50.0)

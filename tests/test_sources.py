@@ -4,7 +4,7 @@ import tempfile
 import pytest
 
 from conftest import SF001
-from panelcast.sources import TableCache, jdbc_options, load_tables, materialize, table, write_result
+from panelcast.sources import jdbc_options, load_tables, materialize, table, write_result
 
 
 def test_load_tables_lists_parquet(spark):
@@ -13,11 +13,6 @@ def test_load_tables_lists_parquet(spark):
     assert t["orders"].count() == 1500
 
 
-def test_table_cache_reuses_dataframe(spark):
-    c = TableCache()
-    assert c.get(spark, SF001, "part") is c.get(spark, SF001, "part")
-
-
 def test_scan_prunes_columns_and_pushes_filters(spark):
     df = table(spark, SF001, "orders").filter("o_totalprice > 1000").select("o_orderkey")
     plan = df._jdf.queryExecution().executedPlan().toString()

@@ -12,6 +12,7 @@ def test_q_ai1_industry_shares(survey):
     assert [r.Industry for r in rows] == ["Fintech", "Healthcare"]  # 'Other: consulting' has no answers
     f, h = rows
     assert (f.Yes, f["No, but I plan to soon"], f["No, and I don't plan to"], f.NA) == (50.0, 25.0, 25.0, 0.0)
+    assert f[S.REST] == h[S.REST] == 0.0
     # Healthcare's NULL answer stays in the denominator (K1): 2 + 1 of 4.
     assert (h.Yes, h["No, but I plan to soon"], h["No, and I don't plan to"]) == (50.0, 25.0, 0.0)
 
@@ -109,6 +110,15 @@ def test_q_ed8_ed9_ed10_ml(survey):
 
 
 def test_q_tt(survey):
-    out = S.technology_demand_all(survey)
-    assert set(out) == {"ProgrammingLanguage", "Database"}
+    with pytest.raises(KeyError, match="missing tables"):
+        S.technology_demand_all(survey)
+    # The fixtures hold two families; the others get empty tables of the same shape.
+    full = dict(survey)
+    done = {lookup: bridge for bridge, lookup in S.TECHNOLOGY_FAMILIES if lookup in survey}
+    known, like = next((b, n) for n, b in done.items())
+    for bridge, lookup in S.TECHNOLOGY_FAMILIES:
+        for name, source in ((bridge, known), (bridge + S.WANT_SUFFIX, known + S.WANT_SUFFIX), (lookup, like)):
+            full.setdefault(name, survey[source].limit(0))
+    out = S.technology_demand_all(full)
+    assert len(out) == 9 and all(out[n].count() == 0 for n in set(out) - set(done))
     assert [r.name for r in out["ProgrammingLanguage"].collect()] == ["Python", "Rust", "SQL", "Go"]
