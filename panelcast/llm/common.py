@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 MAX_U64 = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Bytes of text that a task works on at a time (a longer text is worked on alone).
 CHUNK_BYTES = 1 << 21
+#: Keys of 8 or 16 bytes that are broadcast at most (some ten MB).
+BROADCAST_KEYS = 1 << 18
 _SEPARATOR = np.zeros(256, dtype=bool)
 _SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
@@ -42,11 +45,22 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # Shuffle files of a finished job go when the driver collects its garbage;
+    # asked for here, disks hold one step's files rather than all steps'.
+    gc.collect()
+    spark._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out
 
 
+def matching(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows of ``df`` whose ``key`` is in the one-column table ``ids``
+    (stored: it is counted here).  Up to BROADCAST_KEYS keys go to every
+    executor; more meet the rows in a shuffle."""
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_KEYS else ids, key, "left_semi")
+
+
 def dropped(df: DataFrame) -> None:
     """Delete a table made by :func:`saved` that nothing reads any more."""
     spark = df.sparkSession

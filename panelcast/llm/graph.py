@@ -4,10 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import dropped, saved
+from panelcast.llm.common import dropped, matching, saved
+
+#: Whether two signatures may belong to a link: arrays of rows of bytes in, a mask out.
+Alike = Callable[[np.ndarray, np.ndarray], np.ndarray]
+#: Ids to (id, body), and whether two bodies make a link.
+Bodies = Callable[[DataFrame], DataFrame]
+Holds = Callable[[bytes, bytes], bool]
+#: Members on one side of a tile; pairs compared in one go.
+TILE, PAIRS_AT_ONCE = 2048, 1 << 15
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -40,18 +50,126 @@ def connected_components(links: DataFrame) -> DataFrame:
         e.select(F.col("b").alias("id"), F.col("b").alias("comp")).distinct())
 
 
-def bucket_components(members: DataFrame, keys: list[str], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Components of the graph that links two ids when they share a bucket and
-    ``verify`` keeps the pair.  Returns (id, comp) for linked ids only.
+def _binary(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
+def _linked(pairs: DataFrame, sigs: DataFrame, alike: Alike, bodies: Bodies, holds: Holds) -> DataFrame:
+    """The pairs (a, b) that are links.  Signatures, then bodies, are fetched
+    for the ids of the pairs only."""
+    kind = pairs.schema["a"].dataType.simpleString()
+
+    def ids(p):
+        return saved(p.select(F.col("a").alias("id")).union(p.select("b")).distinct(), "ids")
+
+    def likely(batches):
+        for b in batches:
+            if b.num_rows:
+                yield b.select(["a", "b"]).filter(pa.array(alike(_binary(b.column("x")), _binary(b.column("y")))))
+
+    def exact(batches):
+        for b in batches:
+            keep = [holds(x, y) for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist())]
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    def both(p, parts):
+        return p.join(parts.toDF("a", "x"), "a").join(parts.toDF("b", "y"), "b").select("a", "b", "x", "y")
+
+    own = saved(matching(sigs, ids(pairs), "id"), "sigs")
+    near = saved(both(pairs, own).mapInArrow(likely, f"a {kind}, b {kind}"), "near")
+    return both(near, saved(bodies(ids(near)), "bodies")).mapInArrow(exact, f"a {kind}, b {kind}")
+
+
+def _groups(batches):
+    """Tables that hold whole runs of equal g (rows come sorted by g)."""
+    held = None
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        t = t if held is None else pa.concat_tables([held, t])
+        g = t.column("g").to_numpy()
+        last = int(np.searchsorted(g, g[-1])) if len(g) else 0
+        if last:
+            yield t.slice(0, last).combine_chunks()
+        held = t.slice(last)
+    if held is not None and held.num_rows:
+        yield held.combine_chunks()
+
+
+def _runs(g: np.ndarray):
+    edge = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1], [True])))
+    return zip(edge[:-1].tolist(), edge[1:].tolist())
+
+
+def _cross_links(tiles: DataFrame, alike: Alike, bodies: Bodies, holds: Holds) -> DataFrame:
+    """Links (a, b) of each tile (g, few, id, comp, sig) between a row marked
+    ``few`` and another of a different component.  Signatures, then bodies,
+    are compared in memory: a tile gives a row for each of its rows that has
+    a candidate, with all of them in one list, and then one for each link."""
+    kind = tiles.schema["id"].dataType.simpleString()
+
+    def likely(batches):
+        for t in _groups(batches):
+            g, few, sig = t.column("g").to_numpy(), t.column("few").to_numpy(), _binary(t.column("sig").combine_chunks())
+            ids = t.column("id").to_pylist()
+            comp = t.column("comp").combine_chunks().dictionary_encode().indices.to_numpy()
+            rows, lists, groups = [], [], []
+            for a, b in _runs(g):
+                one, two, wanted = a + np.flatnonzero(few[a:b]), a + np.flatnonzero(~few[a:b]), set()
+                step = max(1, PAIRS_AT_ONCE // max(len(two), 1))
+                for c in range(0, len(one) if len(two) else 0, step):
+                    part = one[c : c + step]
+                    i, j = np.repeat(part, len(two)), np.tile(two, len(part))
+                    other = comp[i] != comp[j]
+                    i, j = i[other], j[other]
+                    ok = alike(sig[i], sig[j])
+                    i, j = i[ok], j[ok]
+                    for x, y in _runs(i) if len(i) else ():
+                        rows.append(ids[i[x]])
+                        lists.append([ids[k] for k in j[x:y]])
+                        groups.append(g[a])
+                    wanted.update(j.tolist())
+                for k in sorted(wanted):
+                    rows.append(ids[k])
+                    lists.append(None)
+                    groups.append(g[a])
+            yield pa.RecordBatch.from_arrays([
+                pa.array(groups, pa.int64()), pa.array(rows, t.schema.field("id").type), pa.array(lists, pa.list_(t.schema.field("id").type))], names=["g", "id", "others"])
+
+    def exact(batches):
+        for t in _groups(batches):
+            ids, others, body = (t.column(c).to_pylist() for c in ("id", "others", "body"))
+            left, right = [], []
+            for a, b in _runs(t.column("g").to_numpy()):
+                have = {ids[k]: body[k] for k in range(a, b) if others[k] is None}
+                for k in range(a, b):
+                    for o in others[k] or ():
+                        if o in have and holds(body[k], have[o]):
+                            left.append(ids[k])
+                            right.append(o)
+            kind = t.schema.field("id").type
+            yield pa.RecordBatch.from_arrays([pa.array(left, kind), pa.array(right, kind)], names=["a", "b"])
+
+    near = saved(tiles.mapInArrow(likely, f"g long, id {kind}, others array<{kind}>"), "near")
+    own = saved(bodies(saved(near.select("id").distinct(), "ids")), "bodies")
+    return (near.join(own.toDF("id", "body"), "id").repartition("g").sortWithinPartitions("g")
+            .mapInArrow(exact, f"a {kind}, b {kind}").distinct())
+
+
+def bucket_components(members: DataFrame, keys: list[str], sigs: DataFrame, alike: Alike, bodies: Bodies, holds: Holds) -> DataFrame:
+    """Components of the graph that links two ids when they share a bucket,
+    their signatures are ``alike`` and their bodies hold.  Returns (id, comp)
+    for linked ids only.
 
-    ``members`` holds distinct rows (keys..., id).  A group of copies shares
-    many buckets, so pairs are not listed bucket by bucket.  First each
-    member is checked against its bucket's hub, the member with the largest
-    total of bucket sizes (in a group of edited copies, the text that the
-    others came from).  Members that this leaves outside their bucket's main
-    component are then checked against every member of another component;
-    pairs within a component cannot change the result.  So no link between
-    components is lost, and the rows stay in proportion to the members.
+    ``members`` holds distinct rows (keys..., id), ``sigs`` (id, sig) with
+    signatures of one width; ``bodies(ids)`` gives (id, body).  A group of
+    copies shares many buckets, so pairs are not listed bucket by bucket.
+    First each member is checked against its bucket's hub, the member with
+    the largest total of bucket sizes (in a group of edited copies, the text
+    that the others came from).  Members that this leaves outside their
+    bucket's main component are then compared with all members of the buckets
+    that share this main component, in tiles of bounded size; only links
+    become rows.  Pairs within a component cannot change the result, so no
+    link between components is lost.
     """
     sizes = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = saved(members.join(sizes, keys), "shared")
@@ -60,7 +178,7 @@ def bucket_components(members: DataFrame, keys: list[str], verify: Callable[[Dat
             .agg(F.max(F.struct("score", "id")).alias("top")).select(*keys, F.col("top.id").alias("hub")))
     tested = saved(shared.join(hubs, keys).where("id <> hub")
                    .select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct(), "pairs")
-    links = saved(verify(tested).select("a", "b"), "links")
+    links = saved(_linked(tested, sigs, alike, bodies, holds), "links")
     comps = saved(connected_components(links), "comps")
 
     # Buckets of two have had their only pair tested.
@@ -69,14 +187,21 @@ def bucket_components(members: DataFrame, keys: list[str], verify: Callable[[Dat
     parts = rest.groupBy(*keys, "comp").agg(F.count(F.lit(1)).alias("k"))
     mixed = (parts.groupBy(*keys).agg(F.max(F.struct("k", "comp")).alias("top"), F.count(F.lit(1)).alias("parts"))
              .where("parts > 1").select(*keys, F.col("top.comp").alias("main")))
-    open_ = saved(rest.join(mixed, keys), "open")
-    few = open_.where("comp <> main").select(*keys, F.col("id").alias("id2"), F.col("comp").alias("comp2"))
-    cross = (few.join(open_, keys).where("comp <> comp2")
-             .select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
-             .join(tested, ["a", "b"], "left_anti"))
+    open_ = saved(rest.join(mixed, keys).select("main", "id", "comp").distinct(), "open")
     if open_.isEmpty():
         return comps
-    more = saved(verify(cross).select("a", "b"), "links")
+    own = saved(matching(sigs, saved(open_.select("id").distinct(), "ids"), "id"), "sigs")
+    size = open_.groupBy("main").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.expr("comp <> main")).alias("m"))
+    rows = open_.join(size, "main").join(own, "id")
+    slabs = lambda c: F.ceil(F.col(c) / TILE).cast("int")
+    slab = lambda c: F.pmod(F.xxhash64("id"), slabs(c)).cast("int")
+    all_slabs = lambda c: F.explode(F.sequence(F.lit(0), slabs(c) - 1))
+    row = ["main", "id", "comp", "sig"]
+    every = rows.select(*row, F.lit(False).alias("few"), slab("n").alias("j"), all_slabs("m").alias("i"))
+    few = rows.where("comp <> main").select(*row, F.lit(True).alias("few"), all_slabs("n").alias("j"), slab("m").alias("i"))
+    tiles = (every.unionByName(few).select(F.xxhash64("main", "i", "j").alias("g"), "few", "id", "comp", "sig")
+             .repartition("g").sortWithinPartitions("g"))
+    more = saved(_cross_links(tiles, alike, bodies, holds), "links")
     if more.isEmpty():
         return comps
     return saved(connected_components(links.union(more)), "comps")

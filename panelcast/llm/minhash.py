@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import WordHasher, chunks, gram_hashes, longs, mixed, saved, text_bytes
+from panelcast.llm.common import WordHasher, chunks, gram_hashes, longs, matching, mixed, saved, text_bytes
 from panelcast.llm.graph import bucket_components
 
 #: Hashes compared at a time by the verification.
@@ -88,22 +88,22 @@ def sketches(docs: DataFrame, shingle: int, bands: int, rows: int, seed: int = 1
         run, "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>, sig binary")
 
 
-def plausible(pairs: DataFrame, threshold: float, miss: float, hashes: int) -> DataFrame:
-    """Pairs (a, b, sig_a, sig_b) that survive the sequential comparison."""
+def plausible(threshold: float, miss: float, hashes: int):
+    """Whether signatures survive the sequential comparison: a mask over pairs
+    of rows, each dropped at the first batch that makes it implausible."""
     least = prune_below(hashes, threshold, miss)
 
-    def run(batches):
-        for batch in batches:
-            n = batch.num_rows
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(n, hashes) for c in ("sig_a", "sig_b"))
-            agree, alive = np.zeros(n, np.int64), np.arange(n)
-            for k, need in enumerate(least):
-                cut = slice(k * BATCH, (k + 1) * BATCH)
-                agree[alive] += (x[alive, cut] == y[alive, cut]).sum(axis=1)
-                alive = alive[agree[alive] >= need]
-            yield batch.select(["a", "b"]).take(pa.array(alive))
+    def alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        agree, alive = np.zeros(len(x), np.int64), np.arange(len(x))
+        for k, need in enumerate(least):
+            cut = slice(k * BATCH, (k + 1) * BATCH)
+            agree[alive] += (x[alive, cut] == y[alive, cut]).sum(axis=1)
+            alive = alive[agree[alive] >= need]
+        mask = np.zeros(len(x), bool)
+        mask[alive] = True
+        return mask
 
-    return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+    return alike
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: int = 80, bands: int = 40, rows: int = 6,
@@ -134,13 +134,9 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: int = 80,
                  .select("h1", "h2", "n_shingles", "r.*").withColumnRenamed("doc_id", "id"), "classes")
     members = reps.select("id", F.posexplode("keys").alias("band", "key")).distinct()
 
-    def verify(pairs):
-        sig = reps.select("id", "sig")
-        pairs = (pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b"))
-        alive = saved(plausible(pairs, similarity / 100, miss, bands * rows), "alive")
-        return exact_links(alive, docs, shingle, similarity)
-
-    comps = bucket_components(members, ["band", "key"], verify)
+    comps = bucket_components(
+        members, ["band", "key"], reps.select("id", "sig"), plausible(similarity / 100, miss, bands * rows),
+        lambda ids: set_bodies(docs, ids, shingle), sets_similar(similarity))
     named = (reps.select("h1", "h2", "n_shingles", "id").join(comps, "id", "left")
              .select("h1", "h2", "n_shingles", F.coalesce("comp", "id").alias("component_id")))
     return (s.select("doc_id", "n_shingles", "h1", "h2").join(named, ["h1", "h2", "n_shingles"], "left")
@@ -149,30 +145,28 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: int = 80,
             .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 
-def exact_links(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough."""
-    needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+def set_bodies(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """(id, body): the whole shingle set of the documents with these ids."""
 
-    def sets(batches):
+    def run(batches):
         hasher = WordHasher()
         for batch in batches:
-            texts, ids = text_bytes(batch.column("text")), batch.column("doc_id")
+            texts, own = text_bytes(batch.column("text")), batch.column("doc_id")
             for lo, hi in chunks(texts):
-                yield pa.RecordBatch.from_arrays([ids[lo:hi], pa.array(
-                    [x.tobytes() for x in shingle_sets(texts[lo:hi], shingle, hasher)], pa.binary())], names=["id", "set"])
+                yield pa.RecordBatch.from_arrays([own[lo:hi], pa.array(
+                    [x.tobytes() for x in shingle_sets(texts[lo:hi], shingle, hasher)], pa.binary())], names=["id", "body"])
 
-    def compare(batches):
-        for batch in batches:
-            keep = []
-            for i, (x, y) in enumerate(zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist())):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if similarity * max(len(x), len(y)) > 100 * min(len(x), len(y)):
-                    continue
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= similarity * (len(x) + len(y) - both):
-                    keep.append(i)
-            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
-
-    one = saved(docs.join(needed, "doc_id").select("doc_id", "text").mapInArrow(sets, "id long, set binary"), "sets")
-    return (pairs.join(one.toDF("a", "set_a"), "a").join(one.toDF("b", "set_b"), "b")
-            .select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long").distinct())
+    return matching(docs, ids.withColumnRenamed("id", "doc_id"), "doc_id").select("doc_id", "text").mapInArrow(run, "id long, body binary")
+
+
+def sets_similar(similarity: int):
+    def holds(x: bytes, y: bytes) -> bool:
+        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        if similarity * max(len(x), len(y)) > 100 * min(len(x), len(y)):
+            return False
+        both = np.concatenate((x, y))
+        both.sort(kind="stable")
+        shared = int((both[1:] == both[:-1]).sum())
+        return 100 * shared >= similarity * (len(x) + len(y) - shared)
+
+    return holds
