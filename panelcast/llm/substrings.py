@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import WordHasher, chunks, gram_hashes, longs, saved, text_bytes
+from panelcast.llm.common import WordHasher, chunks, dropped, gram_hashes, longs, mixed, saved, text_bytes
 
 #: Words of an anchor.
 ANCHOR_WORDS = 5
@@ -34,13 +34,12 @@ def _windows(h: np.ndarray, doc: np.ndarray, min_words: int):
 
 
 def anchors(docs: DataFrame, min_words: int) -> DataFrame:
-    """(anchor, doc_id, th): the distinct winnowed anchors of every row."""
+    """(anchor, doc_id): the distinct winnowed anchors of every row."""
 
     def run(batches):
         hasher = WordHasher()
         for batch in batches:
-            texts = text_bytes(batch.column("text"))
-            ids, th = (np.asarray(batch.column(c)) for c in ("doc_id", "th"))
+            texts, ids = text_bytes(batch.column("text")), np.asarray(batch.column("doc_id"))
             for lo, hi in chunks(texts):
                 h, doc, _, _, _ = hasher(texts[lo:hi])
                 low, inside = _windows(h, doc, min_words)
@@ -52,47 +51,43 @@ def anchors(docs: DataFrame, min_words: int) -> DataFrame:
                 order = np.lexsort((low, at))
                 low, at = low[order], at[order]
                 new = np.concatenate(([True], (low[1:] != low[:-1]) | (at[1:] != at[:-1])))
-                low, at = low[new], at[new] + lo
-                yield pa.RecordBatch.from_arrays([pa.array(longs(low)), pa.array(ids[at]), pa.array(th[at])],
-                                                 names=["anchor", "doc_id", "th"])
+                yield pa.RecordBatch.from_arrays([pa.array(longs(low[new])), pa.array(ids[at[new] + lo])], names=["anchor", "doc_id"])
 
-    return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(run, "anchor long, doc_id long, th long")
+    return docs.mapInArrow(run, "anchor long, doc_id long")
+
+
+def _window_hashes(texts: list[bytes], one: WordHasher, two: WordHasher, min_words: int):
+    """(smallest anchor, window hash, text number, inside its text) of every
+    window.  The hash mixes two independent hashes of the word sequence."""
+    h, doc, _, _, _ = one(texts)
+    low, inside = _windows(h, doc, min_words)
+    both = gram_hashes(h, min_words, 1)
+    both = mixed(both + np.uint64(3) * gram_hashes(two(texts)[0], min_words, 2))
+    return longs(low), longs(both), doc[: len(low)], inside
 
 
 def seeded_windows(docs: DataFrame, min_words: int) -> DataFrame:
-    """(w1, w2, doc_id, th, start) for the windows of ``docs`` (with a column
-    ``seeds``) whose smallest anchor is one of the row's seeds: each seed
-    extended both ways to every window of ``min_words`` words it stands for.
-    w1 and w2 identify the window's word sequence."""
+    """(w, doc_id) for the windows of ``docs`` (with a column ``seeds``) whose
+    smallest anchor is one of the row's seeds: each seed extended both ways
+    to every window of ``min_words`` words that it stands for.  w is a 64-bit
+    hash of the window's word sequence."""
 
     def run(batches):
         one, two = WordHasher(), WordHasher(0xC2B2AE3D27D4EB4F)
         for batch in batches:
             texts, seeds = text_bytes(batch.column("text")), batch.column("seeds")
-            ids, th = (np.asarray(batch.column(c)) for c in ("doc_id", "th"))
-            ends = np.asarray(seeds.offsets)
-            flat = np.asarray(seeds.values)
+            ids, ends, flat = np.asarray(batch.column("doc_id")), np.asarray(seeds.offsets), np.asarray(seeds.values)
             for lo, hi in chunks(texts):
-                h, doc, _, _, _ = one(texts[lo:hi])
-                low, inside = _windows(h, doc, min_words)
-                if not inside.any():
-                    continue
-                first = np.searchsorted(doc[: len(low)], np.arange(hi - lo + 1))
-                hit = np.zeros(len(low), bool)
+                low, w, doc, inside = _window_hashes(texts[lo:hi], one, two, min_words)
+                first = np.searchsorted(doc, np.arange(hi - lo + 1))
                 for i in range(hi - lo):
-                    hit[first[i] : first[i + 1]] = np.isin(longs(low[first[i] : first[i + 1]]), flat[ends[lo + i] : ends[lo + i + 1]])
-                at = np.flatnonzero(hit & inside)
-                w1 = gram_hashes(h, min_words, 1)[at]
-                w2 = gram_hashes(two(texts[lo:hi])[0], min_words, 2)[at]
-                row, word0 = doc[at] + lo, np.searchsorted(doc, np.arange(hi - lo))
-                for c in range(0, len(at), 1 << 16):
-                    cut = slice(c, c + (1 << 16))
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(longs(w1[cut])), pa.array(longs(w2[cut])), pa.array(ids[row[cut]]), pa.array(th[row[cut]]),
-                        pa.array((at - word0[doc[at]])[cut].astype(np.int32)),
-                    ], names=["w1", "w2", "doc_id", "th", "start"])
+                    cut = slice(first[i], first[i + 1])
+                    hit = inside[cut] & np.isin(low[cut], flat[ends[lo + i] : ends[lo + i + 1]])
+                    if hit.any():
+                        own = np.unique(w[cut][hit])
+                        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), ids[lo + i]))], names=["w", "doc_id"])
 
-    return docs.select("doc_id", "th", "text", "seeds").mapInArrow(run, "w1 long, w2 long, doc_id long, th long, start int")
+    return docs.select("doc_id", "text", "seeds").mapInArrow(run, "w long, doc_id long")
 
 
 def without_repeats(docs: DataFrame, min_words: int = 13) -> DataFrame:
@@ -107,43 +102,46 @@ def without_repeats(docs: DataFrame, min_words: int = 13) -> DataFrame:
 
     Winnowing keeps the smallest five-word anchor of every window.  Anchors
     that occur in two documents are the seeds; each is extended both ways to
-    all windows it stands for, equal windows meet by their hashes with their
-    smallest doc_id, and overlapping matches merge into maximal repeats.  A
-    passage shared by many documents costs one row per occurrence, never a
-    pair of documents.
+    all windows it stands for, equal windows meet by their 64-bit hashes with
+    their smallest doc_id, and overlapping matches merge into maximal
+    repeats.  A passage shared by many documents costs rows per occurrence,
+    never per pair of documents.
 
     Null text has no words.  Rows with a null doc_id neither lose words nor
-    count as a source; rows that repeat a doc_id don't affect each other.
+    count as a source; rows that repeat a doc_id don't reduce each other.
     Other columns are ignored.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("th", F.xxhash64("text"))
-    found = anchors(docs, min_words)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = anchors(docs.where("doc_id IS NOT NULL AND text IS NOT NULL"), min_words)
     repeated = (found.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
                 .where("lo < hi").select("anchor"))
-    seeds = (found.join(repeated, "anchor").groupBy("doc_id", "th")
-             .agg(F.collect_list("anchor").alias("seeds")))
-    windows = saved(seeded_windows(docs.join(seeds, ["doc_id", "th"]), min_words), "windows")
-    firsts = (windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-              .where("lo < hi").select("w1", "w2", "lo"))
-    covered = (windows.join(firsts, ["w1", "w2"]).where("doc_id > lo")
-               .groupBy("doc_id", "th").agg(F.collect_set("start").alias("starts")))
+    seeds = saved(found.join(repeated, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("seeds")), "seeds")
+    windows = saved(seeded_windows(docs.join(seeds, "doc_id"), min_words), "windows")
+    firsts = (windows.groupBy("w").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+              .where("lo < hi").select("w", "lo"))
+    covered = saved(windows.join(firsts, "w").where("doc_id > lo")
+                    .groupBy("doc_id").agg(F.collect_set("w").alias("found")), "covered")
+    dropped(windows)
+    dropped(seeds)
 
     def cut(batches):
-        hasher = WordHasher()
+        one, two = WordHasher(), WordHasher(0xC2B2AE3D27D4EB4F)
         for batch in batches:
-            texts, starts = text_bytes(batch.column("text")), batch.column("starts")
+            texts, found = text_bytes(batch.column("text")), batch.column("found")
             ids = batch.column("doc_id")
             for lo, hi in chunks(texts):
-                _, doc, a, b, joined = hasher(texts[lo:hi])
+                _, doc, a, b, joined = one(texts[lo:hi])
+                _, w, _, inside = _window_hashes(texts[lo:hi], one, two, min_words)
                 word0 = np.searchsorted(doc, np.arange(hi - lo + 1))
                 n_words, n_gone, kept, runs, n_runs = [], [], [], [], []
                 for i in range(hi - lo):
                     n = word0[i + 1] - word0[i]
                     gone = np.zeros(n + 1, np.int32)
-                    if starts[lo + i].is_valid:
-                        s = np.asarray(starts[lo + i].values)
+                    if found[lo + i].is_valid:
+                        part = slice(word0[i], min(word0[i + 1], len(w)))
+                        s = np.flatnonzero(inside[part] & np.isin(w[part], np.asarray(found[lo + i].values)))
                         gone[s] += 1
-                        np.subtract.at(gone, s + min_words, 1) if len(s) else None
+                        gone[s + min_words] -= 1
                     gone = np.cumsum(gone)[:n] > 0
                     stay = np.flatnonzero(~gone) + word0[i]
                     kept.append(b" ".join([joined[x:y] for x, y in zip(a[stay].tolist(), b[stay].tolist())]))
@@ -161,5 +159,5 @@ def without_repeats(docs: DataFrame, min_words: int = 13) -> DataFrame:
                     pa.array(kept, pa.binary()).cast(pa.string()), pa.ListArray.from_arrays(offsets, pair),
                 ], names=["doc_id", "n_words", "n_removed", "kept_text", "repeats"])
 
-    return docs.join(covered, ["doc_id", "th"], "left").select("doc_id", "text", "starts").mapInArrow(
+    return docs.join(covered, "doc_id", "left").select("doc_id", "text", "found").mapInArrow(
         cut, "doc_id long, n_words long, n_removed long, kept_text string, repeats array<struct<first: long, last: long>>")
