@@ -117,12 +117,12 @@ def without_repeats(docs: DataFrame, min_words: int = 13) -> DataFrame:
                 .where("lo < hi").select("anchor"))
     seeds = saved(found.join(repeated, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("seeds")), "seeds")
     windows = saved(seeded_windows(docs.join(seeds, "doc_id"), min_words), "windows")
+    dropped(seeds)
     firsts = (windows.groupBy("w").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
               .where("lo < hi").select("w", "lo"))
     covered = saved(windows.join(firsts, "w").where("doc_id > lo")
                     .groupBy("doc_id").agg(F.collect_set("w").alias("found")), "covered")
     dropped(windows)
-    dropped(seeds)
 
     def cut(batches):
         one, two = WordHasher(), WordHasher(0xC2B2AE3D27D4EB4F)
