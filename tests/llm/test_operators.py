@@ -227,13 +227,14 @@ def test_decontamination_recall_and_precision(spark, make_docs):
         edited[k] = (n, edits)
     rows += [(1000 + k, filler() + " " + item()) for k in range(100)]
     bench = spark.createDataFrame([*items, (98, None), (99, "")], "item_id long, text string")
-    docs = make_docs(rows + ODD)
+    odd = [(None if i is None else 2000 + i, t) for i, t in ODD]
+    docs = make_docs(rows + odd)
     found = {(r.doc_id, r.item_id): r.edits for r in decontam.find(docs, bench).collect()}
     assert all((d, n) in found and found[d, n] == 0 for d, (n, e) in edited.items() if not e)
     assert sum((d, n) in found for d, (n, e) in edited.items()) >= 0.95 * len(edited)
     assert all(d is not None and d < 1000 for d, _ in found)
     kept = Counter(r.doc_id for r in decontam.clean(docs, bench).collect())
-    assert kept == Counter(i for i, _ in rows + ODD if i not in {d for d, _ in found})
+    assert kept == Counter(i for i, _ in rows + odd if i not in {d for d, _ in found})
     assert decontam.find(docs, bench.limit(0)).count() == 0
 
 
