@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.llm.common import dropped, matching, saved
 
 #: Whether two signatures may belong to a link: arrays of rows of bytes in, a mask out.
 Alike = Callable[[np.ndarray, np.ndarray], np.ndarray]
+#: The same of two signatures that are longs, from their exclusive or.
+Near = Callable[[Column], Column]
 #: Ids to (id, body), and whether two bodies make a link.
 Bodies = Callable[[DataFrame], DataFrame]
 Holds = Callable[[bytes, bytes], bool]
@@ -54,30 +56,39 @@ def _binary(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
 
 
+def _ids(pairs: DataFrame) -> DataFrame:
+    return saved(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
+
+
+def _both(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """(a, b, x, y): the pairs with the parts (id, value) of either side."""
+    return pairs.join(parts.toDF("a", "x"), "a").join(parts.toDF("b", "y"), "b").select("a", "b", "x", "y")
+
+
+def _verified(pairs: DataFrame, bodies: Bodies, holds: Holds) -> DataFrame:
+    """The stored pairs (a, b) whose bodies hold."""
+    kind = pairs.schema["a"].dataType.simpleString()
+
+    def exact(batches):
+        for b in batches:
+            keep = [holds(x, y) for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist())]
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return _both(pairs, saved(bodies(_ids(pairs)), "bodies")).mapInArrow(exact, f"a {kind}, b {kind}")
+
+
 def _linked(pairs: DataFrame, sigs: DataFrame, alike: Alike, bodies: Bodies, holds: Holds) -> DataFrame:
     """The pairs (a, b) that are links.  Signatures, then bodies, are fetched
     for the ids of the pairs only."""
     kind = pairs.schema["a"].dataType.simpleString()
 
-    def ids(p):
-        return saved(p.select(F.col("a").alias("id")).union(p.select("b")).distinct(), "ids")
-
     def likely(batches):
         for b in batches:
             if b.num_rows:
                 yield b.select(["a", "b"]).filter(pa.array(alike(_binary(b.column("x")), _binary(b.column("y")))))
 
-    def exact(batches):
-        for b in batches:
-            keep = [holds(x, y) for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist())]
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    def both(p, parts):
-        return p.join(parts.toDF("a", "x"), "a").join(parts.toDF("b", "y"), "b").select("a", "b", "x", "y")
-
-    own = saved(matching(sigs, ids(pairs), "id"), "sigs")
-    near = saved(both(pairs, own).mapInArrow(likely, f"a {kind}, b {kind}"), "near")
-    return both(near, saved(bodies(ids(near)), "bodies")).mapInArrow(exact, f"a {kind}, b {kind}")
+    own = saved(matching(sigs, _ids(pairs), "id"), "sigs")
+    return _verified(saved(_both(pairs, own).mapInArrow(likely, f"a {kind}, b {kind}"), "near"), bodies, holds)
 
 
 def _groups(batches):
@@ -155,7 +166,8 @@ def _cross_links(tiles: DataFrame, alike: Alike, bodies: Bodies, holds: Holds) -
             .mapInArrow(exact, f"a {kind}, b {kind}").distinct())
 
 
-def bucket_components(members: DataFrame, keys: list[str], sigs: DataFrame, alike: Alike, bodies: Bodies, holds: Holds) -> DataFrame:
+def bucket_components(members: DataFrame, keys: list[str], sigs: DataFrame, alike: Alike, bodies: Bodies, holds: Holds,
+                      near: Near | None = None) -> DataFrame:
     """Components of the graph that links two ids when they share a bucket,
     their signatures are ``alike`` and their bodies hold.  Returns (id, comp)
     for linked ids only.
@@ -170,15 +182,30 @@ def bucket_components(members: DataFrame, keys: list[str], sigs: DataFrame, alik
     that share this main component, in tiles of bounded size; only links
     become rows.  Pairs within a component cannot change the result, so no
     link between components is lost.
+
+    With ``near``, the members carry their signature as a long ``sig``, and
+    the pairs are tested on it where they meet: ids are longs too, and the
+    only pair of a bucket of two comes from the aggregate that counts it.
     """
-    sizes = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = saved(members.join(sizes, keys), "shared")
+    pair = [F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")]
+    if near is None:
+        sizes = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        shared = saved(members.join(sizes, keys), "shared")
+    else:
+        sizes = saved(members.groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("n"), F.min("id").alias("id"), F.max("id").alias("hub"), F.bit_xor("sig").alias("x"))
+            .where((F.col("n") > 2) | (F.col("n") == 2) & near(F.col("x"))), "sizes")
+        shared = saved(members.join(sizes.where("n > 2").select(*keys, "n"), keys), "shared")
     score = shared.groupBy("id").agg(F.sum("n").alias("score"))
     hubs = (shared.join(score, "id").groupBy(*keys)
-            .agg(F.max(F.struct("score", "id")).alias("top")).select(*keys, F.col("top.id").alias("hub")))
-    tested = saved(shared.join(hubs, keys).where("id <> hub")
-                   .select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct(), "pairs")
-    links = saved(_linked(tested, sigs, alike, bodies, holds), "links")
+            .agg(F.max(F.struct("score", *[c for c in shared.columns if c in ("id", "sig")])).alias("top"))
+            .select(*keys, F.col("top.id").alias("hub"), *[F.col("top.sig").alias("hub_sig")] * (near is not None)))
+    met = shared.join(hubs, keys).where("id <> hub")
+    if near is None:
+        links = saved(_linked(saved(met.select(*pair).distinct(), "pairs"), sigs, alike, bodies, holds), "links")
+    else:
+        met = met.where(near(F.col("sig").bitwiseXOR(F.col("hub_sig")))).select(*pair)
+        links = saved(_verified(saved(met.union(sizes.where("n = 2").select(*pair)).distinct(), "pairs"), bodies, holds), "links")
     comps = saved(connected_components(links), "comps")
 
     # Buckets of two have had their only pair tested.

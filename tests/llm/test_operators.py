@@ -103,7 +103,7 @@ def test_line_dedup(spark, make_docs):
     seen = defaultdict(list)
     for i, t in rows:
         for n, line in enumerate((t or "").encode().split(b"\n")):
-            if key := line_dedup.normal(line):
+            if key := line_dedup.normal_lines(line)[0]:
                 seen[key].append((i, n))
     keys = list(seen)
     sims = line_dedup.simhashes(keys, WordHasher())
