@@ -178,9 +178,9 @@ def bucket_components(members: DataFrame, keys: list[str], sigs: DataFrame, alik
     First each member is checked against its bucket's hub, the member with
     the largest total of bucket sizes (in a group of edited copies, the text
     that the others came from).  Members that this leaves outside their
-    bucket's main component are then compared with all members of the buckets
-    that share this main component, in tiles of bounded size; only links
-    become rows.  Pairs within a component cannot change the result, so no
+    bucket's main component are then compared with all members of their bucket
+    (without ``near``: of all buckets that share this main component), in
+    tiles of bounded size; only links become rows.  Pairs within a component cannot change the result, so no
     link between components is lost.
 
     With ``near``, the members carry their signature as a long ``sig``, and
@@ -214,19 +214,23 @@ def bucket_components(members: DataFrame, keys: list[str], sigs: DataFrame, alik
     parts = rest.groupBy(*keys, "comp").agg(F.count(F.lit(1)).alias("k"))
     mixed = (parts.groupBy(*keys).agg(F.max(F.struct("k", "comp")).alias("top"), F.count(F.lit(1)).alias("parts"))
              .where("parts > 1").select(*keys, F.col("top.comp").alias("main")))
-    open_ = saved(rest.join(mixed, keys).select("main", "id", "comp").distinct(), "open")
+    # Wide signatures: one group for all buckets of a main component, which often
+    # hold the same members.  Longs, compared fast: each bucket by itself, so that
+    # members which never met aren't compared.
+    group = F.col("main") if near is None else F.xxhash64(*keys)
+    open_ = saved(rest.join(mixed, keys).select(group.alias("grp"), "main", "id", "comp").distinct(), "open")
     if open_.isEmpty():
         return comps
     own = saved(matching(sigs, saved(open_.select("id").distinct(), "ids"), "id"), "sigs")
-    size = open_.groupBy("main").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.expr("comp <> main")).alias("m"))
-    rows = open_.join(size, "main").join(own, "id")
+    size = open_.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.expr("comp <> main")).alias("m"))
+    rows = open_.join(size, "grp").join(own, "id")
     slabs = lambda c: F.ceil(F.col(c) / TILE).cast("int")
     slab = lambda c: F.pmod(F.xxhash64("id"), slabs(c)).cast("int")
     all_slabs = lambda c: F.explode(F.sequence(F.lit(0), slabs(c) - 1))
-    row = ["main", "id", "comp", "sig"]
+    row = ["grp", "id", "comp", "sig"]
     every = rows.select(*row, F.lit(False).alias("few"), slab("n").alias("j"), all_slabs("m").alias("i"))
     few = rows.where("comp <> main").select(*row, F.lit(True).alias("few"), all_slabs("n").alias("j"), slab("m").alias("i"))
-    tiles = (every.unionByName(few).select(F.xxhash64("main", "i", "j").alias("g"), "few", "id", "comp", "sig")
+    tiles = (every.unionByName(few).select(F.xxhash64("grp", "i", "j").alias("g"), "few", "id", "comp", "sig")
              .repartition("g").sortWithinPartitions("g"))
     more = saved(_cross_links(tiles, alike, bodies, holds), "links")
     if more.isEmpty():
