@@ -115,15 +115,16 @@ def _cross_links(tiles: DataFrame, alike: Alike, bodies: Bodies, holds: Holds) -
     """Links (a, b) of each tile (g, few, id, comp, sig) between a row marked
     ``few`` and another of a different component.  Signatures, then bodies,
     are compared in memory: a tile gives a row for each of its rows that has
-    a candidate, with all of them in one list, and then one for each link."""
+    a candidate, with all of them in one list, and then one link for every two
+    components that it finds linked."""
     kind = tiles.schema["id"].dataType.simpleString()
 
     def likely(batches):
         for t in _groups(batches):
             g, few, sig = t.column("g").to_numpy(), t.column("few").to_numpy(), _binary(t.column("sig").combine_chunks())
-            ids = t.column("id").to_pylist()
-            comp = t.column("comp").combine_chunks().dictionary_encode().indices.to_numpy()
-            rows, lists, groups = [], [], []
+            ids, comps = t.column("id").to_pylist(), t.column("comp").combine_chunks()
+            comp = comps.dictionary_encode().indices.to_numpy()
+            at, lists, groups = [], [], []
             for a, b in _runs(g):
                 one, two, wanted = a + np.flatnonzero(few[a:b]), a + np.flatnonzero(~few[a:b]), set()
                 step = max(1, PAIRS_AT_ONCE // max(len(two), 1))
@@ -135,45 +136,52 @@ def _cross_links(tiles: DataFrame, alike: Alike, bodies: Bodies, holds: Holds) -
                     ok = alike(sig[i], sig[j])
                     i, j = i[ok], j[ok]
                     for x, y in _runs(i) if len(i) else ():
-                        rows.append(ids[i[x]])
+                        at.append(i[x])
                         lists.append([ids[k] for k in j[x:y]])
                         groups.append(g[a])
                     wanted.update(j.tolist())
                 for k in sorted(wanted):
-                    rows.append(ids[k])
+                    at.append(k)
                     lists.append(None)
                     groups.append(g[a])
+            own, at = t.schema.field("id").type, pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([
-                pa.array(groups, pa.int64()), pa.array(rows, t.schema.field("id").type), pa.array(lists, pa.list_(t.schema.field("id").type))], names=["g", "id", "others"])
+                pa.array(groups, pa.int64()), t.column("id").combine_chunks().take(at), comps.take(at),
+                pa.array(lists, pa.list_(own))], names=["g", "id", "comp", "others"])
 
     def exact(batches):
         for t in _groups(batches):
-            ids, others, body = (t.column(c).to_pylist() for c in ("id", "others", "body"))
+            ids, comps, others, body = (t.column(c).to_pylist() for c in ("id", "comp", "others", "body"))
             left, right = [], []
             for a, b in _runs(t.column("g").to_numpy()):
-                have = {ids[k]: body[k] for k in range(a, b) if others[k] is None}
+                have = {ids[k]: (comps[k], body[k]) for k in range(a, b) if others[k] is None}
+                joined = set()  # pairs of components that have a link
                 for k in range(a, b):
                     for o in others[k] or ():
-                        if o in have and holds(body[k], have[o]):
+                        if o not in have:
+                            continue
+                        comp, text = have[o]
+                        if (comps[k], comp) not in joined and holds(body[k], text):
+                            joined.add((comps[k], comp))
                             left.append(ids[k])
                             right.append(o)
             kind = t.schema.field("id").type
             yield pa.RecordBatch.from_arrays([pa.array(left, kind), pa.array(right, kind)], names=["a", "b"])
 
-    near = saved(tiles.mapInArrow(likely, f"g long, id {kind}, others array<{kind}>"), "near")
+    near = saved(tiles.mapInArrow(likely, f"g long, id {kind}, comp {kind}, others array<{kind}>"), "near")
     own = saved(bodies(saved(near.select("id").distinct(), "ids")), "bodies")
     return (near.join(own.toDF("id", "body"), "id").repartition("g").sortWithinPartitions("g")
             .mapInArrow(exact, f"a {kind}, b {kind}").distinct())
 
 
-def bucket_components(members: DataFrame, keys: list[str], sigs: DataFrame, alike: Alike, bodies: Bodies, holds: Holds,
+def bucket_components(members: DataFrame, keys: list[str], sigs: DataFrame | None, alike: Alike, bodies: Bodies, holds: Holds,
                       near: Near | None = None) -> DataFrame:
     """Components of the graph that links two ids when they share a bucket,
     their signatures are ``alike`` and their bodies hold.  Returns (id, comp)
     for linked ids only.
 
     ``members`` holds distinct rows (keys..., id), ``sigs`` (id, sig) with
-    signatures of one width; ``bodies(ids)`` gives (id, body).  A group of
+    signatures of one width (None with ``near``); ``bodies(ids)`` gives (id, body).  A group of
     copies shares many buckets, so pairs are not listed bucket by bucket.
     First each member is checked against its bucket's hub, the member with
     the largest total of bucket sizes (in a group of edited copies, the text
@@ -206,24 +214,31 @@ def bucket_components(members: DataFrame, keys: list[str], sigs: DataFrame, alik
     else:
         met = met.where(near(F.col("sig").bitwiseXOR(F.col("hub_sig")))).select(*pair)
         links = saved(_verified(saved(met.union(sizes.where("n = 2").select(*pair)).distinct(), "pairs"), bodies, holds), "links")
+        dropped(sizes)
     comps = saved(connected_components(links), "comps")
 
     # Buckets of two have had their only pair tested.
     rest = (shared.where("n > 2").join(comps, "id", "left")
-            .select(*keys, "id", F.coalesce("comp", "id").alias("comp")))
+            .select(*keys, "id", F.coalesce("comp", "id").alias("comp"), *["sig"] * (near is not None)))
     parts = rest.groupBy(*keys, "comp").agg(F.count(F.lit(1)).alias("k"))
     mixed = (parts.groupBy(*keys).agg(F.max(F.struct("k", "comp")).alias("top"), F.count(F.lit(1)).alias("parts"))
              .where("parts > 1").select(*keys, F.col("top.comp").alias("main")))
     # Wide signatures: one group for all buckets of a main component, which often
     # hold the same members.  Longs, compared fast: each bucket by itself, so that
     # members which never met aren't compared.
-    group = F.col("main") if near is None else F.xxhash64(*keys)
-    open_ = saved(rest.join(mixed, keys).select(group.alias("grp"), "main", "id", "comp").distinct(), "open")
+    open_ = rest.join(mixed, keys)
+    if near is None:
+        open_ = saved(open_.select(F.col("main").alias("grp"), "main", "id", "comp").distinct(), "open")
+    else:
+        sig = F.unhex(F.lpad(F.hex("sig"), 16, "0")).alias("sig")
+        open_ = saved(open_.select(F.xxhash64(*keys).alias("grp"), "main", "id", "comp", sig), "open")
+    dropped(shared)
     if open_.isEmpty():
         return comps
-    own = saved(matching(sigs, saved(open_.select("id").distinct(), "ids"), "id"), "sigs")
     size = open_.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.expr("comp <> main")).alias("m"))
-    rows = open_.join(size, "grp").join(own, "id")
+    rows = open_.join(size, "grp")
+    if near is None:
+        rows = rows.join(saved(matching(sigs, saved(open_.select("id").distinct(), "ids"), "id"), "sigs"), "id")
     slabs = lambda c: F.ceil(F.col(c) / TILE).cast("int")
     slab = lambda c: F.pmod(F.xxhash64("id"), slabs(c)).cast("int")
     all_slabs = lambda c: F.explode(F.sequence(F.lit(0), slabs(c) - 1))
