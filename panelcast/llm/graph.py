@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -111,16 +111,24 @@ def _runs(g: np.ndarray):
     return zip(edge[:-1].tolist(), edge[1:].tolist())
 
 
-def _cross_links(tiles: DataFrame, alike: Alike, bodies: Bodies, holds: Holds) -> DataFrame:
-    """Links (a, b) of each tile (g, few, id, comp, sig) between a row marked
+def _cross_links(tiles: DataFrame, alike: Alike, bodies: Bodies, holds: Holds, masks: Sequence[int]) -> DataFrame:
+    """Links (a, b) of each tile (g, few, id, comp, sig, table) between a row marked
     ``few`` and another of a different component.  Signatures, then bodies,
     are compared in memory: a tile gives a row for each of its rows that has
     a candidate, with all of them in one list, and then one link for every two
-    components that it finds linked."""
+    components that it finds linked.  Two signatures that agree on the mask of
+    a table before the tile's own are left to that table."""
     kind = tiles.schema["id"].dataType.simpleString()
 
+    def met_before(x, y, table):
+        differ, out = np.ascontiguousarray(x ^ y).view(">u8").ravel(), np.zeros(len(x), bool)
+        for m in masks[:table]:
+            out |= differ & np.uint64(m) == 0
+        return out
+
     def likely(batches):
         for t in _groups(batches):
+            tables = t.column("table").to_numpy()
             g, few, sig = t.column("g").to_numpy(), t.column("few").to_numpy(), _binary(t.column("sig").combine_chunks())
             ids, comps = t.column("id").to_pylist(), t.column("comp").combine_chunks()
             comp = comps.dictionary_encode().indices.to_numpy()
@@ -135,6 +143,9 @@ def _cross_links(tiles: DataFrame, alike: Alike, bodies: Bodies, holds: Holds) -
                     i, j = i[other], j[other]
                     ok = alike(sig[i], sig[j])
                     i, j = i[ok], j[ok]
+                    if tables[a]:
+                        ok = ~met_before(sig[i], sig[j], tables[a])
+                        i, j = i[ok], j[ok]
                     for x, y in _runs(i) if len(i) else ():
                         at.append(i[x])
                         lists.append([ids[k] for k in j[x:y]])
@@ -175,7 +186,7 @@ def _cross_links(tiles: DataFrame, alike: Alike, bodies: Bodies, holds: Holds) -
 
 
 def bucket_components(members: DataFrame, keys: list[str], sigs: DataFrame | None, alike: Alike, bodies: Bodies, holds: Holds,
-                      near: Near | None = None) -> DataFrame:
+                      near: Near | None = None, masks: Sequence[int] = ()) -> DataFrame:
     """Components of the graph that links two ids when they share a bucket,
     their signatures are ``alike`` and their bodies hold.  Returns (id, comp)
     for linked ids only.
@@ -193,7 +204,10 @@ def bucket_components(members: DataFrame, keys: list[str], sigs: DataFrame | Non
 
     With ``near``, the members carry their signature as a long ``sig``, and
     the pairs are tested on it where they meet: ids are longs too, and the
-    only pair of a bucket of two comes from the aggregate that counts it.
+    only pair of a bucket of two comes from the aggregate that counts it.  The
+    low byte of a bucket, one long, is then the number of its table, whose members
+    agree on ``masks[table]`` of their signature: a pair that meets in
+    several tables is compared in the first.
     """
     pair = [F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")]
     if near is None:
@@ -231,7 +245,7 @@ def bucket_components(members: DataFrame, keys: list[str], sigs: DataFrame | Non
         open_ = saved(open_.select(F.col("main").alias("grp"), "main", "id", "comp").distinct(), "open")
     else:
         sig = F.unhex(F.lpad(F.hex("sig"), 16, "0")).alias("sig")
-        open_ = saved(open_.select(F.xxhash64(*keys).alias("grp"), "main", "id", "comp", sig), "open")
+        open_ = saved(open_.select(F.col(*keys).alias("grp"), "main", "id", "comp", sig), "open")
     dropped(shared)
     if open_.isEmpty():
         return comps
@@ -242,12 +256,13 @@ def bucket_components(members: DataFrame, keys: list[str], sigs: DataFrame | Non
     slabs = lambda c: F.ceil(F.col(c) / TILE).cast("int")
     slab = lambda c: F.pmod(F.xxhash64("id"), slabs(c)).cast("int")
     all_slabs = lambda c: F.explode(F.sequence(F.lit(0), slabs(c) - 1))
-    row = ["grp", "id", "comp", "sig"]
+    table = F.lit(0) if near is None else F.col("grp").bitwiseAND(F.lit(255)).cast("int")
+    row = ["grp", "id", "comp", "sig", table.alias("table")]
     every = rows.select(*row, F.lit(False).alias("few"), slab("n").alias("j"), all_slabs("m").alias("i"))
     few = rows.where("comp <> main").select(*row, F.lit(True).alias("few"), all_slabs("n").alias("j"), slab("m").alias("i"))
-    tiles = (every.unionByName(few).select(F.xxhash64("grp", "i", "j").alias("g"), "few", "id", "comp", "sig")
+    tiles = (every.unionByName(few).select(F.xxhash64("grp", "i", "j").alias("g"), "few", "id", "comp", "sig", "table")
              .repartition("g").sortWithinPartitions("g"))
-    more = saved(_cross_links(tiles, alike, bodies, holds), "links")
+    more = saved(_cross_links(tiles, alike, bodies, holds, masks), "links")
     if more.isEmpty():
         return comps
     return saved(connected_components(links.union(more)), "comps")
