@@ -92,7 +92,8 @@ def association_grid(
     the grid is built from the two label lists, not from the data.
 
     ``multi_valued=True`` accepts several rows per entity (x or y from a
-    bridge); all counts then become distinct-entity counts.
+    bridge); all counts then become distinct-entity counts (a NULL entity is
+    none).
 
     Result: ``feature, target, n11, r, k, n, v``; |features| x |targets| rows.
     """
@@ -101,18 +102,24 @@ def association_grid(
     tl = _labels(spark, "target", list(targets))
     grid = fl.select("feature", F.explode(F.array(*[F.lit(t) for t in targets])).alias("target"))
     if multi_valued:
-        d = df.select(qcol(entity).alias("_e"), qcol(x).alias("_x"), qcol(y).alias("_y")).distinct()
-        cnt = F.count_distinct("_e")
-        n_total = d.agg(F.count_distinct("_e")).scalar()
-        r = d.groupBy(F.col("_x").alias("feature")).agg(cnt.alias("r"))
-        k = d.groupBy(F.col("_y").alias("target")).agg(cnt.alias("k"))
-        n11 = d.groupBy(F.col("_x").alias("feature"), F.col("_y").alias("target")).agg(cnt.alias("n11"))
-        g = (
-            grid.join(n11, ["feature", "target"], "left")
-            .join(r, "feature", "left")
-            .join(k, "target", "left")
-            .withColumn("n", n_total)
+        # Distinct (entity, x, y), (entity, x), (entity, y) and (entity), told
+        # apart by a tag, from one pass and one shuffle on all of the key.
+        # The counts are conditional sums over the same cells, not filters,
+        # so every branch below reuses one exchange and the data are read once.
+        e, xc, yc = (F.col(c) for c in ("_e", "_x", "_y"))
+        none_x, none_y = (F.lit(None).cast(df.select(qcol(c)).schema[0].dataType) for c in (x, y))
+        parts = [F.struct(F.lit(t).alias("t"), u.alias("cf"), v.alias("ct"))
+                 for t, (u, v) in enumerate(((xc, yc), (xc, none_y), (none_x, yc), (none_x, none_y)))]
+        cells = (
+            df.select(qcol(entity).alias("_e"), qcol(x).alias("_x"), qcol(y).alias("_y")).where(e.isNotNull())
+            .select("_e", F.explode(F.array(*parts)).alias("_p")).select("_e", "_p.*").distinct()
+            .groupBy("t", F.col("cf").alias("_cf"), F.col("ct").alias("_ct")).agg(F.count(F.lit(1)).alias("c"))
         )
+        entities = [F.sum(F.when(F.col("t") == t, F.col("c"))) for t in range(4)]
+        n11 = cells.groupBy("_cf", "_ct").agg(entities[0].alias("n11"))
+        r = cells.groupBy(F.col("_cf").alias("_rf")).agg(entities[1].alias("r"))
+        k = cells.groupBy(F.col("_ct").alias("_kt")).agg(entities[2].alias("k"))
+        n_total = cells.agg(entities[3]).scalar()
     else:
         # One aggregate of the data; the marginals r, k and the universe size
         # n (which also counts NULL and unlisted values) are sums over its
@@ -121,16 +128,16 @@ def association_grid(
         # keeps the identical cells plan, its exchange is reused, and the
         # data are read once.  n is a scalar subquery (a global sum of
         # partial sums); no window gathers the cells into one task.
-        cells = df.groupBy(qcol(x).alias("_cf"), qcol(y).alias("_ct")).agg(F.count(F.lit(1)).alias("n11"))
-        r = cells.groupBy(F.col("_cf").alias("_rf")).agg(F.sum("n11").alias("r"))
-        k = cells.groupBy(F.col("_ct").alias("_kt")).agg(F.sum("n11").alias("k"))
-        n_total = cells.agg(F.sum("n11")).scalar()
-        g = (
-            grid.join(cells, F.col("feature").eqNullSafe(F.col("_cf")) & F.col("target").eqNullSafe(F.col("_ct")), "left")
-            .join(r, F.col("feature").eqNullSafe(F.col("_rf")), "left")
-            .join(k, F.col("target").eqNullSafe(F.col("_kt")), "left")
-            .withColumn("n", n_total)
-        )
+        n11 = df.groupBy(qcol(x).alias("_cf"), qcol(y).alias("_ct")).agg(F.count(F.lit(1)).alias("n11"))
+        r = n11.groupBy(F.col("_cf").alias("_rf")).agg(F.sum("n11").alias("r"))
+        k = n11.groupBy(F.col("_ct").alias("_kt")).agg(F.sum("n11").alias("k"))
+        n_total = n11.agg(F.sum("n11")).scalar()
+    g = (
+        grid.join(n11, F.col("feature").eqNullSafe(F.col("_cf")) & F.col("target").eqNullSafe(F.col("_ct")), "left")
+        .join(r, F.col("feature").eqNullSafe(F.col("_rf")), "left")
+        .join(k, F.col("target").eqNullSafe(F.col("_kt")), "left")
+        .withColumn("n", n_total)
+    )
     g = g.select(
         "feature",
         "target",

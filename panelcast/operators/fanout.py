@@ -163,23 +163,30 @@ def grouped_avg(
     m = qcol(base.measure)
     if dim in base.bridges:
         b = base.bridges[dim]
-        items = b.labelled(base.key).groupBy(base.key, qcol(dim)).agg(F.count(F.lit(1)).alias("_mult"))
         ent = base.entities.select(base.key, m, _other_weight(base, dim).alias("_w"))
-        # Entities without bridge rows keep one row with a NULL label (left join).
-        rows = ent.join(items, base.key, "left")
         if weighting == "fanout":
-            w = F.coalesce(F.col("_mult"), F.lit(1)) * F.col("_w")
+            # Sums per item id first: the lookup meets one row per item.
+            items = (b.df.groupBy(qcol(b.key).alias(base.key), qcol(b.item).alias("_item"))
+                     .agg(F.count(F.lit(1)).alias("_mult")))
+            # Entities without bridge rows keep one row with a NULL item (left join).
+            w = (F.coalesce(F.col("_mult"), F.lit(1)) * F.col("_w")).cast("double")
+            rows = ent.join(items, base.key, "left").groupBy("_item").agg(F.sum(m * w).alias("_sum"), F.sum(w).alias("_weight"))
+            if b.lookup is None:
+                rows = rows.withColumnRenamed("_item", dim)
+            else:
+                labels = b.lookup.select(qcol(b.lookup_id).alias("_item"), qcol(b.lookup_label).alias(dim))
+                rows = rows.join(labels, "_item", "left")
+            total, weight = F.col("_sum"), F.col("_weight")
         else:
-            w = F.lit(1)
+            items = b.labelled(base.key).select(base.key, qcol(dim)).distinct()
+            rows, total, weight = ent.join(items, base.key, "left"), m.cast("double"), F.lit(1.0)
     else:
         rows = base.entities
-        w = F.col("weight") if weighting == "fanout" else F.lit(1)
+        weight = (F.col("weight") if weighting == "fanout" else F.lit(1)).cast("double")
+        total = m * weight
     if exclude or not keep_null:
         rows = rows.filter(excluding(dim, exclude, keep_null=keep_null))
-    wd = w.cast("double")
-    out = rows.groupBy(qcol(dim)).agg(
-        F.try_divide(F.sum(m * wd), F.sum(wd)).alias(avg_col)
-    )
+    out = rows.groupBy(qcol(dim)).agg(F.try_divide(F.sum(total), F.sum(weight)).alias(avg_col))
     if sort == "value":
         out = out.orderBy(F.col(avg_col).asc(), qcol(dim).asc_nulls_first())
     elif sort == "key":

@@ -326,6 +326,18 @@ GROUP BY 1, 2
 """,
     "cramers_v": _chi2(ORDER_SEGMENTS),
     "association_grid": f"SELECT feature, target, n11, r, k, n, ROUND(v, 6) AS v FROM ({GRID}) g",
+    "association_grid_multi": """
+SELECT feature, target, n11, r, k, n,
+       ROUND(CASE WHEN r * k * (n - r) * (n - k) > 0
+                  THEN ABS(n * n11 - r * k) / SQRT(r::DOUBLE * k * (n - r) * (n - k)) END, 6) AS v
+FROM (SELECT feature, target,
+             COUNT(DISTINCT CASE WHEN l_returnflag = feature AND l_linestatus = target THEN l_orderkey END) AS n11,
+             COUNT(DISTINCT CASE WHEN l_returnflag = feature THEN l_orderkey END) AS r,
+             COUNT(DISTINCT CASE WHEN l_linestatus = target THEN l_orderkey END) AS k,
+             COUNT(DISTINCT l_orderkey) AS n
+      FROM lineitem, (VALUES ('A'), ('N'), ('R'), ('X')) f(feature), (VALUES ('F'), ('O')) t(target)
+      GROUP BY feature, target) g
+""",
     "top_associations": f"""
 SELECT feature, target, n11, r, k, n, ROUND(v, 6) AS v FROM ({GRID}) g
 ORDER BY v DESC NULLS LAST, feature, target LIMIT 10

@@ -298,6 +298,12 @@ def q_association_grid(spark, d):
     return _grid_out(_grid(spark, d))
 
 
+def q_association_grid_multi(spark, d):
+    """Orders as entities; flags and statuses of their lines, several each."""
+    return _grid_out(association_grid(table(spark, d, "lineitem"), "l_orderkey", "l_returnflag", "l_linestatus",
+                                      ["A", "N", "R", "X"], ["F", "O"], multi_valued=True))
+
+
 def q_top_associations(spark, d):
     return _grid_out(top_associations(_grid(spark, d), 10))
 
@@ -368,6 +374,7 @@ QUERIES = {
     "contingency": q_contingency,
     "cramers_v": q_cramers_v,
     "association_grid": q_association_grid,
+    "association_grid_multi": q_association_grid_multi,
     "top_associations": q_top_associations,
     "association_labels": q_association_labels,
     "cluster_profiles": q_cluster_profiles,
