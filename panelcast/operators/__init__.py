@@ -4,7 +4,7 @@ except the Spark ML fits in ``profile``, which run jobs when called."""
 from panelcast.operators.adoption import adoption_vs_demand, distinct_entities
 from panelcast.operators.association import association_grid, contingency, cramers_v, top_associations
 from panelcast.operators.fanout import Bridge, FanoutBase, decode, fanout_base, grouped_avg, histogram
-from panelcast.operators.flow import bridge_weights, flow_links, flow_nodes, pair_flows, pathway
+from panelcast.operators.flow import bridge_weights, flow_links, flow_nodes, label_counts, pair_flows, pathway
 from panelcast.operators.profile import (
     array_vectors,
     cluster_profiles,
@@ -25,6 +25,7 @@ __all__ = [
     "association_grid",
     "breakdown",
     "bridge_weights",
+    "label_counts",
     "cluster_profiles",
     "collapse_small",
     "contingency",

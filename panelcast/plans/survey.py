@@ -18,7 +18,7 @@ from panelcast.functions.missing import NULLS, Missing, drop_missing, relabel
 from panelcast.operators.adoption import adoption_vs_demand
 from panelcast.operators.association import association_grid, top_associations
 from panelcast.operators.fanout import Bridge, FanoutBase, decode, fanout_base, grouped_avg, histogram
-from panelcast.operators.flow import bridge_weights, flow_links, flow_nodes, pair_flows, pathway
+from panelcast.operators.flow import flow_links, flow_nodes, label_counts, pair_flows, pathway
 from panelcast.operators.profile import (
     cluster_profiles,
     indicator_long,
@@ -231,9 +231,10 @@ def learn_code_methods(t: Tables) -> DataFrame:
 
 
 def _combined(t: Tables) -> DataFrame:
-    """Respondents joined with their learning methods, one row per distinct
-    (respondent, method) with its multiplicity ``mult``."""
-    return bridge_weights(learn_code_methods(t), KEY, "name").join(clean_respondents(t), KEY)
+    """Respondents joined with their learning methods, counted (``mult``) per
+    method and combination of answers."""
+    return label_counts(clean_respondents(t), KEY, ["EdLevel", "DevType", "Industry"],
+                        t["RespondentLearnCode"], KEY, "id", t["LearnCode"], "id", "name", "name")
 
 
 def pathway_pair_flows(t: Tables) -> DataFrame:

@@ -16,7 +16,7 @@ from panelcast.functions.missing import NULLS, Missing, drop_missing
 from panelcast.operators.adoption import adoption_vs_demand
 from panelcast.operators.association import association_grid, contingency, cramers_v, top_associations
 from panelcast.operators.fanout import Bridge, decode, fanout_base, grouped_avg, histogram
-from panelcast.operators.flow import bridge_weights, flow_links, flow_nodes, pair_flows, pathway
+from panelcast.operators.flow import flow_links, flow_nodes, label_counts, pair_flows, pathway
 from panelcast.operators.profile import (
     array_vectors,
     cluster_profiles,
@@ -220,9 +220,9 @@ def _combined(spark, d):
     ent = table(spark, d, "orders").join(
         table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment"), "o_custkey"
     ).select("o_orderkey", "c_mktsegment", "o_orderpriority", "o_orderstatus")
-    # Bridge rows pre-aggregated per (order, part type); "mult" keeps the
-    # row count of the literal join.
-    return bridge_weights(_part_types(spark, d), "o_orderkey", "p_type").join(ent, "o_orderkey")
+    return label_counts(ent, "o_orderkey", ["c_mktsegment", "o_orderpriority", "o_orderstatus"],
+                        table(spark, d, "lineitem"), "l_orderkey", "l_partkey",
+                        table(spark, d, "part"), "p_partkey", "p_type", "p_type")
 
 
 PATHWAY = ["c_mktsegment", "p_type", "o_orderpriority"]

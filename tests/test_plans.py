@@ -15,7 +15,7 @@ from panelcast.plans.testbed import QUERIES
 ML = {"cluster_profiles", "project_2d", "silhouette_sweep", "cluster_embeddings"}
 NAMES = sorted(set(QUERIES) - ML)
 # flow_nodes and flow_links read stored node parts beside the tables.
-READ_ONCE = ["pair_flows", "association_grid", "top_associations",
+READ_ONCE = ["pair_flows", "association_grid", "association_grid_multi", "top_associations",
              "indicator_long", "indicator_wide", "group_share", "pivot_share", "collapse_small",
              "breakdown_collapsed", "cramers_v", "histogram", "distribution"]
 

@@ -13,6 +13,7 @@ from panelcast.operators import (
     group_share,
     grouped_avg,
     indicator_long,
+    label_counts,
     pair_flows,
 )
 
@@ -61,6 +62,12 @@ def test_flows_with_hot_entity(spark, skewed):
     attr = {e: a for e, a, _ in ents}
     want = Counter((attr[e], f"L{i}") for e, i in bridge if e in attr)
     assert got == dict(want)
+    # The same from raw bridge rows; items above 2 have no label.
+    raw = spark.createDataFrame(bridge, "id long, item long")
+    lookup = spark.createDataFrame([(i, f"L{i}") for i in range(3)], "item long, label string")
+    comb = label_counts(ent, "id", ["attr"], raw, "id", "item", lookup, "item", "label", "label")
+    got = {(r.source, r.target): r["count"] for r in pair_flows(comb, [("attr", "label")], weight="mult").collect()}
+    assert got == {k: n for k, n in want.items() if k[1] in ("L0", "L1", "L2")}
 
 
 def test_share_and_indicators_with_hot_group(spark, skewed):
