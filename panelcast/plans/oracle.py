@@ -195,6 +195,22 @@ def _wide() -> str:
     return f"WITH long AS ({INDICATOR_LONG})\nSELECT o_orderkey,\n       {cols}\nFROM long GROUP BY o_orderkey"
 
 
+def _vectors(value: str) -> str:
+    """One row per order and place of the vocabulary; x is 1 where the order has its label."""
+    vocab = ", ".join(f"({i}, '{v}')" for i, v in enumerate(PART_TYPES + PRIORITIES))
+    return f"""
+WITH long AS ({INDICATOR_LONG}),
+dense AS (
+    SELECT e.o_orderkey, v.idx, COUNT(l.label) AS x
+    FROM (SELECT DISTINCT o_orderkey FROM long) e
+    CROSS JOIN (VALUES {vocab}) v(idx, label)
+    LEFT JOIN long l ON l.o_orderkey = e.o_orderkey AND l.label = v.label AND l.feature <> 'o_orderstatus'
+    GROUP BY e.o_orderkey, v.idx
+)
+SELECT o_orderkey, CAST(idx AS INTEGER) AS idx, {value} AS value FROM dense
+"""
+
+
 def _pivot() -> str:
     cols = ",\n       ".join(
         f"ROUND(COALESCE(MAX(CASE WHEN o_orderstatus = '{v}' THEN percentage END), 0.0), 6) AS {_q(v)}"
@@ -318,6 +334,8 @@ GROUP BY 1, 2
 """,
     "indicator_long": INDICATOR_LONG,
     "indicator_wide": _wide(),
+    "indicator_vectors": _vectors("CAST(x AS DOUBLE)"),
+    "normalized_vectors": _vectors("ROUND(x / SQRT(SUM(x * x) OVER (PARTITION BY o_orderkey)), 6)"),
     "contingency": """
 SELECT o.o_orderpriority, c.c_mktsegment, CAST(COUNT(*) AS BIGINT) AS cnt
 FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey

@@ -10,6 +10,7 @@ places, means to 4) so the results compare exactly with the DuckDB oracle in
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from panelcast.functions.missing import NULLS, Missing, drop_missing
@@ -23,6 +24,7 @@ from panelcast.operators.profile import (
     indicator_long,
     indicator_vectors,
     indicator_wide,
+    normalized,
     project_2d,
     silhouette_sweep,
 )
@@ -322,6 +324,18 @@ def _order_vectors(spark, d):
     return indicator_vectors(long, "o_orderkey", PART_TYPES + PRIORITIES)
 
 
+def _components(vectors, col):
+    return vectors.select("o_orderkey", F.posexplode(vector_to_array(F.col(col))).alias("idx", "value"))
+
+
+def q_indicator_vectors(spark, d):
+    return _components(_order_vectors(spark, d), "features")
+
+
+def q_normalized_vectors(spark, d):
+    return _components(normalized(_order_vectors(spark, d)), "normalized_features").withColumn("value", F.round("value", 6))
+
+
 def q_cluster_profiles(spark, d):
     return cluster_profiles(_order_vectors(spark, d), "o_orderkey", k=3, seed=SEED).select("o_orderkey", "cluster")
 
@@ -377,6 +391,8 @@ QUERIES = {
     "association_grid_multi": q_association_grid_multi,
     "top_associations": q_top_associations,
     "association_labels": q_association_labels,
+    "indicator_vectors": q_indicator_vectors,
+    "normalized_vectors": q_normalized_vectors,
     "cluster_profiles": q_cluster_profiles,
     "project_2d": q_project_2d,
     "silhouette_sweep": q_silhouette_sweep,
