@@ -27,7 +27,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.without_repeated_lines(read(spark, sf_dir, "documents"))
+    out = line_dedup.without_repeated_lines(read(spark, sf_dir, "documents"), sketch=line_dedup.SKETCH)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
 
 

@@ -265,3 +265,40 @@ def test_pipeline(spark):
         assert stage(spark, docs, sf).columns == docs.columns
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     assert all(r.n_tokens == len(r.ids) and max(r.ids, default=0) < len(ranks) for r in out.values())
+
+
+def test_line_dedup_by_edit_similarity_alone(spark, make_docs):
+    """Recall of the sketches against brute force over edit similarity, by line
+    length and kind of edit; nothing that isn't similar is linked."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice(WORDS) for _ in range(rng.randint(1, 3)))
+    chinese = [chr(0x4E00 + k) for k in range(2000)]
+
+    def replaced(line):
+        w = line.split(" ")
+        k = rng.randrange(len(w))
+        w[k] = "".join(rng.choice("qwxyz") for _ in w[k])
+        return " ".join(w)
+
+    def typos(line, share):
+        s = list(line)
+        for k in rng.sample(range(len(s)), max(1, int(share * len(s)))):
+            s[k] = rng.choice(chinese if ord(s[k]) > 127 else "bcfjqvwxyz")
+        return "".join(s)
+
+    rows, pairs = [], {}
+    for kind in ("word", "letter", "tenth", "chinese"):
+        for size in (10, 20, 30, 50, 80):
+            for _ in range(20):
+                line = "".join(rng.choice(chinese) for _ in range(size)) if kind == "chinese" else " ".join(word() for _ in range(size))
+                other = replaced(line) if kind == "word" else typos(line, {"letter": 0, "tenth": 0.1, "chinese": 0.1}[kind])
+                pairs.setdefault((kind, size), []).append(len(rows))
+                rows += [(len(rows), line), (len(rows) + 1, other)]
+    norm = [line_dedup.normal_lines(t.encode())[0] for _, t in rows]
+    similar = lambda a, b: line_dedup.edit_distance(norm[a], norm[b]) <= 0.2 * max(len(norm[a]), len(norm[b]))
+    got = line_dedup.without_repeated_lines(make_docs(rows), sketch=line_dedup.SKETCH).collect()
+    gone = {r.doc_id for r in got if r.n_removed}
+    for where, firsts in pairs.items():
+        true = [a for a in firsts if similar(a, a + 1)]
+        assert true and sum(a + 1 in gone for a in true) >= (0.95 if where[1] > 10 else 0.85) * len(true), where
+    assert all(any(similar(a, b) for a in range(b)) for b in gone)
