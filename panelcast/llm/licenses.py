@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import saved
+from panelcast.llm.common import BROADCAST_KEYS, matching, saved
 
 #: (licence, wording).  Headers and one-paragraph notices; a licence may have several.
 TEMPLATES = (
@@ -45,9 +45,9 @@ def _tokens(text: Column) -> Column:
 class Weights:
     """TF-IDF of the templates; document frequencies from the whole corpus.
 
-    Only the templates' own terms are counted (some hundred at most), so what
-    reaches the driver is bounded by the templates.  A term outside them
-    weighs as one that occurs in a single document, each occurrence alone."""
+    Only the templates' own terms (some hundred at most) reach the driver: they
+    make the templates' vectors and the gate.  The frequencies of the words of
+    gated headers stay a table (:meth:`best`)."""
 
     def __init__(self, files: DataFrame, templates: Sequence[tuple[str, str]], threshold: float):
         counts = [(name, Counter(_terms(t))) for name, t in templates]
@@ -56,9 +56,8 @@ class Weights:
                 .select(F.explode(F.array_intersect(_tokens(F.col("text")), F.array(*map(F.lit, vocabulary)))).alias("t"))
                 .groupBy("t").agg(F.count(F.lit(1)).alias("n")))
         df = {r.t: r.n for r in seen.collect()}  # at most one row per vocabulary term
-        n = files.where("text IS NOT NULL").count()
-        self.idf = {t: math.log((1 + n) / (1 + df.get(t, 0))) + 1 for t in vocabulary}
-        self.other = math.log((1 + n) / 2) + 1
+        self.n = files.where("text IS NOT NULL").count()
+        self.idf = {t: math.log((1 + self.n) / (1 + df.get(t, 0))) + 1 for t in vocabulary}
         self.templates = []
         gate: set[str] = set()
         for name, c in counts:
@@ -75,23 +74,27 @@ class Weights:
                 left -= (w[t] / norm) ** 2
         self.gate = r"(?i)(?<![a-z0-9])(?:" + "|".join(sorted(gate)) + ")(?![a-z0-9])"
 
-    def best(self, line: Column) -> Column:
-        """Struct (score, licence) of the most similar template."""
-        def numbers(d):
-            return F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
-        idf = numbers(self.idf)
-        vocabulary = F.array(*[F.lit(t) for t in self.idf])
-        tokens = _tokens(line)
-        count = lambda t: F.size(F.filter(tokens, lambda x: x == t))
-        known = F.aggregate(F.transform(vocabulary, lambda t: F.pow(count(t) * idf[t], F.lit(2.0))), F.lit(0.0), lambda a, x: a + x)
-        strange = F.size(F.filter(tokens, lambda x: ~F.array_contains(vocabulary, x))) * F.lit(self.other**2)
-        norm = F.sqrt(known + strange)
+    def best(self, files: DataFrame, headers: DataFrame) -> DataFrame:
+        """(h, best) for ``headers`` (h, header): the struct (score, licence) of
+        the most similar template.  Every word weighs by the number of files
+        that hold it; words meet by 64-bit hashes."""
+        terms = saved(headers.select("h", F.explode(_tokens(F.col("header"))).alias("t"))
+                      .groupBy("h", "t").agg(F.count(F.lit(1)).alias("tf")).withColumn("w", F.xxhash64("t")), "terms")
+        words = (files.where("text IS NOT NULL").select(F.explode(F.array_distinct(_tokens(F.col("text")))).alias("t"))
+                 .select(F.xxhash64("t").alias("w")))
+        seen = saved(matching(words, saved(terms.select("w").distinct(), "words"), "w")
+                     .groupBy("w").agg(F.count(F.lit(1)).alias("df")), "frequencies")
+        few = seen.count() <= BROADCAST_KEYS
+        weighed = terms.join(F.broadcast(seen) if few else seen, "w").withColumn(
+            "x", F.col("tf") * (F.log((1 + self.n) / (1 + F.col("df"))) + 1))
         def dot(weights):
-            product = numbers({t: x * self.idf[t] for t, x in weights.items()})
-            return F.aggregate(tokens, F.lit(0.0), lambda a, x: a + F.coalesce(product[x], F.lit(0.0)))
-        return F.array_max(F.array(*[
-            F.struct(F.round(F.try_divide(dot(w), norm), 6).alias("score"), F.lit(name).alias("licence"))
-            for name, w in self.templates]))
+            share = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])
+            return F.sum(F.col("x") * F.coalesce(share[F.col("t")], F.lit(0.0)))
+        sums = weighed.groupBy("h").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"),
+                                        *[dot(w).alias(f"dot{k}") for k, (_, w) in enumerate(self.templates)])
+        return sums.select("h", F.array_max(F.array(*[
+            F.struct(F.round(F.try_divide(f"dot{k}", "norm"), 6).alias("score"), F.lit(name).alias("licence"))
+            for k, (name, _) in enumerate(self.templates)])).alias("best"))
 
 
 def scan(files: DataFrame, *, templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = 0.7,
@@ -114,12 +117,23 @@ def scan(files: DataFrame, *, templates: Sequence[tuple[str, str]] = TEMPLATES,
     files = files.select(*carry, "path", "text")
     weights = Weights(files, templates, threshold)
     name = F.element_at(F.split("path", "/"), -1)
+    is_file = F.coalesce(name.rlike(licence_file), F.lit(False))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(weights.gate))
-    lines = F.when(name.rlike(licence_file), F.concat(lines, F.array("text"))).otherwise(lines)
-    found = F.when(F.col("text").rlike(weights.gate), F.array_max(F.transform(lines, weights.best)))
-    own = saved(files.select(
+    lines = F.when(is_file, F.concat(lines, F.array("text"))).otherwise(lines)
+    # A judgement goes by the text and whether it is a licence file's; equal headers are scored once.
+    gated = F.col("text").rlike(weights.gate)
+    met = saved(files.where(gated).select(F.md5("text").alias("key"), is_file.alias("is_file"), F.explode(lines).alias("header"))
+                .withColumn("h", F.md5("header")), "headers")
+    best = weights.best(files, met.groupBy("h").agg(F.any_value("header").alias("header")))
+    judged = saved(met.select("key", "is_file", "h").distinct().join(best, "h")
+                   .groupBy("key", "is_file").agg(F.max("best").alias("found")), "judged")
+    few = judged.count() <= BROADCAST_KEYS
+    # Texts without a header get keys of their own, so that they spread in a shuffle.
+    key = F.when(gated, F.md5("text")).otherwise(F.concat(F.lit("-"), F.xxhash64("path", *carry).cast("string")))
+    own = saved(files.select(*carry, "path", key.alias("key"), is_file.alias("is_file"))
+        .join(F.broadcast(judged) if few else judged, ["key", "is_file"], "left").select(
         *carry, "path", F.when(F.instr("path", "/") > 0, F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.when(F.col("path").isNotNull(), "")).alias("dir"),
-        name.rlike(licence_file).alias("is_file"), found.alias("found"))
+        "is_file", "found")
         .withColumn("found", F.when(F.col("found.score") >= threshold, F.col("found"))), "own")
     # One row per directory that holds a licence; min over (-score, path) prefers the best, then the first.
     holders = (own.where("is_file AND found IS NOT NULL AND path IS NOT NULL").groupBy("dir")

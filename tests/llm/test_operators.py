@@ -302,3 +302,35 @@ def test_line_dedup_by_edit_similarity_alone(spark, make_docs):
         true = [a for a in firsts if similar(a, a + 1)]
         assert true and sum(a + 1 in gone for a in true) >= (0.95 if where[1] > 10 else 0.85) * len(true), where
     assert all(any(similar(a, b) for a in range(b)) for b in gone)
+
+
+def test_license_headers_with_common_words_at_two_sizes(spark):
+    """Words that are common in the files weigh little, at any size."""
+    headers = ["This project is licensed under the Apache License, Version 2.0.",
+               "All of our project code and data are Licensed under the Apache License, Version 2.0."]
+    common, notice = "all of our project code and data are this is", "\\nLicensed under the Apache License, Version 2.0."
+    for n in (200, 20000):
+        rows = spark.range(n).selectExpr("concat('s/', id, '.txt') AS path", f"concat('{common} ', id, if(id % 10 = 0, '{notice}', '')) AS text")
+        files = rows.union(spark.createDataFrame([(f"t/{k}", x) for k, x in enumerate(headers)], "path string, text string"))
+        got = licenses.scan(files).where("path LIKE 't/%' AND licence IS NOT NULL").select("path", "licence", "how").collect()
+        assert {tuple(r) for r in got} == {(f"t/{k}", "Apache-2.0", "own") for k in range(len(headers))}, n
+
+
+def test_license_scores_by_brute_force(spark):
+    texts = ["Some code under the MIT License.\nReleased under the MIT License", "Released under our MIT License, the code", "the code is the code",
+             "Widget is released under the MIT License.", "Licensed under CC BY-NC 4.0. the the code", None, "", "our code"] * 3
+    files = spark.createDataFrame([(f"d{k}/x{k}.txt", t) for k, t in enumerate(texts)], "path string, text string")
+    there = [t for t in texts if t is not None]
+    idf = lambda w: np.log((1 + len(there)) / (1 + sum(w in licenses._terms(t) for t in there))) + 1
+    vector = lambda t: {w: k * idf(w) for w, k in Counter(licenses._terms(t)).items()}
+    size = lambda v: np.sqrt(sum(x * x for x in v.values()))
+
+    def score(line):
+        v = vector(line)
+        return max((round(sum(x * t.get(w, 0) for w, x in v.items()) / size(v) / size(t), 6), name)
+                   for name, t in ((n, vector(t)) for n, t in licenses.TEMPLATES)) if v else (0, None)
+
+    got = {r.path: (r.score, r.licence) for r in licenses.scan(files).collect()}
+    for k, t in enumerate(texts):
+        want = max(map(score, (t or "").split("\n")))
+        assert got[f"d{k}/x{k}.txt"] == ((pytest.approx(want[0], abs=2e-6), want[1]) if want[0] >= 0.7 else (None, None)), t
