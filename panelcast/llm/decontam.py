@@ -1,4 +1,4 @@
-"""Benchmark decontamination: CGK embedding, bit sampling, exact edit check."""
+"""Benchmark decontamination: verbatim pieces of items, gram count, exact edit check."""
 
 from __future__ import annotations
 
@@ -9,11 +9,8 @@ from pyspark.sql import functions as F
 
 from panelcast.llm.common import chunks, text_bytes
 
-#: Words between the window starts of a document.
-STRIDE = 4
-#: Positions of the embedding that are walked, sampled per hash, and random
-#: walks and hashes per walk (see :func:`find` for the recall they give).
-STEPS, SAMPLED, WALKS, HASHES = 48, 17, 2, 5
+#: Bytes of a piece at most.
+PIECE = 16
 #: Bytes of benchmark text that a task holds at a time.
 BLOCK_BYTES = 1 << 20
 
@@ -26,33 +23,22 @@ def normal(text: bytes) -> bytes:
     return b" ".join(text.decode("utf-8", "replace").lower().encode().translate(_FOLD).split())
 
 
-class Embedding:
-    """CGK random walks: at step j the byte under the cursor is written out and
-    the cursor moves on if a random bit of (j, byte) says so.  Strings at a
-    small edit distance soon walk together again, so most of their outputs
-    agree; sampling SAMPLED outputs per hash is LSH for that Hamming distance."""
-
-    def __init__(self, seed: int = 11):
-        rng = np.random.default_rng(seed)
-        self.move = rng.integers(0, 2, (WALKS, STEPS, 256), dtype=np.int32)
-        self.sample = np.stack([[rng.choice(STEPS, SAMPLED, replace=False) for _ in range(HASHES)] for _ in range(WALKS)])
-        self.factor = rng.integers(1, 2**63, SAMPLED, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-    def keys(self, buf: np.ndarray, start: np.ndarray):
-        """Yields (hash number, keys) for windows that begin at ``start`` of a
-        buffer with STEPS zeros after every text."""
-        for walk in range(WALKS):
-            at, out = start.astype(np.int32), np.empty((STEPS, len(start)), np.uint8)
-            for j in range(STEPS):
-                c = out[j] = buf[at]
-                at += self.move[walk, j][c]
-            for k in range(HASHES):
-                key = np.full(len(start), walk * HASHES + k, np.uint64)
-                for f, j in zip(self.factor, self.sample[walk, k]):
-                    key = (key ^ out[j]) * f
-                    key ^= key >> np.uint64(29)
-                key *= np.uint64(0x9E3779B97F4A7C15)
-                yield walk * HASHES + k, key
+def pieces(length: int, most: int) -> tuple[int, np.ndarray]:
+    """(bytes of a piece, offsets): ``most`` + 1 pieces of an item that don't
+    overlap.  Each edit spoils one at most, so a passage within ``most`` edits
+    of the item has one of them verbatim."""
+    n = most + 1
+    return min(length // n, PIECE), np.arange(n) * length // n
+
+
+def prefix_keys(buf: np.ndarray, start: np.ndarray, widths: list[int]):
+    """Yields (width, 64-bit hashes of the ``width`` bytes from each start)."""
+    h = np.zeros(len(start), np.uint64)
+    for j in range(max(widths, default=0)):
+        h = (h + buf[start + j] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+        if j + 1 in widths:
+            yield j + 1, h * np.uint64(0xBF58476D1CE4E5B9)
 
 
 def gram_codes(buf: np.ndarray) -> np.ndarray:
@@ -64,11 +50,6 @@ def gram_codes(buf: np.ndarray) -> np.ndarray:
     return (g * np.uint32(0x9E3779B1) >> np.uint32(16)).astype(np.uint16)
 
 
-def word_starts(text: bytes) -> np.ndarray:
-    buf = np.frombuffer(text, np.uint8)
-    return np.concatenate(([0], np.flatnonzero(buf == 0x20) + 1)) if len(text) else np.zeros(0, np.int64)
-
-
 def best_match(item: bytes, region: bytes, most: int) -> int | None:
     """Smallest edit distance of ``item`` to any substring of ``region`` if it
     is at most ``most`` (bit-parallel dynamic programme)."""
@@ -95,32 +76,29 @@ def best_match(item: bytes, region: bytes, most: int) -> int | None:
 
 
 class Items:
-    """A block of benchmark items with the hashes of their windows, sorted."""
+    """A block of benchmark items with the hashes of their pieces, sorted."""
 
     def __init__(self, items: list[tuple[int, bytes]], max_edits: float):
-        self.items = [(i, t, int(len(t) * max_edits)) for i, t in items]
-        self.embedding = Embedding()
-        # A short item has few words: it needs a window at every word of a document.
-        self.stride = max(1, min([STRIDE, *(len(word_starts(t)) // 4 for _, t in items)]))
-        joined, owner, offset, at = b"", [], [], []
-        for n, (_, t, _) in enumerate(self.items):
-            s = word_starts(t)
-            # Windows that run over the item's end see text that no document shares.
-            s = s[: max(self.stride, int((s <= len(t) - STEPS // 2).sum()))]
-            owner.append(np.full(len(s), n))
-            offset.append(s)
-            at.append(s + len(joined))
-            joined += t + bytes(STEPS)
-        owner, offset = np.concatenate(owner), np.concatenate(offset)
+        # An item that may be edited away would be everywhere: one byte of it stays.
+        self.items = [(i, t, min(int(len(t) * max_edits + 1e-9), len(t) - 1)) for i, t in items]
         self.grams = np.zeros((len(self.items), 1 << 16), bool)
-        for n, (_, t, _) in enumerate(self.items):
+        by_width: dict[int, list[tuple[int, np.ndarray]]] = {}
+        for n, (_, t, most) in enumerate(self.items):
             self.grams[n, gram_codes(np.frombuffer(t, np.uint8))] = True
-        self.tables = []
-        for _, key in self.embedding.keys(np.frombuffer(joined + b"\0", np.uint8), np.concatenate(at)):
+            width, offsets = pieces(len(t), most)
+            by_width.setdefault(width, []).append((n, offsets))
+        joined = np.frombuffer(b"".join(t for _, t, _ in self.items), np.uint8)
+        first = np.concatenate(([0], np.cumsum([len(t) for _, t, _ in self.items])))
+        self.tables = {}
+        for width, some in sorted(by_width.items()):
+            owner = np.concatenate([np.full(len(o), n) for n, o in some])
+            offset = np.concatenate([o for _, o in some])
+            (_, key), = prefix_keys(joined, first[owner] + offset, [width])
             order = np.argsort(key, kind="stable")
-            there = np.zeros(1 << 18, bool)
-            there[key >> np.uint64(46)] = True
-            self.tables.append((key[order], owner[order], offset[order], there))
+            there = np.zeros(1 << 20, bool)
+            there[key >> np.uint64(44)] = True
+            self.tables[width] = (key[order], owner[order], offset[order], there)
+        self.verbatim = np.array([most == 0 for _, _, most in self.items])
 
     def _shared_enough(self, cand: np.ndarray, joined: bytes, base: np.ndarray) -> np.ndarray:
         """Candidates whose region holds enough of the item's 4-grams: each edit
@@ -133,8 +111,9 @@ class Items:
             n = cand[a, 1]
             _, item, most = self.items[n]
             span = len(item) + 4 * most
-            for c in range(a, b, 4096):
-                part = cand[c : min(c + 4096, b)]
+            step = max(1, (1 << 21) // span)
+            for c in range(a, b, step):
+                part = cand[c : min(c + step, b)]
                 first = base[part[:, 0]] + part[:, 2] - 2 * most
                 at = first[:, None] + np.arange(span)
                 inside = (at >= base[part[:, 0]][:, None]) & (at < base[part[:, 0] + 1][:, None])
@@ -144,23 +123,27 @@ class Items:
 
     def hits(self, texts: list[bytes]):
         """(text number, item number, start, edits) for texts made normal()."""
-        joined = b"".join(t + bytes(STEPS) for t in texts) + b"\0"
-        base = np.concatenate(([0], np.cumsum([len(t) + STEPS for t in texts])))
-        s = [word_starts(t)[:: self.stride] for t in texts]
-        doc = np.repeat(np.arange(len(texts)), list(map(len, s)))
-        start = np.concatenate(s).astype(np.int64) + base[doc] if len(doc) else np.zeros(0, np.int64)
+        # No text or item holds a zero byte, so no piece is found across two texts.
+        joined = b"".join(t + b"\0" for t in texts) + bytes(PIECE)
+        buf = np.frombuffer(joined, np.uint8)
+        base = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
         found = []
-        for n, key in self.embedding.keys(np.frombuffer(joined, np.uint8), start):
-            have, owner, offset, there = self.tables[n]
-            row = np.flatnonzero(there[key >> np.uint64(46)])
+        for width, key in prefix_keys(buf, np.arange(base[-1]), list(self.tables)):
+            have, owner, offset, there = self.tables[width]
+            row = np.flatnonzero(there[key >> np.uint64(44)])
             lo = np.searchsorted(have, key[row])
             count = np.searchsorted(have, key[row], side="right") - lo
             pick = np.repeat(lo, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             row = np.repeat(row, count)
-            found.append(np.stack([doc[row], owner[pick], start[row] - base[doc[row]] - offset[pick]], axis=1))
+            doc = np.searchsorted(base, row, side="right") - 1
+            part = np.stack([doc, owner[pick], row - base[doc] - offset[pick]], axis=1)
+            part = part[np.lexsort((part[:, 2], part[:, 1], part[:, 0]))]
+            # One alignment, of an item that must be verbatim the first only, is enough.
+            differ = np.diff(part, axis=0, prepend=-1 << 40) != 0
+            found.append(part[differ[:, :2].any(axis=1) | differ[:, 2] & ~(self.verbatim[part[:, 1]] & (width < PIECE))])
         done: dict[tuple[int, int], tuple[int, int]] = {}
         if found:
-            cand = self._shared_enough(np.unique(np.concatenate(found), axis=0), joined, base)
+            cand = self._shared_enough(np.concatenate(found), joined, base)
             tried: dict[tuple[int, int], int] = {}
             for d, n, at in cand.tolist():
                 _, item, most = self.items[n]
@@ -199,11 +182,11 @@ def find(docs: DataFrame, benchmark: DataFrame, *, max_edits: float = 0.1) -> Da
     where a passage of the document is within ``max_edits`` * length edits of
     the item; both made :func:`normal`, edits and ``start`` in their bytes.
 
-    Document windows begin at every STRIDE-th word, item windows at every
-    word, so any passage has aligned pairs of windows.  Windows whose hashes
-    agree are checked by the exact edit distance of the whole item to the text
-    around; a hit is never wrong.  Verbatim passages (after normal()) are
-    always found; tests measure the recall of edited ones.  The benchmark
+    A passage within that many edits holds one of the item's :func:`pieces`
+    verbatim.  Pieces are looked up at every byte of the documents, and where
+    one stands, the item is checked by its grams and then by exact edit
+    distance against the text around.  No passage is missed, whatever the
+    length of its item, and a hit is never wrong.  The benchmark
     goes to the tasks in blocks of bounded size, one pass over the documents
     for each.  Null or empty texts match nothing; an item without an id gets
     -1.  Repeated rows give repeated results.  Other columns are ignored.

@@ -334,3 +334,36 @@ def test_license_scores_by_brute_force(spark):
     for k, t in enumerate(texts):
         want = max(map(score, (t or "").split("\n")))
         assert got[f"d{k}/x{k}.txt"] == ((pytest.approx(want[0], abs=2e-6), want[1]) if want[0] >= 0.7 else (None, None)), t
+
+
+@pytest.mark.parametrize("chinese", [False, True])
+def test_decontamination_finds_every_item_length(spark, make_docs, chinese):
+    """Items of 2 to 400 bytes, verbatim and with the most edits allowed, inside
+    of other text and of words."""
+    rng = random.Random(9)
+    signs = [chr(0x4E00 + k) for k in range(3000)] if chinese else "abcdefghijklmnopqrstuvwxyz"
+    text = lambda size: "".join(rng.choice(signs) if chinese or rng.random() < 0.85 else " " for _ in range(size))
+    items, rows, planted = [], [], []
+    for size in (2, 6, 12, 16, 20, 24, 30, 45, 60, 80, 400):
+        for _ in range(4):
+            item = b""
+            while not item:
+                item = decontam.normal(text(size // 3 + 1 if chinese else size).encode())
+            items.append((len(items), item.decode()))
+            for edited in (False, True):
+                s = list(item.decode())
+                for k in rng.sample(range(len(s)), int(len(item) * 0.1) // (3 if chinese else 1) if edited else 0):
+                    s[k] = rng.choice(signs)
+                planted.append((len(rows), items[-1][0]))
+                rows.append((len(rows), text(40) + "".join(s) + text(40)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item_id): r.edits for r in decontam.find(make_docs(rows), bench).collect()}
+    docs = [decontam.normal(t.encode()) for _, t in rows]
+    want = {}
+    for d, t in enumerate(docs):
+        for n, i in items:
+            edits = decontam.best_match(i.encode(), t, int(len(i.encode()) * 0.1))
+            if edits is not None:
+                want[d, n] = edits
+    assert found == want
+    assert sum(p in found for p in planted) >= 0.95 * len(planted)  # a doubled blank is another edit
