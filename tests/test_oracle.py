@@ -7,7 +7,7 @@ import __spark_entry__ as E
 from panelcast.plans.oracle import ORACLE
 from panelcast.plans.testbed import QUERIES
 from compare import compare, duck
-from conftest import SF001, SF01
+from paths import SF001, SF01
 
 
 

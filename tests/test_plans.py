@@ -9,7 +9,7 @@ import re
 
 import pytest
 
-from conftest import SF001
+from paths import SF001
 from panelcast.plans.testbed import QUERIES
 
 ML = {"cluster_profiles", "project_2d", "silhouette_sweep", "cluster_embeddings"}

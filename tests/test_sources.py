@@ -3,7 +3,7 @@ import tempfile
 
 import pytest
 
-from conftest import SF001
+from paths import SF001
 from panelcast.sources import jdbc_options, load_tables, materialize, table, write_result
 
 

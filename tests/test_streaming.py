@@ -1,7 +1,7 @@
 import os
 import tempfile
 
-from conftest import SF001
+from paths import SF001
 from panelcast.functions import Missing
 from panelcast.operators import distribution
 from panelcast.sources import table
