@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import bpe, decontam, licenses, line_dedup, minhash, quality, sharding, substrings, topk, toxicity
+from panelcast.llm import bpe, decontam, licenses, line_dedup, minhash, packing, quality, sharding, spelling, substrings, topk, toxicity, whitening
 from panelcast.llm.common import read
 
 #: Eight shards in two regions of two racks.  The ninth comes as a region of
@@ -15,6 +15,7 @@ from panelcast.llm.common import read
 TREE = tuple(sharding.Shard(f"region{s // 4}", f"rack{s // 2 % 2}", s) for s in range(8))
 GROWN = (*TREE, sharding.Shard("region2", "rack0", 8))
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+WORD_PIECES = "word_bpe_49k.json"
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,9 +77,23 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read(spark, sf_dir, "documents"), min_length=7, min_count=2, factor=10, every=31)
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(read(spark, sf_dir, "documents"), public_tokenizers.path(WORD_PIECES), capacity=4096, end_id=1,
+                          keep=[F.crc32("ids").alias("ids_crc32")])
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(read(spark, sf_dir, "embeddings"), k=16, scale=64.0)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_license_scan, op2_line_dedup, op3_sharding, op4_substring_dedup, op5_quality_classifier,
-    op6_bpe, op7_minhash_dedup, op8_exact_topk, op9_toxicity, op10_decontamination)}
+    op6_bpe, op7_minhash_dedup, op8_exact_topk, op9_toxicity, op10_decontamination,
+    op11_spelling_variants, op12_best_fit_packing, op13_embedding_whitening)}
 
 ORACLE = {
     "op8_exact_topk": """
