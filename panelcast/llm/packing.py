@@ -17,11 +17,22 @@ from pyspark.sql import functions as F
 
 from panelcast.llm.common import chunks, saved, text_bytes
 
-#: Different words whose ids a task remembers, and the longest such word.
-MEMORY_WORDS, MEMORY_BYTES = 1 << 18, 64
+#: Different words whose ids a Python worker remembers before it starts anew (some 200 MB).
+MEMORY_WORDS = 1 << 20
+#: Words tokenised at a time.
+AT_ONCE = 4096
 #: A longer text is tokenised in parts of this many bytes, cut at white space.
 PART_BYTES = 1 << 20
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
+# Letters of ASCII and Latin-1; ASCII punctuation without apostrophes.
+_LETTERS, _MARK, _BLANK = "[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+", r"[!-&(-/:-@\[-`{-~]", r"\x20\x09-\x0D"
+_LATIN = "".join(c for c in map(chr, range(0xC0, 0x100)) if c.isalpha())
+_WORDS = re.compile(f"[^{_BLANK}]+").findall
+#: Letters and the punctuation behind them as two, all other words whole.
+_PARTS = re.compile(f"{_LETTERS}(?={_MARK}*(?:[{_BLANK}]|\\Z))|{_MARK}+(?=[{_BLANK}]|\\Z)|[^{_BLANK}]+").findall
+_STEM = re.compile(f"{_LETTERS}|{_MARK}+").fullmatch
+#: Punctuation that a tokenizer is tried out with.
+_MARKS = [chr(b) * k for b in range(33, 127) if not chr(b).isalnum() and b != 39 for k in (1, 2)] + [".,", "?!)", "###", "<|>"]
 
 
 def parts(text: bytes):
@@ -37,37 +48,97 @@ def parts(text: bytes):
 class WordTokenizer:
     """Ids of whole texts by a tokenizer that never joins characters across
     ASCII white space, so that a word's ids are the same in every text: each
-    different word is tokenised once and remembered."""
+    different word is tokenised once and remembered.
+
+    Where the tokenizer also lower-cases, and cuts between letters and
+    punctuation (both tried out at the start), a word of letters with ASCII
+    punctuation behind them has the ids of its two parts in lower case, and
+    the parts are what is remembered.  Texts with combining marks, before
+    which case matters, or with "<|", which may begin a special token, go by their words as they are.
+
+    New parts go to the tokenizer's model at once, in its byte alphabet.  Other
+    words are tokenised many at a time with U+0001 as a word between them,
+    which is one id of its own; a word that holds U+0001 is tokenised alone."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.between = self._ids("\x01").tolist()
+        if len(self.between) != 1:
+            raise ValueError(f"{path}: U+0001 is not one id")
+        bytewise = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.alphabet = {ord(c): bytewise.pre_tokenize_str(c)[0][0] for c in _LATIN}
+        stems = ["Word", "zzqxjyk", "s", "Ünßé", *_LATIN, _LATIN]
+        self.apart = all(
+            self._ids(a + b).tolist() == [i for x in (a, b) for i in self._part(x)] for a in stems for b in ("", *_MARKS))
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.known) > MEMORY_WORDS:
             self.known.clear()
-        known, out = self.known, []
+        known = self.known
         if sum(map(len, texts)) <= PART_BYTES * 4:
-            self._learn(chain.from_iterable(t.split() for t in texts))
+            texts = [[self._words(part) for part in parts(t)] for t in texts]
+            self._learn(set(chain.from_iterable(chain.from_iterable(texts))).difference(known))
+            return [b"".join([known[w] for part in t for w in part]) for t in texts]
+        out = []
         for text in texts:
             ids = []
             for part in parts(text):
-                words = part.split()
-                self._learn(words)
-                ids.append(b"".join(map(known.__getitem__, words)))
+                words = self._words(part)
+                self._learn(set(words).difference(known))
+                ids.append(b"".join([known[w] for w in words]))
             out.append(b"".join(ids))
-        for w in [w for w in known if len(w) > MEMORY_BYTES]:
-            del known[w]
         return out
 
-    def _learn(self, words) -> None:
-        new = list(set(words).difference(self.known))
-        if new:
-            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, found))
+    def _words(self, text: bytes) -> list[str]:
+        if self.apart and not (b"\xcc" in text or b"\xcd" in text or b"<|" in text):
+            return _PARTS(text.lower().decode("utf-8", "replace"))
+        return _WORDS(text.decode("utf-8", "replace"))
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _part(self, word: str) -> list[int]:
+        """Ids of letters, or of punctuation, by the model alone."""
+        word = word.lower()
+        return [t.id for t in self.tokenizer.model.tokenize(word if word.isascii() else word.translate(self.alphabet))] if word else []
+
+    def _learn(self, new: set[str]) -> None:
+        plain = [w for w in new if _STEM(w)] if self.apart else []
+        ids = [self._part(w) for w in plain]
+        flat = np.fromiter(chain.from_iterable(ids), "<u4")
+        end = (4 * np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))).tolist()
+        self._keep(plain, flat, [0, *end[:-1]], end)
+        new = new.difference(plain)
+        for odd in [w for w in new if "\x01" in w]:
+            self.known[odd] = self._ids(odd).tobytes()
+        new = [w for w in new if "\x01" not in w]
+        for at in range(0, len(new), AT_ONCE):
+            some = new[at : at + AT_ONCE]
+            ids = self._ids(" \x01 ".join(some))
+            cut = 4 * np.flatnonzero(ids == self.between[0])
+            self._keep(some, ids, [0, *(cut + 4).tolist()], [*cut.tolist(), 4 * len(ids)])
+
+    def _keep(self, words: list[str], ids: np.ndarray, begin: list[int], end: list[int]) -> None:
+        if len(end) != len(words):
+            raise ValueError("the tokenizer doesn't tell words apart")
+        packed = ids.tobytes()
+        self.known.update((w, packed[i:j]) for w, i, j in zip(words, begin, end))
+
+
+def word_tokenizer(path: str) -> WordTokenizer:
+    """This Python worker's tokenizer: Spark reuses workers, and what hangs on
+    an imported module outlives a task."""
+    import tokenizers
+
+    held = vars(tokenizers).setdefault("_word_tokenizers", {})
+    if path not in held:
+        held[path] = WordTokenizer(path)
+    return held[path]
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataFrame:
@@ -76,7 +147,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataF
     numbers the pieces of one length within a task."""
 
     def run(batches):
-        encode, task, seen = WordTokenizer(tokenizer), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        encode, task, seen = word_tokenizer(tokenizer), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         last = np.array([end_id], "<u4").tobytes()
         for b in batches:
             texts, doc_ids = text_bytes(b.column("text")), b.column("doc_id")

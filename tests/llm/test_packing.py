@@ -62,7 +62,7 @@ ODD = ["", " \t\n", "a", "Hello, WORLD's 123", "<|endoftext|> x<|startoftext|>",
 
 def test_words_apart_equal_whole_texts():
     rng = random.Random(3)
-    alphabet = [*"abcAB'.,;!?012 \t\n\r\x0b\x0c", "é", "é", "́", " ", " ", "薫", "한", "\U0001f600", "'s", "'ll", "<|endoftext|>", "ͅ", "\x1f"]
+    alphabet = [*"abcAB'.,;!?012 \t\n\r\x0b\x0c", "é", "é", "́", " ", " ", "薫", "한", "\U0001f600", "'s", "'ll", "<|endoftext|>", "ͅ", "\x1f", "\x01", " \x01 "]
     texts = ODD + ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 40))) for _ in range(3000)]
     ours = packing.WordTokenizer(PATH)([t.encode() for t in texts])
     assert [np.frombuffer(x, "<u4").tolist() + [1] for x in ours] == whole_ids(texts)
@@ -72,6 +72,7 @@ def test_a_long_text_in_parts(monkeypatch):
     text = " ".join(random.Random(2).choices(["alpha", "beta,", "über", "12", "x" * 50], k=400))
     monkeypatch.setattr(packing, "PART_BYTES", 100)
     monkeypatch.setattr(packing, "MEMORY_WORDS", 2)
+    monkeypatch.setattr(packing, "AT_ONCE", 3)
     ours = packing.WordTokenizer(PATH)
     for t in (text, "y" * 500, text):
         assert np.frombuffer(ours([t.encode()])[0], "<u4").tolist() == whole_ids([t])[0][:-1]
