@@ -6,19 +6,28 @@ from panelcast.operators.association import association_grid, contingency, crame
 from panelcast.operators.fanout import Bridge, FanoutBase, decode, fanout_base, grouped_avg, histogram
 from panelcast.operators.flow import bridge_weights, flow_links, flow_nodes, label_counts, pair_flows, pathway
 from panelcast.operators.profile import (
+    Clusters,
+    Components,
     array_vectors,
     cluster_profiles,
+    distinct_vectors,
+    fit_clusters,
     indicator_long,
     indicator_vectors,
     indicator_wide,
     normalized,
+    principal_components,
     project_2d,
+    second_moments,
+    silhouette,
     silhouette_sweep,
 )
 from panelcast.operators.share import breakdown, collapse_small, distribution, equals, group_share, pivot_share
 
 __all__ = [
     "Bridge",
+    "Clusters",
+    "Components",
     "FanoutBase",
     "adoption_vs_demand",
     "array_vectors",
@@ -32,9 +41,11 @@ __all__ = [
     "cramers_v",
     "decode",
     "distinct_entities",
+    "distinct_vectors",
     "distribution",
     "equals",
     "fanout_base",
+    "fit_clusters",
     "flow_links",
     "flow_nodes",
     "group_share",
@@ -47,7 +58,10 @@ __all__ = [
     "pair_flows",
     "pathway",
     "pivot_share",
+    "principal_components",
     "project_2d",
+    "second_moments",
+    "silhouette",
     "silhouette_sweep",
     "top_associations",
 ]

@@ -221,6 +221,19 @@ def _pivot() -> str:
 
 _ORD = " ".join(f"WHEN '{v}' THEN {i}" for i, v in enumerate(SEGMENT_ORDER, start=1))
 
+def _moments() -> str:
+    """Sums of x_i * x_j over the normalised vectors, x_0 = 1, pair by pair."""
+    unit = _vectors("x / SQRT(SUM(x * x) OVER (PARTITION BY o_orderkey))")
+    return f"""
+SELECT a.i, b.i AS j, SUM(a.v * b.v) AS value
+FROM (SELECT o_orderkey, idx + 1 AS i, value AS v FROM ({unit}) u
+      UNION ALL SELECT DISTINCT o_orderkey, 0, 1.0::DOUBLE FROM ({unit}) u) a
+JOIN (SELECT o_orderkey, idx + 1 AS i, value AS v FROM ({unit}) u
+      UNION ALL SELECT DISTINCT o_orderkey, 0, 1.0::DOUBLE FROM ({unit}) u) b USING (o_orderkey)
+GROUP BY 1, 2
+"""
+
+
 ORACLE = {
     "group_share": f"""
 SELECT o_orderpriority, o_orderstatus, ROUND(percentage, 6) AS percentage FROM ({ORDERS_SHARE}) s
@@ -336,6 +349,38 @@ GROUP BY 1, 2
     "indicator_wide": _wide(),
     "indicator_vectors": _vectors("CAST(x AS DOUBLE)"),
     "normalized_vectors": _vectors("ROUND(x / SQRT(SUM(x * x) OVER (PARTITION BY o_orderkey)), 6)"),
+    "distinct_vectors": f"""
+SELECT vector, COUNT(*) AS weight
+FROM (SELECT o_orderkey, string_agg(CAST(CAST(value AS INT) AS VARCHAR), '' ORDER BY idx) AS vector
+      FROM ({_vectors("CAST(x AS DOUBLE)")}) u GROUP BY o_orderkey) v
+GROUP BY vector
+""",
+    "silhouette_labels": """
+WITH far AS (
+    SELECT a.vec_id, a.label = b.label AS same, b.label,
+           AVG(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS mean
+    FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id
+    GROUP BY a.vec_id, a.label = b.label, b.label),
+ab AS (
+    SELECT vec_id, MIN(mean) FILTER (WHERE same) AS a, MIN(mean) FILTER (WHERE NOT same) AS b
+    FROM far GROUP BY vec_id)
+SELECT ROUND(AVG(CASE WHEN a IS NULL THEN 0 WHEN a < b THEN 1 - a / b WHEN a > b THEN b / a - 1 ELSE 0 END), 6) AS silhouette
+FROM ab
+""",
+    "second_moments": f"SELECT i, j, ROUND(value, 4) AS value FROM ({_moments()}) m",
+    "cluster_proof": f"""
+SELECT COUNT(DISTINCT o_orderkey) AS n, CAST(0 AS BIGINT) AS n_nearer,
+       CAST({3 * len(PART_TYPES + PRIORITIES)} AS BIGINT) AS n_cells, CAST(0 AS BIGINT) AS n_off
+FROM ({_vectors("CAST(x AS DOUBLE)")}) u
+""",
+    "components_proof": f"""
+SELECT component, CAST({len(PART_TYPES + PRIORITIES)} AS BIGINT) AS dims, trace, CAST(0 AS BIGINT) AS n_off, 1.0::DOUBLE AS length
+FROM (SELECT ROUND((SUM(own) - SUM(s * s) / MAX(n)) / (MAX(n) - 1), 6) AS trace
+      FROM (SELECT i, MAX(CASE WHEN j = i THEN value END) AS own, MAX(CASE WHEN j = 0 THEN value END) AS s
+            FROM ({_moments()}) m WHERE i > 0 GROUP BY i) g,
+           (SELECT value AS n FROM ({_moments()}) m WHERE i = 0 AND j = 0) c) t,
+     (VALUES (1), (2)) k(component)
+""",
     "contingency": """
 SELECT o.o_orderpriority, c.c_mktsegment, CAST(COUNT(*) AS BIGINT) AS cnt
 FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey

@@ -21,11 +21,16 @@ from panelcast.operators.flow import flow_links, flow_nodes, label_counts, pair_
 from panelcast.operators.profile import (
     array_vectors,
     cluster_profiles,
+    distinct_vectors,
+    fit_clusters,
     indicator_long,
     indicator_vectors,
     indicator_wide,
     normalized,
+    principal_components,
     project_2d,
+    second_moments,
+    silhouette,
     silhouette_sweep,
 )
 from panelcast.operators.share import breakdown, collapse_small, distribution, equals, group_share, pivot_share
@@ -354,6 +359,74 @@ def q_cluster_embeddings(spark, d):
     return cluster_profiles(vec, "vec_id", k=10, seed=SEED).select("vec_id", "cluster")
 
 
+def q_distinct_vectors(spark, d):
+    """How many orders share each vector."""
+    v = distinct_vectors(_order_vectors(spark, d))
+    return v.select(F.array_join(F.transform("features", lambda x: x.cast("int")), "").alias("vector"), "weight")
+
+
+def q_silhouette_labels(spark, d):
+    """Silhouette of the embeddings' own labels, taken as clusters."""
+    s = silhouette(table(spark, d, "embeddings"), "embedding", "label")
+    return s.select(_r("silhouette", 6))
+
+
+def q_second_moments(spark, d):
+    v = normalized(_order_vectors(spark, d))
+    return second_moments(v, "normalized_features").select("i", "j", _r("value", 4))
+
+
+def q_cluster_centres(spark, d):
+    c = fit_clusters(_order_vectors(spark, d), "o_orderkey", k=3, seed=SEED).centres
+    return c.select("cluster", "size", F.posexplode("centre").alias("idx", "value"))
+
+
+def q_cluster_proof(spark, d):
+    """What makes a fit one of KMeans, counted over its two result tables:
+    rows that another centre is nearer to, and coordinates of centres that are not
+    the mean of their rows.  Both counts are 0."""
+    fit = fit_clusters(_order_vectors(spark, d), "o_orderkey", k=3, seed=SEED)
+    rows = fit.assignments.select("o_orderkey", "cluster", vector_to_array("normalized_features").alias("x"))
+    centres = fit.centres.agg(F.collect_list(F.struct("cluster", "centre"))).scalar()
+
+    def square(c):
+        return F.aggregate(F.zip_with("x", c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+
+    far = F.transform("centres", lambda c: F.struct(square(c["centre"]).alias("far"), c["cluster"].alias("cluster")))
+    rows = rows.withColumn("centres", centres).withColumn("far", far)
+    own = F.filter("far", lambda f: f["cluster"] == F.col("cluster"))[0]["far"]
+    nearer = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(own > F.array_min("far")["far"] + 1e-9).alias("n_nearer"))
+    means = rows.select("cluster", F.posexplode("x").alias("idx", "v")).groupBy("cluster", "idx").agg(F.avg("v").alias("mean"), F.count("v").alias("m"))
+    cells = fit.centres.select("cluster", "size", F.posexplode("centre").alias("idx", "value"))
+    off = (means.join(cells, ["cluster", "idx"], "full")
+           .agg(F.count(F.lit(1)).alias("n_cells"),
+                F.count_if(F.coalesce(F.abs(F.col("mean") - F.col("value")) > 1e-6, F.lit(True)) | (F.col("m") != F.col("size"))).alias("n_off")))
+    one = nearer.withColumn("one", F.lit(1)).join(off.withColumn("one", F.lit(1)), "one")
+    return one.select("n", "n_nearer", "n_cells", "n_off")
+
+
+def q_components_proof(spark, d):
+    """The principal components against the covariance worked out in SQL from
+    the second moments: per component the trace and the entries of
+    covariance * v - eigenvalue * v that are not 0."""
+    v = normalized(_order_vectors(spark, d))
+    comps = principal_components(v, 2, "normalized_features").table(spark)
+    m = second_moments(v, "normalized_features")
+    n = m.filter("i = 0 AND j = 0").select("value").scalar()
+    left = m.filter("j = 0 AND i > 0").select("i", F.col("value").alias("left"))
+    right = m.filter("i = 0 AND j > 0").select("j", F.col("value").alias("right"))
+    cov = (m.filter("i > 0 AND j > 0").join(left, "i").join(right, "j")
+           .select("i", "j", ((F.col("value") - F.col("left") * F.col("right") / n) / (n - 1)).alias("c")))
+    trace = cov.filter("i = j").agg(F.sum("c")).scalar()
+    pairs = cov.join(comps.select("component", (F.col("idx") + 1).alias("j"), F.col("loading").alias("vj")), "j")
+    product = pairs.groupBy("component", "i").agg(F.sum(F.col("c") * F.col("vj")).alias("cv"))
+    own = comps.select("component", (F.col("idx") + 1).alias("i"), F.col("loading").alias("vi"), "eigenvalue")
+    out = product.join(own, ["component", "i"]).groupBy("component").agg(
+        F.count(F.lit(1)).alias("dims"), F.count_if(F.abs(F.col("cv") - F.col("eigenvalue") * F.col("vi")) > 1e-9).alias("n_off"),
+        F.round(F.sum(F.col("vi") * F.col("vi")), 6).alias("length"))
+    return out.select("component", "dims", F.round(trace, 6).alias("trace"), "n_off", "length")
+
+
 QUERIES = {
     "group_share": q_group_share,
     "group_share_answered": q_group_share_answered,
@@ -397,4 +470,10 @@ QUERIES = {
     "project_2d": q_project_2d,
     "silhouette_sweep": q_silhouette_sweep,
     "cluster_embeddings": q_cluster_embeddings,
+    "distinct_vectors": q_distinct_vectors,
+    "silhouette_labels": q_silhouette_labels,
+    "second_moments": q_second_moments,
+    "cluster_centres": q_cluster_centres,
+    "cluster_proof": q_cluster_proof,
+    "components_proof": q_components_proof,
 }

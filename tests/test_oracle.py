@@ -17,7 +17,7 @@ def con():
 
 
 def test_every_query_has_oracle_or_is_ml():
-    ml = {"cluster_profiles", "project_2d", "silhouette_sweep", "cluster_embeddings"}
+    ml = {"cluster_profiles", "project_2d", "silhouette_sweep", "cluster_embeddings", "cluster_centres"}
     assert set(QUERIES) - set(ORACLE) == ml
     assert set(ORACLE) <= set(QUERIES) <= set(E.queries())
 

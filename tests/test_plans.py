@@ -12,7 +12,7 @@ import pytest
 from paths import SF001
 from panelcast.plans.testbed import QUERIES
 
-ML = {"cluster_profiles", "project_2d", "silhouette_sweep", "cluster_embeddings"}
+ML = {"cluster_profiles", "project_2d", "silhouette_sweep", "cluster_embeddings", "cluster_centres", "cluster_proof", "components_proof"}
 NAMES = sorted(set(QUERIES) - ML)
 # flow_nodes and flow_links read stored node parts beside the tables.
 READ_ONCE = ["pair_flows", "association_grid", "association_grid_multi", "top_associations",

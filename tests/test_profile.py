@@ -4,11 +4,16 @@ from pyspark.ml.functions import vector_to_array
 
 from panelcast.operators import (
     cluster_profiles,
+    distinct_vectors,
+    fit_clusters,
     indicator_long,
     indicator_vectors,
     indicator_wide,
     normalized,
+    principal_components,
     project_2d,
+    second_moments,
+    silhouette,
     silhouette_sweep,
 )
 
@@ -98,3 +103,127 @@ def test_indicators_relabel_before_dedupe_and_drop_null_keys(spark):
     assert sorted(map(tuple, long.collect())) == [(1, "a", "x"), (1, "b", "r")]
     wide = indicator_wide(long, "id", ["x"], rest="rest").collect()
     assert [tuple(r) for r in wide] == [(1, 1, 1)]
+
+
+# ------------------------------------------------------------------ weighted distinct vectors
+
+def groups(spark, n=240, seed=1, parts=4):
+    """Rows of three well-separated groups, most of them copies."""
+    rng = np.random.default_rng(seed)
+    base = [rng.dirichlet(np.ones(6) * 0.3) + np.eye(6)[2 * g] * 4 for g in range(3) for _ in range(8)]
+    rows = [(i, [float(round(x, 3)) for x in base[int(rng.integers(24))]]) for i in range(n)]
+    return spark.createDataFrame(rows, "id long, features array<double>").repartition(parts)
+
+
+def brute_silhouette(points, clusters, cosine=True):
+    p, c = np.asarray(points, float), np.asarray(clusters)
+    if cosine:
+        length = np.linalg.norm(p, axis=1, keepdims=True)
+        u = np.divide(p, length, out=np.zeros_like(p), where=length > 0)
+        far = 1 - u @ u.T
+    else:
+        far = ((p[:, None] - p[None]) ** 2).sum(-1)
+    np.fill_diagonal(far, 0)
+    out = []
+    for i in range(len(p)):
+        own = c == c[i]
+        if own.sum() == 1:
+            out.append(0.0)
+            continue
+        a = far[i, own].sum() / (own.sum() - 1)
+        b = min(far[i, c == o].mean() for o in set(c.tolist()) - {c[i]})
+        out.append(1 - a / b if a < b else b / a - 1 if a > b else 0.0)
+    return float(np.mean(out))
+
+
+def test_distinct_vectors_sum_weights(spark):
+    df = spark.createDataFrame([([1.0, 0.0], 2), ([1.0, 0.0], 3), ([0.0, -0.0], 1), ([0.0, 0.0], 1), (None, 9)], "v array<double>, w int")
+    got = {tuple(r.features): r.weight for r in distinct_vectors(df, "v", "w").collect()}
+    assert got == {(1.0, 0.0): 5, (0.0, 0.0): 2}
+    assert {r.weight for r in distinct_vectors(df, "v").collect()} == {2}
+
+
+def test_weighted_fit_equals_unweighted(spark):
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    df = groups(spark)
+    fit = fit_clusters(df.select("id", array_to_vector("features").alias("features")), "id", k=3, seed=5)
+    plain = KMeans(featuresCol="normalized_features", k=3, seed=5, maxIter=200, tol=1e-9).fit(
+        normalized(df.select("id", array_to_vector("features").alias("features"))))
+    ours = sorted(tuple(r.centre) for r in fit.centres.collect())
+    assert np.allclose(ours, sorted(map(tuple, plain.clusterCenters())), atol=1e-9)
+    assert sum(r["size"] for r in fit.centres.collect()) == 240
+
+
+def test_fit_does_not_depend_on_partitioning(spark):
+    from pyspark.ml.functions import array_to_vector
+
+    def fitted(parts):
+        df = groups(spark, parts=parts).select("id", array_to_vector("features").alias("features"))
+        fit = fit_clusters(df, "id", k=5, seed=3)
+        return ({r.id: r.cluster for r in fit.assignments.collect()},
+                {r.cluster: (r["size"], [round(x, 9) for x in r.centre]) for r in fit.centres.collect()})
+
+    assert fitted(1) == fitted(211)
+
+
+def test_fit_reads_distinct_rows(spark, monkeypatch):
+    from pyspark.ml.functions import array_to_vector
+
+    from panelcast.operators import profile
+
+    seen = []
+    plain = profile._kmeans
+    monkeypatch.setattr(profile, "_kmeans", lambda rows, *a: seen.append((rows.count(), rows._jdf.queryExecution().toString())) or plain(rows, *a))
+    silhouette_sweep(groups(spark).select("id", array_to_vector("features").alias("features")), [2, 3], seed=1)
+    assert len(seen) == 2
+    for n, plan in seen:
+        assert n <= 24 and "Scan ExistingRDD" in plan  # 240 rows, 24 different vectors, stored
+
+
+@pytest.mark.parametrize("distance", ["cosine", "squaredEuclidean"])
+def test_silhouette_equals_all_pairs_and_evaluator(spark, distance):
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    from pyspark.ml.functions import array_to_vector
+
+    df = groups(spark).selectExpr("id", "features", "CASE WHEN id = 7 THEN 9 ELSE id % 4 END AS cluster")
+    rows = df.collect()
+    want = brute_silhouette([r.features for r in rows], [r.cluster for r in rows], distance == "cosine")
+    got = silhouette(df, distance=distance).first().silhouette
+    assert got == pytest.approx(want, abs=1e-9)
+    ev = ClusteringEvaluator(featuresCol="v", predictionCol="cluster", distanceMeasure=distance)
+    assert got == pytest.approx(ev.evaluate(df.withColumn("v", array_to_vector("features")).selectExpr("v", "CAST(cluster AS DOUBLE) cluster")), abs=1e-6)
+    weighted = df.groupBy("cluster", "features").count()
+    assert silhouette(weighted, weight_col="count", distance=distance).first().silhouette == pytest.approx(want, abs=1e-9)
+
+
+def test_silhouette_of_odd_input(spark):
+    schema = "features array<double>, cluster int"
+    one = silhouette(spark.createDataFrame([([1.0, 0.0], 1), ([0.0, 1.0], 1)], schema)).collect()
+    none = silhouette(spark.createDataFrame([], schema)).collect()
+    assert [r.silhouette for r in one] == [None] and [r.silhouette for r in none] == [None]
+    rows = [([1.0, 0.0], 1), ([0.0, 0.0], 1), ([0.0, 1.0], 2), ([1.0, 0.0], 2), (None, 1), ([1.0, 1.0], None)]
+    got = silhouette(spark.createDataFrame(rows, schema)).first().silhouette
+    assert got == pytest.approx(brute_silhouette([r[0] for r in rows[:4]], [r[1] for r in rows[:4]]), abs=1e-12)
+
+
+def test_second_moments_and_components(spark):
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector
+
+    df = groups(spark)
+    x = np.array([r.features for r in df.collect()])
+    one = np.hstack((np.ones((len(x), 1)), x))
+    got = {(r.i, r.j): r.value for r in second_moments(df).collect()}
+    assert len(got) == 49 and all(v == pytest.approx((one[:, i] * one[:, j]).sum()) for (i, j), v in got.items())
+    c = principal_components(df, 2)
+    assert np.allclose(c.covariance, np.cov(x.T))
+    assert np.abs(c.covariance @ c.loadings - c.loadings * c.eigenvalues).max() < 1e-12
+    model = PCA(k=2, inputCol="v", outputCol="p").fit(df.select(array_to_vector("features").alias("v")))
+    assert np.allclose(np.abs(c.loadings), np.abs(model.pc.toArray()), atol=1e-9)
+    assert np.allclose(c.explained, model.explainedVariance.toArray())
+    theirs = {r.id: r.p.toArray() for r in model.transform(df.select("id", array_to_vector("features").alias("v"))).collect()}
+    for r in project_2d(df, "id", "features").collect():
+        assert np.allclose(np.abs([r.pca_x, r.pca_y]), np.abs(theirs[r.id]), atol=1e-9)
+    assert second_moments(df.limit(0)).collect() == []
