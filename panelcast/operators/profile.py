@@ -21,7 +21,6 @@ depend on how the input is partitioned.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.functions.missing import qcol, relabel
+from panelcast.operators.kmeans import assigned_many, kmeans_many
 from panelcast.sources.sinks import materialize
 
 #: Different vectors in a partition of the table that fits read.
@@ -305,30 +305,34 @@ def silhouette(assigned: DataFrame, features_col: str = "features", cluster_col:
         raise ValueError("distance must be 'cosine' or 'squaredEuclidean'")
     w = F.lit(1.0) if weight_col is None else qcol(weight_col).cast("double")
     x = assigned.select(qcol(cluster_col).alias("c"), _array(assigned, features_col).alias("u"), w.alias("w")).filter("c IS NOT NULL AND u IS NOT NULL")
-    cosine = distance == "cosine"
+    return _silhouettes(x, [], distance == "cosine")
+
+
+def _silhouettes(x: DataFrame, by: list[str], cosine: bool) -> DataFrame:
+    """``by..., silhouette`` of rows (by..., c, u, w).  The sums of a clustering are as many as its clusters."""
     if cosine:
         length = F.sqrt(_dot(F.col("u"), F.col("u")))
         x = x.withColumn("l", length).withColumn("u", F.transform("u", lambda v: F.when(F.col("l") > 0, v / F.col("l")).otherwise(0.0)))
-    points = x.groupBy("c", "u").agg(F.sum("w").alias("w"))
+    points = x.groupBy(*by, "c", "u").agg(F.sum("w").alias("w"))
     square = F.lit(0.0) if cosine else _dot(F.col("u"), F.col("u"))
-    vec = array_to_vector("u")
-    sums = points.groupBy("c").agg(
-        F.sum("w").alias("n"), F.sum(F.col("w") * square).alias("q"), Summarizer.mean(vec, F.col("w")).alias("mean"))
-    sums = sums.select(F.struct("c", "n", (F.col("q") / F.col("n")).alias("q"), vector_to_array("mean").alias("mean")).alias("s"))
-    clusters = sums.agg(F.array_sort(F.collect_list("s"))).scalar()
+    sums = points.groupBy(*by, "c").agg(
+        F.sum("w").alias("n"), F.sum(F.col("w") * square).alias("q"), Summarizer.mean(array_to_vector("u"), F.col("w")).alias("mean"))
+    one = F.struct("c", "n", (F.col("q") / F.col("n")).alias("q"), vector_to_array("mean").alias("mean"))
+    clusters = sums.groupBy(*by).agg(F.array_sort(F.collect_list(one)).alias("k_"))
+    p = points.join(clusters, by) if by else points.withColumn("k_", clusters.scalar())
 
     def far(s):  # mean distance to all rows of the cluster
         return 1 - _dot(F.col("u"), s["mean"]) if cosine else square + s["q"] - 2 * _dot(F.col("u"), s["mean"])
 
-    p = points.withColumn("k", clusters).withColumn("own", F.filter("k", lambda s: s["c"] == F.col("c"))[0])
-    p = p.withColumn("b", F.array_min(F.transform(F.filter("k", lambda s: s["c"] != F.col("c")), far)))
+    p = p.withColumn("own", F.filter("k_", lambda s: s["c"] == F.col("c"))[0])
+    p = p.withColumn("b", F.array_min(F.transform(F.filter("k_", lambda s: s["c"] != F.col("c")), far)))
     n = F.col("own")["n"]
     itself = 1 - _dot(F.col("u"), F.col("u")) if cosine else F.lit(0.0)  # is in the mean, and 1 for a zero vector
     p = p.withColumn("a", F.when(n > 1, F.greatest(far(F.col("own")) * n - itself, F.lit(0.0)) / (n - 1)))
     one = (F.when(n <= 1, 0.0).when(F.col("a") < F.col("b"), 1 - F.col("a") / F.col("b"))
            .when(F.col("a") > F.col("b"), F.col("b") / F.col("a") - 1).otherwise(0.0))
-    total = F.sum(F.when(F.size("k") > 1, one * F.col("w")))
-    return p.agg(F.try_divide(total, F.sum("w")).alias("silhouette"))
+    total = F.sum(F.when(F.size("k_") > 1, one * F.col("w")))
+    return p.groupBy(*by).agg(F.try_divide(total, F.sum("w")).alias("silhouette"))
 
 
 def silhouette_sweep(
@@ -338,23 +342,22 @@ def silhouette_sweep(
     seed: int,
     features_col: str = "features",
     distance: str = "cosine",
-    concurrent_fits: int = 8,
     max_iter: int = 20,
 ) -> DataFrame:
-    """Silhouette of KMeans for each k (M9): ``k, silhouette``.
+    """Silhouette of KMeans for each k (M9): ``k, silhouette``, sorted by k.
 
     The default ``ks`` is 3..50, the sweep the reference describes.  The
-    entities' vectors are read once, for the weighted distinct vectors; every fit
-    and every score reads that table.  The fits are independent, so up to
-    ``concurrent_fits`` of them are submitted at once from driver threads
-    (only the k values are looped over on the driver, never data).
+    entities' vectors are read once, for the weighted distinct vectors; all
+    fits read that table in lockstep (:func:`kmeans_many`), and one more pass scores
+    them all.  The result does not depend on how the input is partitioned.
+    NULL where a model has fewer than two clusters.
     """
-    rows = _canonical(normalized(vectors, features_col), "normalized_features")
-
-    def score(k: int) -> tuple[int, float]:
-        assigned = _kmeans(rows, k, seed, max_iter, 1e-4).transform(rows)
-        return int(k), silhouette(assigned, weight_col="weight", distance=distance).first()["silhouette"]
-
-    with ThreadPoolExecutor(max_workers=max(1, concurrent_fits)) as pool:
-        scores = list(pool.map(score, list(ks)))
-    return vectors.sparkSession.createDataFrame(scores, "k int, silhouette double")
+    if distance not in ("cosine", "squaredEuclidean"):
+        raise ValueError("distance must be 'cosine' or 'squaredEuclidean'")
+    rows = materialize(distinct_vectors(normalized(vectors, features_col), "normalized_features"))
+    first = rows.select(F.size("features").alias("n")).head()
+    if first is None:
+        return vectors.sparkSession.createDataFrame([], "k int, silhouette double")
+    models = kmeans_many(rows, first["n"], ks, seed=seed, max_iter=max_iter)
+    x = assigned_many(rows, first["n"], models).select("k", F.col("cluster").alias("c"), F.col("features").alias("u"), F.col("weight").alias("w"))
+    return _silhouettes(x, ["k"], distance == "cosine").orderBy("k")

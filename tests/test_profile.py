@@ -168,20 +168,52 @@ def test_fit_does_not_depend_on_partitioning(spark):
     assert fitted(1) == fitted(211)
 
 
-def test_fit_reads_distinct_rows(spark, monkeypatch):
+def test_fits_read_distinct_rows(spark, monkeypatch):
     from pyspark.ml.functions import array_to_vector
 
     from panelcast.operators import profile
 
     seen = []
-    plain = profile._kmeans
-    monkeypatch.setattr(profile, "_kmeans", lambda rows, *a: seen.append((rows.count(), rows._jdf.queryExecution().toString())) or plain(rows, *a))
-    silhouette_sweep(groups(spark).select("id", array_to_vector("features").alias("features")), [2, 3], seed=1)
+    for name in ("_kmeans", "kmeans_many"):
+        monkeypatch.setattr(profile, name, lambda rows, *a, f=getattr(profile, name), **k: seen.append(
+            (rows.count(), rows._jdf.queryExecution().toString())) or f(rows, *a, **k))
+    df = groups(spark).select("id", array_to_vector("features").alias("features"))
+    silhouette_sweep(df, [2, 3], seed=1)
+    fit_clusters(df, "id", 2, seed=1)
     assert len(seen) == 2
     for n, plan in seen:
         assert n <= 24 and "Scan ExistingRDD" in plan  # 240 rows, 24 different vectors, stored
 
 
+def test_sweep_does_not_depend_on_partitioning_and_finds_the_groups(spark):
+    from pyspark.ml.functions import array_to_vector
+
+    def swept(parts):
+        df = groups(spark, parts=parts).select("id", array_to_vector("features").alias("features"))
+        return {r.k: r.silhouette for r in silhouette_sweep(df, [2, 3, 4, 30], seed=3).collect()}
+
+    one, many = swept(1), swept(97)
+    assert one == pytest.approx(many, abs=1e-9)
+    assert max(one, key=lambda k: one[k] if k < 30 else -1) == 3
+
+
+def test_lockstep_models_are_kmeans_models(spark):
+    from panelcast.operators.kmeans import assigned_many, kmeans_many
+
+    rows = distinct_vectors(groups(spark, n=500)).cache()
+    models = kmeans_many(rows, 6, [1, 3, 5, 40], seed=2, max_iter=100, tol=1e-12)
+    assert [len(models[k]) for k in (1, 3, 5)] == [1, 3, 5] and len(models[40]) <= rows.count()
+    out = assigned_many(rows, 6, models).toPandas()
+    for k, part in out.groupby("k"):
+        x, w, c = np.stack(part["features"]), part["weight"].to_numpy(), part["cluster"].to_numpy()
+        far = np.square(x[:, None] - models[k][None]).sum(-1)
+        assert (far[np.arange(len(x)), c] <= far.min(1) + 1e-12).all()
+        for j in set(c.tolist()):
+            assert np.allclose(models[k][j], np.average(x[c == j], axis=0, weights=w[c == j]), atol=1e-9)
+    assert kmeans_many(rows, 6, [], seed=1) == {}
+    assert kmeans_many(rows.limit(0), 6, [2], seed=1)[2].shape == (0, 6)
+
+
 @pytest.mark.parametrize("distance", ["cosine", "squaredEuclidean"])
 def test_silhouette_equals_all_pairs_and_evaluator(spark, distance):
     from pyspark.ml.evaluation import ClusteringEvaluator
