@@ -1,10 +1,10 @@
 """DataFrame operators.  Each takes DataFrames and returns a lazy DataFrame,
 except the Spark ML fits in ``profile``, which run jobs when called."""
 
-from panelcast.operators.adoption import adoption_vs_demand, distinct_entities
+from panelcast.operators.adoption import Family, adoption_families, adoption_vs_demand, distinct_entities
 from panelcast.operators.association import association_grid, contingency, cramers_v, top_associations
-from panelcast.operators.fanout import Bridge, FanoutBase, decode, fanout_base, grouped_avg, histogram
-from panelcast.operators.flow import bridge_weights, flow_links, flow_nodes, label_counts, pair_flows, pathway
+from panelcast.operators.fanout import Bridge, FanoutBase, decode, fanout_base, fanout_breakdowns, grouped_avg, histogram
+from panelcast.operators.flow import bridge_weights, flow_graph, flow_links, flow_nodes, forked_flows, label_counts, pair_flows, pathway
 from panelcast.operators.profile import (
     Clusters,
     Components,
@@ -28,7 +28,9 @@ __all__ = [
     "Bridge",
     "Clusters",
     "Components",
+    "Family",
     "FanoutBase",
+    "adoption_families",
     "adoption_vs_demand",
     "array_vectors",
     "association_grid",
@@ -45,9 +47,12 @@ __all__ = [
     "distribution",
     "equals",
     "fanout_base",
+    "fanout_breakdowns",
     "fit_clusters",
+    "flow_graph",
     "flow_links",
     "flow_nodes",
+    "forked_flows",
     "group_share",
     "grouped_avg",
     "histogram",

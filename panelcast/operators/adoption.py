@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,3 +74,48 @@ def adoption_vs_demand(
     if sort:
         j = j.orderBy((F.col("cnt") + F.col("want_cnt")).desc(), F.col(item_name))
     return j
+
+
+@dataclass(frozen=True)
+class Family:
+    """One question of a series: who worked with, and who wants, each item."""
+
+    name: str
+    worked: DataFrame
+    want: DataFrame
+    entity: str | Column
+    item: str | Column
+    lookup: DataFrame
+    lookup_id: str
+    lookup_label: str
+
+
+def adoption_families(families: Sequence[Family], sort: bool = True) -> DataFrame:
+    """``family, id, name, cnt, want_cnt``: :func:`adoption_vs_demand` (inner
+    form) for a series of questions in one plan (Q-TT1..9).
+
+    The answers of all families and both sides are stacked with a tag.  One
+    aggregate by (family, item, entity) notes which sides an entity is on, so a
+    hot item or family spreads over all tasks by its entities; sums
+    of those notes are the distinct counts of both sides.  The stacked lookups
+    are joined once.  Item ids are compared as text across families, and come
+    out as text.  Sorted by family as given, then as the single form.
+    """
+    if not families:
+        raise ValueError("no families")
+
+    def answers(i: int, f: Family, df: DataFrame, side: int) -> DataFrame:
+        return df.select(F.lit(i).alias("_f"), as_col(f.item).cast("string").alias("id"), as_col(f.entity).cast("string").alias("_e"),
+                         F.lit(side).alias("_s"))
+
+    rows = reduce(DataFrame.unionAll, [answers(i, f, df, side) for i, f in enumerate(families) for side, df in ((1, f.worked), (2, f.want))])
+    rows = rows.filter("id IS NOT NULL AND _e IS NOT NULL")
+    seen = rows.groupBy("_f", "id", "_e").agg(F.bit_or("_s").alias("_s"))
+    counts = seen.groupBy("_f", "id").agg(F.count_if(F.col("_s") != 2).alias("cnt"), F.count_if(F.col("_s") != 1).alias("want_cnt"))
+    labels = reduce(DataFrame.unionAll, [
+        f.lookup.select(F.lit(i).alias("_f"), F.lit(f.name).alias("family"), qcol(f.lookup_id).cast("string").alias("id"), qcol(f.lookup_label).alias("name"))
+        for i, f in enumerate(families)])
+    out = counts.filter("cnt > 0 AND want_cnt > 0").join(labels, ["_f", "id"])
+    if sort:
+        out = out.orderBy("_f", (F.col("cnt") + F.col("want_cnt")).desc(), F.length("id"), "id")
+    return out.select("family", "id", "name", "cnt", "want_cnt")

@@ -198,6 +198,99 @@ def grouped_avg(
     return out
 
 
+def fanout_breakdowns(
+    entities: DataFrame,
+    key: str,
+    measure: str | Column,
+    attrs: Mapping[str, str | Column] | Sequence[str] = (),
+    bridges: Sequence[Bridge] = (),
+    lo: float | None = None,
+    hi: float | None = None,
+    exclude: Mapping[str, Sequence] | None = None,
+    bins: tuple[float, float, int] | None = None,
+    avg_col: str = "average",
+    count_col: str = "cnt",
+) -> DataFrame:
+    """``dim, value, average, cnt``: the fan-out mean and row count per value
+    of every attribute and bridge, and the measure's histogram, in one plan.
+
+    The result holds what :func:`grouped_avg` gives per dimension (values as
+    text, ``cnt`` the rows of the literal join) and, with ``bins`` = (lo, hi,
+    number), rows of the dimension ``bin`` as :func:`histogram` counts them.
+    ``exclude`` leaves values out per dimension, and NULL with them (K6).
+
+    Each input is read once.  Bridge answers are stacked, counted per (entity,
+    bridge, item) and gathered per entity: an entity with a huge number of rows
+    arrives as its distinct items.  Every entity is then one row that
+    gives a weighted value for each dimension (grouping sets whose weights
+    differ), summed by one aggregate.  Item ids are decoded last, by one join
+    with the stacked lookups.  Bridges over the same DataFrame share its scan.
+    """
+    exclude = dict(exclude or {})
+    cols = {k: as_col(v) for k, v in attrs.items()} if isinstance(attrs, Mapping) else {a: qcol(a) for a in attrs}
+    names = [*cols, *(b.name for b in bridges)]
+    if len(set(names) | {"bin"}) != len(names) + 1 or set(exclude) - set(names):
+        raise ValueError("dimensions must differ, and none be called bin; exclude names dimensions")
+    ent = entities.select(qcol(key).alias("_k"), as_col(measure).alias("_m"), *[c.alias(f"_a{i}") for i, c in enumerate(cols.values())])
+    ent = ent.filter(in_open_range("_m", lo, hi))
+    if bridges:
+        shared: dict[tuple[int, str], list[int]] = {}
+        for i, b in enumerate(bridges):
+            shared.setdefault((id(b.df), b.key), []).append(i)
+        rows = [bridges[of[0]].df.select(qcol(k).alias("_k"), F.explode(F.array(*[
+            F.struct(F.lit(i).alias("b"), qcol(bridges[i].item).cast("string").alias("item")) for i in of])).alias("_i"))
+            for (_, k), of in shared.items()]
+        counts = reduce(DataFrame.unionAll, rows).groupBy("_k", "_i").agg(F.count(F.lit(1)).alias("mult"))
+        items = counts.groupBy("_k").agg(F.collect_list(F.struct("_i.b", "_i.item", "mult")).alias("_items"))
+        ent = ent.join(items, "_k", "left")
+    none = F.array().cast("array<struct<b:int,item:string,mult:bigint>>")
+    ent = ent.withColumn("_items", F.coalesce("_items", none) if bridges else none)
+
+    def of_bridge(i):
+        return F.filter("_items", lambda x: x["b"] == i)
+
+    of = [of_bridge(i) for i in range(len(bridges))]
+    w = [F.greatest(F.lit(1), F.aggregate(o, F.lit(0).cast("long"), lambda s, x: s + x["mult"])).cast("double") for o in of]
+    ent = ent.select("_m", *[f"_a{i}" for i in range(len(cols))], *[o.alias(f"_o{i}") for i, o in enumerate(of)], *[x.alias(f"_w{i}") for i, x in enumerate(w)])
+    every = reduce(lambda a, b: a * b, [F.col(f"_w{i}") for i in range(len(bridges))], F.lit(1.0))
+
+    def cell(dim, value, weight):
+        return F.struct(F.lit(dim).alias("dim"), value.cast("string").alias("value"), weight.cast("double").alias("w"))
+
+    cells = [F.array(*[cell(n, F.col(f"_a{i}"), every) for i, n in enumerate(cols)])] if cols else []
+
+    def bridge_cells(i, name):
+        # An entity without rows keeps one with a NULL item (left join).
+        other = reduce(lambda a, b: a * b, [F.col(f"_w{j}") for j in range(len(bridges)) if j != i], F.lit(1.0))
+        some = F.transform(f"_o{i}", lambda x: cell(name, x["item"], x["mult"] * other))
+        return F.when(F.size(f"_o{i}") > 0, some).otherwise(F.array(cell(name, F.lit(None), other)))
+
+    cells += [bridge_cells(i, b.name) for i, b in enumerate(bridges)]
+    if bins is not None:
+        low, high, number = bins
+        x = F.col("_m").cast("double")
+        place = F.least(F.floor((x - low) / ((high - low) / number)), F.lit(number - 1))
+        inside = (x >= low) & (x <= high)
+        cells.append(F.filter(F.array(cell("bin", F.when(inside, place), every)), lambda c: c["value"].isNotNull()))
+    if not cells:
+        raise ValueError("no dimensions")
+    flat = ent.select("_m", F.explode(F.concat(*cells)).alias("_c"))
+    sums = flat.groupBy(F.col("_c.dim").alias("dim"), F.col("_c.value").alias("value")).agg(
+        F.sum(F.col("_m") * F.col("_c.w")).alias("_s"), F.sum("_c.w").alias("_w"))
+    decoded = [b for b in bridges if b.lookup is not None]
+    if decoded:
+        labels = reduce(DataFrame.unionAll, [
+            b.lookup.select(F.lit(b.name).alias("dim"), qcol(b.lookup_id).cast("string").alias("value"), qcol(b.lookup_label).cast("string").alias("_label"))
+            for b in decoded])
+        sums = sums.join(labels, ["dim", "value"], "left").withColumn(
+            "value", F.when(F.col("dim").isin([b.name for b in decoded]), F.col("_label")).otherwise(F.col("value")))
+    for dim, values in exclude.items():
+        if values:
+            sums = sums.filter((F.col("dim") != dim) | excluding("value", [str(v) for v in values], keep_null=False))
+    return sums.groupBy("dim", "value").agg(
+        F.try_divide(F.sum("_s"), F.sum("_w")).alias(avg_col), F.sum("_w").cast("long").alias(count_col))
+
+
 def histogram(
     df: DataFrame,
     col: str | Column,

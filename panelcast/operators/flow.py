@@ -9,8 +9,9 @@ are counted by ONE ``groupBy(hop, source, target)``.  Partial aggregation
 runs before the single shuffle, so the input (typically a large join) is
 read once and a hot pair costs one row per task in the shuffle.  Node ids
 come from a distributed dense index over the distinct link ends of the
-aggregated flows; links join that index, and both branches share the
-flows' exchange, so no branch of the plan re-reads the input.
+aggregated flows.  Links need the flows twice, for the nodes and for
+themselves, so the aggregated flows, a row per link, are stored first: in all
+jobs together the input is read once.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 
 from panelcast.functions.missing import clean_label, qcol
 from panelcast.functions.ranking import dense_index
+from panelcast.sources.sinks import materialize
 
 
 def _lab(c: str | Column, strip: bool) -> Column:
@@ -119,6 +121,25 @@ def _null_safe(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     return left.join(r, match).drop(*[f"_r_{c}" for c in on])
 
 
+def _as_nodes(nodes: DataFrame) -> DataFrame:
+    return nodes.select("node_id", F.col("node_layer").alias("layer"), "label")
+
+
+def _as_links(f: DataFrame, nodes: DataFrame, count_col: str, merge_labels: bool) -> DataFrame:
+    if merge_labels:
+        src = nodes.select(F.col("label").alias("source"), F.col("node_id").alias("source_id"))
+        tgt = nodes.select(F.col("label").alias("target"), F.col("node_id").alias("target_id"))
+        keys = []
+    else:
+        src = nodes.select(F.col("node_layer").alias("hop"), F.col("label").alias("source"),
+                           F.col("node_id").alias("source_id"))
+        tgt = nodes.select((F.col("node_layer") - 1).alias("hop"), F.col("label").alias("target"),
+                           F.col("node_id").alias("target_id"))
+        keys = ["hop"]
+    j = _null_safe(_null_safe(f, src, [*keys, "source"]), tgt, [*keys, "target"])
+    return j.groupBy("source_id", "target_id").agg(F.sum(count_col).alias("value"))
+
+
 def flow_nodes(flows: DataFrame, count_col: str = "count", strip: bool = True, merge_labels: bool = False) -> DataFrame:
     """Distinct nodes with integer ids from 0 (G4, U4): ``node_id, layer, label``.
 
@@ -126,8 +147,7 @@ def flow_nodes(flows: DataFrame, count_col: str = "count", strip: bool = True, m
     target in layer i+1 (K11).  A NULL label is a node like any other.  ``merge_labels=True`` makes one node per label
     across layers, as the reference does; its ``layer`` is the first one.
     """
-    nodes = _nodes(_clean(flows, count_col, strip), merge_labels)
-    return nodes.select("node_id", F.col("node_layer").alias("layer"), "label")
+    return _as_nodes(_nodes(_clean(flows, count_col, strip), merge_labels))
 
 
 def flow_links(flows: DataFrame, count_col: str = "count", strip: bool = True, merge_labels: bool = False) -> DataFrame:
@@ -136,17 +156,22 @@ def flow_links(flows: DataFrame, count_col: str = "count", strip: bool = True, m
     Ids equal those of :func:`flow_nodes` on the same flows.  Labels are
     compared null-safe, so no flow is lost: the values add up to the flows.
     """
-    f = _clean(flows, count_col, strip)
+    return flow_graph(flows, count_col, strip, merge_labels)[1]
+
+
+def flow_graph(flows: DataFrame, count_col: str = "count", strip: bool = True,
+               merge_labels: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(:func:`flow_nodes`, :func:`flow_links`) of the same flows, which are
+    aggregated and stored once for both."""
+    f = materialize(_clean(flows, count_col, strip))
     nodes = _nodes(f, merge_labels)
-    if merge_labels:
-        src = nodes.select(F.col("label").alias("source"), F.col("node_id").alias("source_id"))
-        tgt = nodes.select(F.col("label").alias("target"), F.col("node_id").alias("target_id"))
-        keys = []
-    else:
-        src = nodes.select(F.col("node_layer").alias("hop"), F.col("label").alias("source"),
-                           F.col("node_id").alias("source_id"))
-        tgt = nodes.select((F.col("node_layer") - 1).alias("hop"), F.col("label").alias("target"),
-                           F.col("node_id").alias("target_id"))
-        keys = ["hop"]
-    j = _null_safe(_null_safe(f, src, [*keys, "source"]), tgt, [*keys, "target"])
-    return j.groupBy("source_id", "target_id").agg(F.sum(count_col).alias("value"))
+    return _as_nodes(nodes), _as_links(f, nodes, count_col, merge_labels)
+
+
+def forked_flows(flows: DataFrame, shared: int, ends: Sequence[int]) -> list[DataFrame]:
+    """Pathways that share their first hops, out of one :func:`pair_flows`
+    result: hops 0 to ``shared`` - 1, then one of the hops ``ends`` as the last.
+    Pass stored flows; each pathway is a filter over them."""
+    keep = F.col("hop") < shared
+    return [flows.filter(keep | (F.col("hop") == e)).withColumn("hop", F.when(keep, F.col("hop")).otherwise(F.lit(shared)))
+            for e in ends]

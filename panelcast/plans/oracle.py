@@ -312,6 +312,18 @@ FROM range(0, 40) r LEFT JOIN c ON r.range = c.bin
                                           "event_type = 'click'", "event_type = 'purchase'", "user_id"),
     "adoption_vs_demand_full": _adoption("l_partkey", "part", "p_partkey", "p_name", "lineitem",
                                          "l_returnflag = 'A'", "l_returnflag = 'R'", "l_orderkey", how="full"),
+    "adoption_families": " UNION ALL ".join(
+        f"SELECT '{family}' AS family, CAST({key} AS VARCHAR) AS id, {label} AS name, cnt, want_cnt FROM ("
+        f"SELECT t.{key}, t.{label}, COUNT(DISTINCT CASE WHEN l_returnflag = 'A' THEN l_orderkey END) AS cnt, "
+        f"COUNT(DISTINCT CASE WHEN l_returnflag = 'R' THEN l_orderkey END) AS want_cnt "
+        f"FROM lineitem JOIN {family} t ON {item} = t.{key} GROUP BY 1, 2) c WHERE cnt > 0 AND want_cnt > 0"
+        for family, key, label, item in (("part", "p_partkey", "p_name", "l_partkey"), ("supplier", "s_suppkey", "s_name", "l_suppkey"))),
+    "fanout_breakdowns": f"WITH fan AS ({FANOUT}) " + " UNION ALL ".join(
+        f"SELECT '{dim}' AS dim, CAST({value} AS VARCHAR) AS value, ROUND(AVG(salary), 4) AS average, COUNT(*) AS cnt FROM fan {where} GROUP BY 2"
+        for dim, value, where in (
+            ("o_orderpriority", "o_orderpriority", "WHERE o_orderpriority <> '4-NOT SPECIFIED'"), ("o_orderstatus", "o_orderstatus", ""),
+            ("o_year", "o_year", ""), ("s_name", "s_name", ""), ("p_type", "p_type", "WHERE p_type <> 'PROMO'"),
+            ("bin", "LEAST(CAST(FLOOR(salary / 10000.0) AS BIGINT), 39)", ""))),
     "clean_entities": """
 SELECT d.doc_id, d.lang, d.source, l.quality, l.toxic
 FROM documents d JOIN labels l ON d.doc_id = l.doc_id

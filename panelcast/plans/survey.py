@@ -15,10 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.functions.missing import NULLS, Missing, drop_missing, relabel
-from panelcast.operators.adoption import adoption_vs_demand
+from panelcast.operators.adoption import Family, adoption_families, adoption_vs_demand
 from panelcast.operators.association import association_grid, top_associations
-from panelcast.operators.fanout import Bridge, FanoutBase, decode, fanout_base, grouped_avg, histogram
-from panelcast.operators.flow import flow_links, flow_nodes, label_counts, pair_flows, pathway
+from panelcast.operators.fanout import Bridge, FanoutBase, decode, fanout_base, fanout_breakdowns, grouped_avg, histogram
+from panelcast.operators.flow import flow_graph, forked_flows, label_counts, pair_flows
 from panelcast.operators.profile import (
     cluster_profiles,
     indicator_long,
@@ -27,6 +27,7 @@ from panelcast.operators.profile import (
     silhouette_sweep,
 )
 from panelcast.operators.share import breakdown, distribution, equals, group_share, pivot_share
+from panelcast.sources.sinks import materialize
 
 # ---------------------------------------------------------------------------
 # Survey texts and parameters that must equal the reference's
@@ -160,18 +161,31 @@ def ai_threat_details(t: Tables, answer: str) -> tuple[DataFrame, DataFrame]:
 
 # ------------------------------------------------------------------ career outcomes (Q-CO1 .. Q-CO8)
 
+SALARY_ATTRIBUTES = ["EdLevel", "YearsCodePro", "DevType", "Industry"]
+
+
+def _salary_bridges(t: Tables) -> list[Bridge]:
+    return [
+        Bridge("learn_code_method", t["RespondentLearnCode"], KEY, "id", t["LearnCode"], "id", "name"),
+        Bridge("programming_language", t["RespondentLanguage"], KEY, "id", t["ProgrammingLanguage"], "id", "name"),
+    ]
+
+
 def salary_base(t: Tables) -> FanoutBase:
     """Q-CO1: respondents with a salary in (0, 1,000,000), with learning
     methods and languages as fan-out bridges (weighted, not materialised)."""
-    return fanout_base(
-        t["Respondent"], KEY, "CompTotal(USD)", measure_name="salary",
-        attrs=["EdLevel", "YearsCodePro", "DevType", "Industry"],
-        bridges=[
-            Bridge("learn_code_method", t["RespondentLearnCode"], KEY, "id", t["LearnCode"], "id", "name"),
-            Bridge("programming_language", t["RespondentLanguage"], KEY, "id", t["ProgrammingLanguage"], "id", "name"),
-        ],
-        lo=SALARY_LOW, hi=SALARY_HIGH,
-    )
+    return fanout_base(t["Respondent"], KEY, "CompTotal(USD)", measure_name="salary", attrs=SALARY_ATTRIBUTES,
+                       bridges=_salary_bridges(t), lo=SALARY_LOW, hi=SALARY_HIGH)
+
+
+def salary_breakdowns(t: Tables) -> DataFrame:
+    """Q-CO2 to Q-CO8 as one table ``dim, value, average, cnt`` from one pass
+    over the respondents and each bridge."""
+    return fanout_breakdowns(
+        t["Respondent"], KEY, "CompTotal(USD)", attrs=SALARY_ATTRIBUTES, bridges=_salary_bridges(t), lo=SALARY_LOW, hi=SALARY_HIGH,
+        exclude={"EdLevel": [EDLEVEL_EXCLUDED], "learn_code_method": [LEARN_CODE_EXCLUDED], "DevType": [DEVTYPE_OTHER, NA],
+                 "Industry": [INDUSTRY_OTHER, NA]},
+        bins=(SALARY_LOW, SALARY_HIGH, SALARY_BINS))
 
 
 def salary_histogram(base: FanoutBase) -> DataFrame:
@@ -243,13 +257,12 @@ def pathway_pair_flows(t: Tables) -> DataFrame:
 
 
 def pathway_graphs(t: Tables) -> dict[str, tuple[DataFrame, DataFrame]]:
-    """Q-ED4: (nodes, links) of the two three-layer pathways."""
-    comb = _combined(t)
-    out = {}
-    for last in ("DevType", "Industry"):
-        flows = pathway(comb, ["EdLevel", "name", last], weight="mult")
-        out[last] = (flow_nodes(flows), flow_links(flows))
-    return out
+    """Q-ED4: (nodes, links) of the two three-layer pathways.  They share
+    their first hop: the join is counted once, for Q-ED3's three pairs, and both
+    graphs are made of those stored counts."""
+    flows = materialize(pathway_pair_flows(t))
+    ends = ("DevType", "Industry")
+    return {last: flow_graph(f) for last, f in zip(ends, forked_flows(flows, 1, [1, 2]))}
 
 
 def _rename() -> dict:
@@ -312,10 +325,20 @@ def technology_demand(t: Tables, bridge: str, lookup: str) -> DataFrame:
     )
 
 
-def technology_demand_all(t: Tables) -> dict[str, DataFrame]:
-    """Q-TT1..9: one result per technology family; a missing table is an error."""
+def _families(t: Tables) -> list[Family]:
     missing = [n for bridge, lookup in TECHNOLOGY_FAMILIES for n in (bridge, bridge + WANT_SUFFIX, lookup) if n not in t]
     if missing:
         raise KeyError(f"missing tables: {', '.join(missing)}")
-    return {lookup: technology_demand(t, bridge, lookup) for bridge, lookup in TECHNOLOGY_FAMILIES}
+    return [Family(lookup, t[bridge], t[bridge + WANT_SUFFIX], KEY, "id", t[lookup], "id", "name") for bridge, lookup in TECHNOLOGY_FAMILIES]
+
+
+def technology_demand_table(t: Tables) -> DataFrame:
+    """Q-TT1..9 as one table ``family, id, name, cnt, want_cnt`` from one pass:
+    all families' answers share one distinct count and one lookup join."""
+    return adoption_families(_families(t))
 
+
+def technology_demand_all(t: Tables) -> dict[str, DataFrame]:
+    """Q-TT1..9: one result per technology family; a missing table is an error."""
+    _families(t)
+    return {lookup: technology_demand(t, bridge, lookup) for bridge, lookup in TECHNOLOGY_FAMILIES}

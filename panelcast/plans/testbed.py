@@ -14,9 +14,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from panelcast.functions.missing import NULLS, Missing, drop_missing
-from panelcast.operators.adoption import adoption_vs_demand
+from panelcast.operators.adoption import Family, adoption_families, adoption_vs_demand
 from panelcast.operators.association import association_grid, contingency, cramers_v, top_associations
-from panelcast.operators.fanout import Bridge, decode, fanout_base, grouped_avg, histogram
+from panelcast.operators.fanout import Bridge, decode, fanout_base, fanout_breakdowns, grouped_avg, histogram
 from panelcast.operators.flow import flow_links, flow_nodes, label_counts, pair_flows, pathway
 from panelcast.operators.profile import (
     array_vectors,
@@ -110,22 +110,32 @@ def q_collapse_small(spark, d):
 
 # ---------------------------------------------------------------- fan-out
 
-def _fanout(spark, d):
-    orders = table(spark, d, "orders")
-    li = table(spark, d, "lineitem")
-    attrs = {
+def _order_attrs():
+    return {
         "o_orderpriority": F.col("o_orderpriority"),
         "o_orderstatus": F.col("o_orderstatus"),
         "o_year": F.year("o_orderdate"),
     }
-    return fanout_base(
-        orders, "o_orderkey", "o_totalprice", measure_name="salary", attrs=attrs,
-        bridges=[
-            Bridge("s_name", li, "l_orderkey", "l_suppkey", table(spark, d, "supplier"), "s_suppkey", "s_name"),
-            Bridge("p_type", li, "l_orderkey", "l_partkey", table(spark, d, "part"), "p_partkey", "p_type"),
-        ],
-        lo=0, hi=400000,
-    )
+
+
+def _order_bridges(spark, d):
+    li = table(spark, d, "lineitem")
+    return [
+        Bridge("s_name", li, "l_orderkey", "l_suppkey", table(spark, d, "supplier"), "s_suppkey", "s_name"),
+        Bridge("p_type", li, "l_orderkey", "l_partkey", table(spark, d, "part"), "p_partkey", "p_type"),
+    ]
+
+
+def _fanout(spark, d):
+    return fanout_base(table(spark, d, "orders"), "o_orderkey", "o_totalprice", measure_name="salary", attrs=_order_attrs(),
+                       bridges=_order_bridges(spark, d), lo=0, hi=400000)
+
+
+def q_fanout_breakdowns(spark, d):
+    """Every dimension of the fan-out and its histogram from one pass."""
+    out = fanout_breakdowns(table(spark, d, "orders"), "o_orderkey", "o_totalprice", attrs=_order_attrs(), bridges=_order_bridges(spark, d),
+                            lo=0, hi=400000, exclude={"o_orderpriority": ["4-NOT SPECIFIED"], "p_type": ["PROMO"]}, bins=(0, 400000, 40))
+    return out.select("dim", "value", _r("average", 4), "cnt")
 
 
 def q_fanout_base(spark, d):
@@ -196,6 +206,16 @@ def q_adoption_vs_demand_full(spark, d):
     return _li_adoption(spark, d, "l_partkey", "part", "p_partkey", "p_name", how="full")
 
 
+def q_adoption_families(spark, d):
+    """Parts and suppliers as two families of one plan."""
+    li = table(spark, d, "lineitem")
+    sides = li.filter(F.col("l_returnflag") == "A"), li.filter(F.col("l_returnflag") == "R")
+    return adoption_families([
+        Family("part", *sides, "l_orderkey", "l_partkey", table(spark, d, "part"), "p_partkey", "p_name"),
+        Family("supplier", *sides, "l_orderkey", "l_suppkey", table(spark, d, "supplier"), "s_suppkey", "s_name"),
+    ])
+
+
 def q_adoption_vs_demand_event(spark, d):
     ev = table(spark, d, "events")
     k = F.get_json_object("props", "$.k").try_cast("long")
@@ -450,6 +470,8 @@ QUERIES = {
     "adoption_vs_demand_supplier": q_adoption_vs_demand_supplier,
     "adoption_vs_demand_event": q_adoption_vs_demand_event,
     "adoption_vs_demand_full": q_adoption_vs_demand_full,
+    "adoption_families": q_adoption_families,
+    "fanout_breakdowns": q_fanout_breakdowns,
     "clean_entities": q_clean_entities,
     "decode": q_decode,
     "pair_flows": q_pair_flows,

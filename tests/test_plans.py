@@ -14,10 +14,10 @@ from panelcast.plans.testbed import QUERIES
 
 ML = {"cluster_profiles", "project_2d", "silhouette_sweep", "cluster_embeddings", "cluster_centres", "cluster_proof", "components_proof"}
 NAMES = sorted(set(QUERIES) - ML)
-# flow_nodes and flow_links read stored node parts beside the tables.
+# flow_nodes and flow_links store parts of their plans: test_flows_read_each_table_once_over_all_jobs.
 READ_ONCE = ["pair_flows", "association_grid", "association_grid_multi", "top_associations",
              "indicator_long", "indicator_wide", "group_share", "pivot_share", "collapse_small",
-             "breakdown_collapsed", "cramers_v", "histogram", "distribution"]
+             "breakdown_collapsed", "cramers_v", "histogram", "distribution", "fanout_breakdowns"]
 
 
 def final_plan(df) -> str:
@@ -80,3 +80,30 @@ def test_no_single_task_windows(plans):
         assert "Window [" not in plans[name], name
     for name in ("flow_nodes", "flow_links"):
         assert "dense_rank" not in plans[name], name
+
+
+TABLE = r"Location: InMemoryFileIndex\(1 paths\)\[file:[^\]]*/(\w+)\.parquet"
+
+
+@pytest.mark.parametrize("name", ["flow_nodes", "flow_links", "flow_links_null"])
+def test_flows_read_each_table_once_over_all_jobs(spark, monkeypatch, name):
+    from panelcast.functions import ranking
+    from panelcast.operators import flow
+    from panelcast.sources import sinks
+
+    stored = []
+
+    def noted(df, path=None):
+        stored.append(df._jdf.queryExecution().executedPlan().toString())
+        return sinks.materialize(df, path)
+
+    monkeypatch.setattr(flow, "materialize", noted)
+    monkeypatch.setattr(ranking, "materialize", noted)
+    last = final_plan(QUERIES[name](spark, SF001))
+    tables = [t for p in [*stored, last] for t in re.findall(TABLE, p)]
+    assert sorted(tables) == ["customer", "lineitem", "orders", "part"]
+
+
+def test_families_share_one_distinct_count(plans):
+    # One exchange by (family, item, entity) for both sides of all families.
+    assert len(re.findall(r"Exchange hashpartitioning\(_f#\d+, id#\d+, _e#\d+", plans["adoption_families"])) == 1

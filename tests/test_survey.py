@@ -122,3 +122,31 @@ def test_q_tt(survey):
     out = S.technology_demand_all(full)
     assert len(out) == 9 and all(out[n].count() == 0 for n in set(out) - set(done))
     assert [r.name for r in out["ProgrammingLanguage"].collect()] == ["Python", "Rust", "SQL", "Go"]
+
+
+def test_q_co_breakdowns_in_one_pass(survey):
+    rows = S.salary_breakdowns(survey).collect()
+    base = S.salary_base(survey)
+    for dim, fn in (("EdLevel", S.avg_salary_by_education), ("learn_code_method", S.avg_salary_by_learn_code),
+                    ("YearsCodePro", S.avg_salary_by_years_code_pro), ("DevType", S.avg_salary_by_dev_type),
+                    ("Industry", S.avg_salary_by_industry), ("programming_language", S.avg_salary_by_programming_language)):
+        want = {r[dim]: r.average_salary for r in fn(base).collect()}
+        assert {r.value: r.average for r in rows if r.dim == dim} == pytest.approx(want), dim
+    fan = literal_fanout()
+    assert sum(r.cnt for r in rows if r.dim == "YearsCodePro") == len(fan)
+    bins = {int(r.value): r.cnt for r in rows if r.dim == "bin"}
+    assert bins == {r.bin: r.cnt for r in S.salary_histogram(base).collect() if r.cnt}
+
+
+def test_q_tt_in_one_pass(survey):
+    full = dict(survey)
+    known = {b: n for b, n in S.TECHNOLOGY_FAMILIES if n in survey}
+    like_b, like_n = next(iter(known.items()))
+    for bridge, lookup in S.TECHNOLOGY_FAMILIES:
+        for name, source in ((bridge, like_b), (bridge + S.WANT_SUFFIX, like_b + S.WANT_SUFFIX), (lookup, like_n)):
+            full.setdefault(name, survey[source].limit(0))
+    got = [tuple(r) for r in S.technology_demand_table(full).collect()]
+    want = [(n, str(r.id), r.name, r.cnt, r.want_cnt) for n, df in S.technology_demand_all(full).items() for r in df.collect()]
+    assert got == want and len(got) == 6
+    with pytest.raises(KeyError, match="missing tables"):
+        S.technology_demand_table(survey)
