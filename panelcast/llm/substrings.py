@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -11,6 +13,9 @@ from panelcast.llm.common import WordHasher, chunks, dropped, gram_hashes, longs
 
 #: Words of an anchor.
 ANCHOR_WORDS = 5
+#: Passes that the stored windows are compared in, each those of one remainder
+#: of the hash: disks hold the shuffles of one pass at a time.
+PASSES = 3
 
 
 def _slide(x: np.ndarray, n: int, op) -> np.ndarray:
@@ -118,11 +123,14 @@ def without_repeats(docs: DataFrame, min_words: int = 13) -> DataFrame:
     seeds = saved(found.join(repeated, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("seeds")), "seeds")
     windows = saved(seeded_windows(docs.join(seeds, "doc_id"), min_words), "windows")
     dropped(seeds)
-    firsts = (windows.groupBy("w").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-              .where("lo < hi").select("w", "lo"))
-    covered = saved(windows.join(firsts, "w").where("doc_id > lo")
-                    .groupBy("doc_id").agg(F.collect_set("w").alias("found")), "covered")
+    found = []
+    for part in range(PASSES):
+        own = windows.where(F.pmod("w", F.lit(PASSES)) == part)
+        firsts = (own.groupBy("w").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+                  .where("lo < hi").select("w", "lo"))
+        found.append(saved(own.join(firsts, "w").where("doc_id > lo").groupBy("doc_id").agg(F.collect_set("w").alias("found")), "covered"))
     dropped(windows)
+    covered = reduce(DataFrame.unionAll, found).groupBy("doc_id").agg(F.flatten(F.collect_list("found")).alias("found"))
 
     def cut(batches):
         one, two = WordHasher(), WordHasher(0xC2B2AE3D27D4EB4F)
