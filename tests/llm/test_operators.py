@@ -367,3 +367,15 @@ def test_decontamination_finds_every_item_length(spark, make_docs, chinese):
                 want[d, n] = edits
     assert found == want
     assert sum(p in found for p in planted) >= 0.95 * len(planted)  # a doubled blank is another edit
+
+
+def test_lines_in_slices(spark, make_docs, monkeypatch):
+    docs = make_docs(corpus(30) + [(900, "a\nb\n" * 400)])
+
+    def removed():
+        out = line_dedup.without_repeated_lines(docs, sketch=line_dedup.SKETCH)
+        return sorted((r.doc_id, r.n_lines, r.n_removed, r.text) for r in out.collect())
+
+    whole = removed()
+    monkeypatch.setattr(line_dedup, "LINES_AT_ONCE", 7)
+    assert removed() == whole and whole[-1][1:3] == (801, 798)
