@@ -1,11 +1,12 @@
 """DuckDB SQL for the queries of ``plans.testbed``.
 
-The SQL keeps the literal forms that the Spark operators rewrite: group
-totals by self-join, the small-category collapse as a union, the fan-out as
-the full four-step left-join chain, Cramér's V as the textbook chi-square
-sum over every cell of the table, and the association grid by brute force
-over features x targets x rows.  Agreement therefore tests the rewrites, not
-just the arithmetic.  Doubles are rounded and counts cast to BIGINT exactly
+The SQL keeps the literal forms that most Spark operators rewrite: the
+small-category collapse as a union, the fan-out as the full four-step
+left-join chain, Cramér's V as the textbook chi-square sum over every cell of
+the table, the association grid by brute force over features x targets x
+rows, and the silhouette over all pairs.  There agreement tests the rewrites,
+not just the arithmetic; the share queries' group totals and the multi-valued
+grid have the same form on both sides.  Doubles are rounded and counts cast to BIGINT exactly
 as on the Spark side.
 """
 
