@@ -3,7 +3,7 @@ except the Spark ML fits in ``profile``, which run jobs when called."""
 
 from panelcast.operators.adoption import Family, adoption_families, adoption_vs_demand, distinct_entities
 from panelcast.operators.association import association_grid, contingency, cramers_v, top_associations
-from panelcast.operators.fanout import Bridge, FanoutBase, decode, fanout_base, fanout_breakdowns, grouped_avg, histogram
+from panelcast.operators.fanout import Bridge, FanoutBase, decode, fanout_base, fanout_breakdowns, grouped_avg, histogram, histogram_nice
 from panelcast.operators.flow import bridge_weights, flow_graph, flow_links, flow_nodes, forked_flows, label_counts, pair_flows, pathway
 from panelcast.operators.profile import (
     Clusters,
@@ -56,6 +56,7 @@ __all__ = [
     "group_share",
     "grouped_avg",
     "histogram",
+    "histogram_nice",
     "indicator_long",
     "indicator_vectors",
     "indicator_wide",

@@ -346,3 +346,45 @@ def histogram(
         F.when(F.col("bin") < bins, lo_c + (F.col("bin") + 1) * width).alias("bin_hi"),
         count_col,
     )
+
+
+def histogram_nice(df: DataFrame, col: str | Column, max_bins: int = 100, weight: str | Column | None = None,
+                   count_col: str = "cnt") -> DataFrame:
+    """Histogram with round edges (A13): ``bin, bin_lo, bin_hi, cnt``.
+
+    Edges are multiples of a step of 1, 2 or 5 times a power of ten: the
+    smallest step with which at most ``max_bins`` bins hold all values.  Bin 0
+    holds the minimum, the last bin the maximum; a value on an edge is in the
+    bin above, empty bins have count 0.  Equal values fill one bin of step 1.
+    NULL and non-finite values are left out; without any value there are no rows.
+    The range is one min/max aggregate, the edges are expressions over it, and the counts have
+    at most ``max_bins`` rows.
+    """
+    if max_bins < 2:
+        raise ValueError("need max_bins > 1")
+    x = as_col(col).cast("double")
+    df = df.filter(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+
+    def place(v, m, e):  # which multiple of m * 10^e is at or below v; powers below 1 are divided by, as they aren't exact
+        return F.floor(F.when(e < 0, v * F.pow(F.lit(10.0), -e) / m).otherwise(v / (m * F.pow(F.lit(10.0), e)))).cast("long")
+
+    def edge(i, m, e):
+        return F.when(e < 0, i * m / F.pow(F.lit(10.0), -e)).otherwise(i * m * F.pow(F.lit(10.0), e))
+
+    rng = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi")).filter("lo IS NOT NULL")
+    e0 = F.floor(F.log10((F.col("hi") - F.col("lo")) / max_bins)).cast("int")
+    steps = [F.struct(e.alias("e"), F.lit(m).alias("m"), place(F.col("lo"), F.lit(m), e).alias("first"), place(F.col("hi"), F.lit(m), e).alias("last"))
+             for e in (e0 - 1, e0, e0 + 1) for m in (1.0, 2.0, 5.0)]
+    one = F.struct(F.lit(0).alias("e"), F.lit(1.0).alias("m"), F.floor("lo").cast("long").alias("first"), F.floor("lo").cast("long").alias("last"))
+    fits = F.filter(F.array(*steps), lambda s: s["last"] - s["first"] < max_bins)
+    # Steps stand from the smallest to the largest.
+    chosen = rng.select(F.when(F.col("hi") > F.col("lo"), fits[0]).otherwise(one).alias("s"))
+    s = chosen.scalar()
+    val = F.count(F.lit(1)) if weight is None else F.sum(as_col(weight).cast("long"))
+    counts = (df.withColumn("_s", s).groupBy((place(x, F.col("_s.m"), F.col("_s.e")) - F.col("_s.first")).alias("bin"))
+              .agg(val.alias(count_col)))
+    bins = chosen.select("s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("s.last") - F.col("s.first"))).alias("bin"))
+    at = F.col("s.first") + F.col("bin")
+    return bins.join(counts, "bin", "left").select(
+        "bin", edge(at, F.col("s.m"), F.col("s.e")).alias("bin_lo"), edge(at + 1, F.col("s.m"), F.col("s.e")).alias("bin_hi"),
+        F.coalesce(count_col, F.lit(0)).alias(count_col))

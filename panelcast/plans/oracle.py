@@ -293,6 +293,17 @@ WITH e AS (SELECT MIN(o_totalprice)::DOUBLE AS lo, MAX(o_totalprice)::DOUBLE AS
 SELECT b.range AS bin, ROUND(lo + b.range * w, 4) AS bin_lo, ROUND(lo + (b.range + 1) * w, 4) AS bin_hi,
        (SELECT COUNT(*) FROM orders, e WHERE LEAST(FLOOR((o_totalprice - lo) / w), 19) = b.range) AS cnt
 FROM range(0, 20) b, e
+""",
+    "histogram_nice": """
+WITH r AS (SELECT MIN(o_totalprice)::DOUBLE AS lo, MAX(o_totalprice)::DOUBLE AS hi FROM orders),
+s AS (
+    SELECT MIN(m * POW(10.0, e)) AS step
+    FROM r, (VALUES (1.0::DOUBLE), (2.0::DOUBLE), (5.0::DOUBLE)) v(m), range(0, 9) t(e)
+    WHERE FLOOR(hi / (m * POW(10.0, e))) - FLOOR(lo / (m * POW(10.0, e))) < 60),
+b AS (SELECT unnest(range(0, CAST(FLOOR(hi / step) - FLOOR(lo / step) AS BIGINT) + 1)) AS bin, FLOOR(lo / step) AS first, step FROM r, s)
+SELECT bin, ROUND((first + bin) * step, 6) AS bin_lo, ROUND((first + bin + 1) * step, 6) AS bin_hi,
+       (SELECT COUNT(*) FROM orders WHERE FLOOR(o_totalprice / step) - first = bin) AS cnt
+FROM b
 """,
     "histogram_weighted": f"""
 WITH fan AS ({FANOUT}),

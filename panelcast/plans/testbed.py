@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from panelcast.functions.missing import NULLS, Missing, drop_missing
 from panelcast.operators.adoption import Family, adoption_families, adoption_vs_demand
 from panelcast.operators.association import association_grid, contingency, cramers_v, top_associations
-from panelcast.operators.fanout import Bridge, decode, fanout_base, fanout_breakdowns, grouped_avg, histogram
+from panelcast.operators.fanout import Bridge, decode, fanout_base, fanout_breakdowns, grouped_avg, histogram, histogram_nice
 from panelcast.operators.flow import flow_links, flow_nodes, label_counts, pair_flows, pathway
 from panelcast.operators.profile import (
     array_vectors,
@@ -179,6 +179,11 @@ def q_histogram_auto(spark, d):
     return h.select("bin", _r("bin_lo", 4), _r("bin_hi", 4), "cnt")
 
 
+def q_histogram_nice(spark, d):
+    h = histogram_nice(table(spark, d, "orders"), "o_totalprice", max_bins=60)
+    return h.select("bin", _r("bin_lo", 6), _r("bin_hi", 6), "cnt")
+
+
 def q_histogram_weighted(spark, d):
     fb = _fanout(spark, d)
     return histogram(fb.entities, "salary", 0, 400000, 40, weight="weight")
@@ -466,6 +471,7 @@ QUERIES = {
     "histogram": q_histogram,
     "histogram_auto": q_histogram_auto,
     "histogram_weighted": q_histogram_weighted,
+    "histogram_nice": q_histogram_nice,
     "adoption_vs_demand_part": q_adoption_vs_demand_part,
     "adoption_vs_demand_supplier": q_adoption_vs_demand_supplier,
     "adoption_vs_demand_event": q_adoption_vs_demand_event,

@@ -6,7 +6,7 @@ from collections import defaultdict
 import pytest
 
 from fixtures import LANGUAGES, LEARN_CODE, RESPONDENT_LANGUAGE, RESPONDENT_LEARN_CODE, RESPONDENTS
-from panelcast.operators import Bridge, decode, fanout_base, grouped_avg, histogram
+from panelcast.operators import Bridge, decode, fanout_base, grouped_avg, histogram, histogram_nice
 
 
 def literal_fanout():
@@ -157,3 +157,28 @@ def test_histogram_nan_and_outside(spark):
     assert [r.cnt for r in histogram(df, "v", None, None, 2).orderBy("bin").collect()] == [3, 1]
     got = [(r.bin, r.bin_lo, r.bin_hi, r.cnt) for r in histogram(df, "v", 0, 4, 2, outside=True).orderBy("bin").collect()]
     assert got == [(-1, None, 0.0, 1), (0, 0.0, 2.0, 1), (1, 2.0, 4.0, 1), (2, 4.0, None, 1)]
+
+
+@pytest.mark.parametrize("values,edges", [
+    ([0.0, 100.0], (10.0, 0.0, 11)),                      # 100 is on an edge: a bin of its own
+    ([-37.0, -1.0, 4.0, 18.5], (5.0, -40.0, 12)),
+    ([0.00012, 0.00031, 0.00029], (0.00002, 0.00012, 10)),
+    ([1e9, 1.7e9], (1e8, 1e9, 8)),
+    ([7.3, 7.3, 7.3], (1.0, 7.0, 1)),
+    ([-2.5], (1.0, -3.0, 1)),
+])
+def test_nice_edges(spark, values, edges):
+    step, first, n = edges
+    df = spark.createDataFrame([(v, 2) for v in values] + [(None, 1), (float("nan"), 1), (float("inf"), 1)], "v double, w int")
+    rows = sorted(histogram_nice(df, "v", max_bins=12).collect())
+    assert [r.bin for r in rows] == list(range(n))
+    assert [(r.bin_lo, r.bin_hi) for r in rows] == [(pytest.approx(first + i * step, rel=1e-12, abs=1e-15), pytest.approx(first + (i + 1) * step, rel=1e-12, abs=1e-15)) for i in range(n)]
+    for r in rows:
+        assert r.cnt == sum(r.bin_lo <= v < r.bin_hi for v in values)
+    assert [r.cnt for r in sorted(histogram_nice(df, "v", 12, weight="w").collect())] == [2 * r.cnt for r in rows]
+
+
+def test_nice_edges_without_values(spark):
+    assert histogram_nice(spark.createDataFrame([(None,)], "v double"), "v").collect() == []
+    with pytest.raises(ValueError):
+        histogram_nice(spark.createDataFrame([(1.0,)], "v double"), "v", max_bins=1)
