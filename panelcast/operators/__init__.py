@@ -1,7 +1,15 @@
 """DataFrame operators.  Each takes DataFrames and returns a lazy DataFrame,
 except the Spark ML fits in ``profile``, which run jobs when called."""
 
-from panelcast.operators.adoption import Family, adoption_families, adoption_vs_demand, distinct_entities
+from panelcast.operators.adoption import (
+    Family,
+    adoption_families,
+    adoption_vs_demand,
+    distinct_entities,
+    entity_sketches,
+    merged_sketches,
+    sketch_counts,
+)
 from panelcast.operators.association import association_grid, contingency, cramers_v, top_associations
 from panelcast.operators.fanout import Bridge, FanoutBase, decode, fanout_base, fanout_breakdowns, grouped_avg, histogram, histogram_nice
 from panelcast.operators.flow import bridge_weights, flow_graph, flow_links, flow_nodes, forked_flows, label_counts, pair_flows, pathway
@@ -45,6 +53,7 @@ __all__ = [
     "distinct_entities",
     "distinct_vectors",
     "distribution",
+    "entity_sketches",
     "equals",
     "fanout_base",
     "fanout_breakdowns",
@@ -60,6 +69,7 @@ __all__ = [
     "indicator_long",
     "indicator_vectors",
     "indicator_wide",
+    "merged_sketches",
     "normalized",
     "pair_flows",
     "pathway",
@@ -69,5 +79,6 @@ __all__ = [
     "second_moments",
     "silhouette",
     "silhouette_sweep",
+    "sketch_counts",
     "top_associations",
 ]

@@ -119,3 +119,29 @@ def adoption_families(families: Sequence[Family], sort: bool = True) -> DataFram
     if sort:
         out = out.orderBy("_f", (F.col("cnt") + F.col("want_cnt")).desc(), F.length("id"), "id")
     return out.select("family", "id", "name", "cnt", "want_cnt")
+
+
+def entity_sketches(bridge: DataFrame, entity: str | Column, item: str | Column, item_name: str = "id", lg_k: int = 12) -> DataFrame:
+    """``item, sketch``: a HyperLogLog sketch of each item's distinct entities
+    (A3), to be stored with a load and merged with those of other loads
+    (:func:`merged_sketches`), so that old loads are not read again.
+
+    A sketch takes 2^``lg_k`` buckets at most; the standard error of its
+    estimate is about 1.04 / sqrt(2^lg_k) (1.6 % at 12), and small counts are nearly exact.
+    NULL items and entities are left out.
+    """
+    b = bridge.select(as_col(item).alias(item_name), as_col(entity).alias("_entity")).filter(F.col(item_name).isNotNull())
+    return b.groupBy(item_name).agg(F.hll_sketch_agg("_entity", lg_k).alias("sketch"))
+
+
+def merged_sketches(loads: Sequence[DataFrame], item_name: str = "id") -> DataFrame:
+    """``item, sketch`` of several loads' sketches: an entity in two loads counts once."""
+    if not loads:
+        raise ValueError("no sketches")
+    rows = reduce(DataFrame.unionByName, loads)
+    return rows.groupBy(item_name).agg(F.hll_union_agg("sketch").alias("sketch"))
+
+
+def sketch_counts(sketches: DataFrame, item_name: str = "id", count_col: str = "cnt") -> DataFrame:
+    """``item, cnt``: the estimated number of distinct entities."""
+    return sketches.select(item_name, F.hll_sketch_estimate("sketch").alias(count_col))

@@ -330,6 +330,7 @@ FROM range(0, 40) r LEFT JOIN c ON r.range = c.bin
         f"COUNT(DISTINCT CASE WHEN l_returnflag = 'R' THEN l_orderkey END) AS want_cnt "
         f"FROM lineitem JOIN {family} t ON {item} = t.{key} GROUP BY 1, 2) c WHERE cnt > 0 AND want_cnt > 0"
         for family, key, label, item in (("part", "p_partkey", "p_name", "l_partkey"), ("supplier", "s_suppkey", "s_name", "l_suppkey"))),
+    "entity_sketches": "SELECT COUNT(DISTINCT l_suppkey) AS n_items, CAST(0 AS BIGINT) AS n_off FROM lineitem",
     "fanout_breakdowns": f"WITH fan AS ({FANOUT}) " + " UNION ALL ".join(
         f"SELECT '{dim}' AS dim, CAST({value} AS VARCHAR) AS value, ROUND(AVG(salary), 4) AS average, COUNT(*) AS cnt FROM fan {where} GROUP BY 2"
         for dim, value, where in (

@@ -14,7 +14,15 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from panelcast.functions.missing import NULLS, Missing, drop_missing
-from panelcast.operators.adoption import Family, adoption_families, adoption_vs_demand
+from panelcast.operators.adoption import (
+    Family,
+    adoption_families,
+    adoption_vs_demand,
+    distinct_entities,
+    entity_sketches,
+    merged_sketches,
+    sketch_counts,
+)
 from panelcast.operators.association import association_grid, contingency, cramers_v, top_associations
 from panelcast.operators.fanout import Bridge, decode, fanout_base, fanout_breakdowns, grouped_avg, histogram, histogram_nice
 from panelcast.operators.flow import flow_links, flow_nodes, label_counts, pair_flows, pathway
@@ -211,6 +219,19 @@ def q_adoption_vs_demand_full(spark, d):
     return _li_adoption(spark, d, "l_partkey", "part", "p_partkey", "p_name", how="full")
 
 
+def q_entity_sketches(spark, d):
+    """Suppliers' distinct orders from the sketches of two loads (lines of odd
+    and even number), and how many estimates are off the exact count by more than
+    4 standard errors: ``n_items, n_off``, of which the second is 0."""
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
+    loads = [li.filter(F.pmod("l_linenumber", F.lit(2)) == r) for r in (0, 1)]
+    merged = merged_sketches([entity_sketches(x, "l_orderkey", "l_suppkey") for x in loads])
+    exact = distinct_entities(li, "l_orderkey", "l_suppkey", "id", "exact")
+    both = sketch_counts(merged).join(exact, "id")
+    off = F.abs(F.col("cnt") - F.col("exact")) > F.greatest(F.lit(1.0), F.col("exact") * (4 * 1.04 / 64))
+    return both.agg(F.count(F.lit(1)).alias("n_items"), F.count_if(off).alias("n_off"))
+
+
 def q_adoption_families(spark, d):
     """Parts and suppliers as two families of one plan."""
     li = table(spark, d, "lineitem")
@@ -477,6 +498,7 @@ QUERIES = {
     "adoption_vs_demand_event": q_adoption_vs_demand_event,
     "adoption_vs_demand_full": q_adoption_vs_demand_full,
     "adoption_families": q_adoption_families,
+    "entity_sketches": q_entity_sketches,
     "fanout_breakdowns": q_fanout_breakdowns,
     "clean_entities": q_clean_entities,
     "decode": q_decode,

@@ -1,3 +1,5 @@
+import pytest
+
 from panelcast.operators import adoption_vs_demand
 
 
@@ -36,3 +38,29 @@ def test_approx_matches_exact_on_small_input(spark):
     approx = {r.id: r.cnt for r in adoption_vs_demand(worked, worked, "e", "i", approx=True).collect()}
     assert exact == {0: 100, 1: 100, 2: 100}
     assert all(abs(approx[k] - v) <= 5 for k, v in exact.items())
+
+
+def test_stored_sketches_merge_without_the_loads(spark, tmp_path):
+    from panelcast.operators import entity_sketches, merged_sketches, sketch_counts
+    from panelcast.sources import write_result
+
+    # 20,000 entities of item 1 over two loads that share half of theirs, few of item 2, a NULL item.
+    first = [(e, 1) for e in range(15_000)] + [(1, 2), (1, 2), (2, 2), (3, None), (None, 2)]
+    second = [(e, 1) for e in range(5_000, 20_000)] + [(2, 2), (9, 3)]
+    stored = []
+    for i, rows in enumerate((first, second)):
+        path = str(tmp_path / f"load{i}")
+        write_result(entity_sketches(spark.createDataFrame(rows, "e long, i long"), "e", "i"), path)
+        stored.append(spark.read.parquet(path))
+    got = {r.id: r.cnt for r in sketch_counts(merged_sketches(stored)).collect()}
+    assert set(got) == {1, 2, 3} and got[2] == 2 and got[3] == 1
+    assert abs(got[1] - 20_000) <= 4 * 1.04 / 64 * 20_000
+    whole = entity_sketches(spark.createDataFrame(first + second, "e long, i long"), "e", "i")
+    assert {r.id: r.cnt for r in sketch_counts(whole).collect()} == pytest.approx(got, rel=0.02)
+
+
+def test_no_sketches():
+    from panelcast.operators import merged_sketches
+
+    with pytest.raises(ValueError):
+        merged_sketches([])
