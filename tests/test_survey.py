@@ -1,8 +1,11 @@
 """Each named analysis on the survey-shaped fixture; expected
 values worked out by hand from tests/fixtures.py."""
 
+from collections import Counter
+
 import pytest
 
+from fixtures import LEARN_CODE, RESPONDENT_LEARN_CODE, RESPONDENTS
 from panelcast.plans import survey as S
 from test_fanout import literal_avg, literal_fanout
 
@@ -150,3 +153,64 @@ def test_q_tt_in_one_pass(survey):
     assert got == want and len(got) == 6
     with pytest.raises(KeyError, match="missing tables"):
         S.technology_demand_table(survey)
+
+
+# ------------------------------------------------------------------ whole tables, from the fixture rows in plain Python
+
+CLEAN = {1, 2, 3, 4, 5, 10, 11, 12}  # education, developer type and industry answered
+
+
+def _answers():
+    """(education, method, developer type, industry) of every clean respondent's method rows."""
+    by_id = {r[0]: r for r in RESPONDENTS}
+    names = dict(LEARN_CODE)
+    return [(by_id[i][8], names[m], by_id[i][2], by_id[i][1]) for i, m in RESPONDENT_LEARN_CODE if i in CLEAN and m in names]
+
+
+def test_q_ed2_whole_table(survey):
+    names = dict(LEARN_CODE)
+    want = sorted((i, names[m]) for i, m in RESPONDENT_LEARN_CODE if m in names)
+    assert sorted((r.ResponseId, r.name) for r in S.learn_code_methods(survey).collect()) == want
+
+
+def test_q_ed3_whole_table(survey):
+    want = Counter()
+    for education, method, dev, industry in _answers():
+        want.update([(0, education, method), (1, method, dev), (2, method, industry)])
+    assert {(r.hop, r.source, r.target): r["count"] for r in S.pathway_pair_flows(survey).collect()} == dict(want)
+
+
+@pytest.mark.parametrize("last,place", [("DevType", 2), ("Industry", 3)])
+def test_q_ed4_whole_graphs(survey, last, place):
+    want = Counter()
+    for row in _answers():
+        want.update([((0, row[0].strip()), (1, row[1].strip())), ((1, row[1].strip()), (2, row[place].strip()))])
+    nodes, links = S.pathway_graphs(survey)[last]
+    label = {r.node_id: (r.layer, r.label) for r in nodes.collect()}
+    assert [label[i] for i in range(len(label))] == sorted({n for pair in want for n in pair})
+    assert {(label[r.source_id], label[r.target_id]): r.value for r in links.collect()} == dict(want)
+
+
+@pytest.mark.parametrize("fn,place,targets", [
+    (S.education_industry_associations, 1, S.INDUSTRY_TARGETS), (S.education_devtype_associations, 2, S.DEV_TYPE_TARGETS)])
+def test_q_ed6_ed7_whole_tables(survey, fn, place, targets):
+    names = dict(LEARN_CODE)
+    people = [r for r in RESPONDENTS if r[0] in {i for i, m in RESPONDENT_LEARN_CODE if i in CLEAN and m in names}]
+    rename = lambda x: S.RESPONDENT_RENAME.get(x, x)
+    want = {}
+    for f in S.EDUCATION_FEATURES:
+        for t in targets:
+            cell = Counter((rename(p[8]) == f, rename(p[place]) == t) for p in people)
+            n, r, k = len(people), cell[True, True] + cell[True, False], cell[True, True] + cell[False, True]
+            chi2 = None
+            if 0 < r < n and 0 < k < n:  # the sum over four cells
+                chi2 = sum((cell[a, b] - x * y / n) ** 2 / (x * y / n) for a, x in ((True, r), (False, n - r)) for b, y in ((True, k), (False, n - k)))
+            want[f, t] = (cell[True, True], r, k, n, None if chi2 is None else (chi2 / n) ** 0.5)
+    got = fn(survey).collect()
+    assert len(got) == 10
+    for row in got:
+        *counts, v = want[row.feature, row.target]
+        assert [row.n11, row.r, row.k, row.n] == counts
+        assert row.v is None if v is None else row.v == pytest.approx(v)
+    best = sorted((v for *_, v in want.values() if v is not None), reverse=True)[:10]
+    assert [row.v for row in got if row.v is not None] == pytest.approx(best)
