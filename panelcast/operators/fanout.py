@@ -58,7 +58,8 @@ def decode(
 @dataclass(frozen=True)
 class Bridge:
     """A multi-valued answer: rows ``(entity key, item id)`` and a lookup that
-    turns item ids into labels.  ``name`` is the label column in results."""
+    turns item ids into labels.  ``name`` is the label column in results.
+    ``mult`` names a column that says how often a row counts (``sources.write_bridge``)."""
 
     name: str
     df: DataFrame
@@ -67,6 +68,12 @@ class Bridge:
     lookup: DataFrame | None = None
     lookup_id: str | None = None
     lookup_label: str | None = None
+    mult: str | None = None
+
+    @property
+    def rows(self) -> Column:
+        """The rows of the literal bridge, as an aggregate."""
+        return F.count(F.lit(1)) if self.mult is None else F.sum(qcol(self.mult).cast("long"))
 
     def labelled(self, key_name: str) -> DataFrame:
         """``(key_name, name)`` per bridge row; dangling ids keep a NULL label."""
@@ -120,7 +127,7 @@ def fanout_base(
     ).filter(in_open_range(measure_name, lo, hi))
     weight = F.lit(1)
     for b in bridges:
-        counts = b.df.groupBy(qcol(b.key).alias(key)).agg(F.count(F.lit(1)).alias(_n(b.name)))
+        counts = b.df.groupBy(qcol(b.key).alias(key)).agg(b.rows.alias(_n(b.name)))
         ent = ent.join(counts, key, "left").withColumn(_n(b.name), F.coalesce(qcol(_n(b.name)), F.lit(0)))
         weight = weight * F.greatest(F.lit(1), qcol(_n(b.name)))
     ent = ent.withColumn("weight", weight.cast("long"))
@@ -167,7 +174,7 @@ def grouped_avg(
         if weighting == "fanout":
             # Sums per item id first: the lookup meets one row per item.
             items = (b.df.groupBy(qcol(b.key).alias(base.key), qcol(b.item).alias("_item"))
-                     .agg(F.count(F.lit(1)).alias("_mult")))
+                     .agg(b.rows.alias("_mult")))
             # Entities without bridge rows keep one row with a NULL item (left join).
             w = (F.coalesce(F.col("_mult"), F.lit(1)) * F.col("_w")).cast("double")
             rows = ent.join(items, base.key, "left").groupBy("_item").agg(F.sum(m * w).alias("_sum"), F.sum(w).alias("_weight"))
@@ -234,13 +241,14 @@ def fanout_breakdowns(
     ent = entities.select(qcol(key).alias("_k"), as_col(measure).alias("_m"), *[c.alias(f"_a{i}") for i, c in enumerate(cols.values())])
     ent = ent.filter(in_open_range("_m", lo, hi))
     if bridges:
-        shared: dict[tuple[int, str], list[int]] = {}
+        shared: dict[tuple[int, str, str | None], list[int]] = {}
         for i, b in enumerate(bridges):
-            shared.setdefault((id(b.df), b.key), []).append(i)
+            shared.setdefault((id(b.df), b.key, b.mult), []).append(i)
         rows = [bridges[of[0]].df.select(qcol(k).alias("_k"), F.explode(F.array(*[
-            F.struct(F.lit(i).alias("b"), qcol(bridges[i].item).cast("string").alias("item")) for i in of])).alias("_i"))
-            for (_, k), of in shared.items()]
-        counts = reduce(DataFrame.unionAll, rows).groupBy("_k", "_i").agg(F.count(F.lit(1)).alias("mult"))
+            F.struct(F.lit(i).alias("b"), qcol(bridges[i].item).cast("string").alias("item")) for i in of])).alias("_i"),
+            (F.lit(1) if m is None else qcol(m)).cast("long").alias("_n"))
+            for (_, k, m), of in shared.items()]
+        counts = reduce(DataFrame.unionAll, rows).groupBy("_k", "_i").agg(F.sum("_n").alias("mult"))
         items = counts.groupBy("_k").agg(F.collect_list(F.struct("_i.b", "_i.item", "mult")).alias("_items"))
         ent = ent.join(items, "_k", "left")
     none = F.array().cast("array<struct<b:int,item:string,mult:bigint>>")

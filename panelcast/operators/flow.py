@@ -65,18 +65,21 @@ def bridge_weights(labels: DataFrame, key: str, label: str, weight: str = "mult"
 
 
 def label_counts(entities: DataFrame, key: str, attrs: Sequence[str], bridge: DataFrame, bridge_key: str, item: str,
-                 lookup: DataFrame, lookup_id: str, lookup_label: str, label: str, weight: str = "mult") -> DataFrame:
+                 lookup: DataFrame, lookup_id: str, lookup_label: str, label: str, weight: str = "mult",
+                 mult: str | None = None) -> DataFrame:
     """``attrs, label, mult``: rows of entities ⋈ bridge ⋈ lookup (J4), counted
     per combination of attributes and item id before the ids are decoded.
 
     The lookup meets one row per combination and item, whatever the size of
     the bridge; ids without a label drop out.  The bridge is joined once, on
     the entity key; an entity with a huge number of bridge rows is split by
-    AQE, as the entity side has one row for it.
+    AQE, as the entity side has one row for it.  ``mult`` names a column of the
+    bridge that says how often a row counts (``sources.write_bridge``).
     """
     ent = entities.select(qcol(key).alias("_key"), *[qcol(a) for a in attrs])
-    rows = bridge.select(qcol(bridge_key).alias("_key"), qcol(item).alias("_item"))
-    counts = rows.join(ent, "_key").groupBy("_item", *[qcol(a) for a in attrs]).agg(F.count(F.lit(1)).alias(weight))
+    rows = bridge.select(qcol(bridge_key).alias("_key"), qcol(item).alias("_item"),
+                         (F.lit(1) if mult is None else qcol(mult)).cast("long").alias("_n"))
+    counts = rows.join(ent, "_key").groupBy("_item", *[qcol(a) for a in attrs]).agg(F.sum("_n").alias(weight))
     labels = lookup.select(qcol(lookup_id).alias("_item"), qcol(lookup_label).alias(label))
     return counts.join(labels, "_item").select(*[qcol(a) for a in attrs], qcol(label), qcol(weight))
 

@@ -3,10 +3,10 @@
 The SQL keeps the literal forms that most Spark operators rewrite: the
 small-category collapse as a union, the fan-out as the full four-step
 left-join chain, Cramér's V as the textbook chi-square sum over every cell of
-the table, the association grid by brute force over features x targets x
-rows, and the silhouette over all pairs.  There agreement tests the rewrites,
-not just the arithmetic; the share queries' group totals and the multi-valued
-grid have the same form on both sides.  Doubles are rounded and counts cast to BIGINT exactly
+the table, the association grids by brute force over features x targets x
+rows with the four cells of each 2 x 2 table, group totals by correlated
+subqueries, and the silhouette over all pairs.  So agreement tests the
+rewrites, not just the arithmetic.  Doubles are rounded and counts cast to BIGINT exactly
 as on the Spark side.
 """
 
@@ -25,13 +25,11 @@ def _q(name: str) -> str:
 
 
 ORDERS_SHARE = """
-SELECT DISTINCT o_orderpriority, status AS o_orderstatus, alike * 100.0::DOUBLE / everyone AS percentage
-FROM (
-    SELECT o_orderpriority, NULLIF(o_orderstatus, 'F') AS status,
-           COUNT(*) OVER (PARTITION BY o_orderpriority) AS everyone,
-           COUNT(*) OVER (PARTITION BY o_orderpriority, NULLIF(o_orderstatus, 'F')) AS alike
-    FROM orders WHERE o_orderpriority <> '5-LOW'
-) WHERE status IS NOT NULL
+SELECT g.o_orderpriority, g.o_orderstatus,
+       COUNT(*) * 100.0::DOUBLE / (SELECT COUNT(*) FROM orders t WHERE t.o_orderpriority = g.o_orderpriority) AS percentage
+FROM orders g
+WHERE g.o_orderpriority <> '5-LOW' AND g.o_orderstatus <> 'F'
+GROUP BY g.o_orderpriority, g.o_orderstatus
 """
 
 FANOUT = """
@@ -162,6 +160,14 @@ FROM chi
 """
 
 
+# Pearson chi-square of the 2 x 2 crosstab of two indicators, no correction.
+FOUR_CELLS = """
+        POWER(a - r * k / n, 2) / NULLIF(r * k / n, 0)
+        + POWER((r - a) - r * (n - k) / n, 2) / NULLIF(r * (n - k) / n, 0)
+        + POWER((k - a) - (n - r) * k / n, 2) / NULLIF((n - r) * k / n, 0)
+        + POWER((n - r - k + a) - (n - r) * (n - k) / n, 2) / NULLIF((n - r) * (n - k) / n, 0)
+"""
+
 GRID = f"""
 WITH e AS ({ORDER_SEGMENTS}),
 g AS (
@@ -174,12 +180,7 @@ g AS (
     GROUP BY f.feature, t.target
 ),
 chi AS (
-    -- 2 x 2 crosstab of the two indicators; Pearson chi-square, no correction
-    SELECT *,
-        POWER(a - r * k / n, 2) / NULLIF(r * k / n, 0)
-        + POWER((r - a) - r * (n - k) / n, 2) / NULLIF(r * (n - k) / n, 0)
-        + POWER((k - a) - (n - r) * k / n, 2) / NULLIF((n - r) * k / n, 0)
-        + POWER((n - r - k + a) - (n - r) * (n - k) / n, 2) / NULLIF((n - r) * (n - k) / n, 0) AS chi2
+    SELECT *, {FOUR_CELLS} AS chi2
     FROM g
 )
 SELECT feature, target, CAST(a AS BIGINT) AS n11, CAST(r AS BIGINT) AS r, CAST(k AS BIGINT) AS k,
@@ -238,11 +239,28 @@ GROUP BY 1, 2
 ORACLE = {
     "group_share": f"""
 SELECT o_orderpriority, o_orderstatus, ROUND(percentage, 6) AS percentage FROM ({ORDERS_SHARE}) s
+""",
+    "stored_group_share": f"""
+SELECT o_orderpriority, o_orderstatus, ROUND(percentage, 6) AS percentage FROM ({ORDERS_SHARE}) s
+""",
+    "relabelled_distribution": """
+SELECT CASE WHEN p_type IN ('ECONOMY', 'PROMO') THEN 'Low price' WHEN p_type = 'STANDARD' THEN 'Ordinary' ELSE p_type END AS p_type,
+       CAST(COUNT(*) AS BIGINT) AS cnt
+FROM part WHERE p_type IS NOT NULL GROUP BY 1
+""",
+    "bucketed_fanout_base": f"""
+WITH fan AS ({FANOUT})
+SELECT o_orderkey, salary, CAST(COUNT(*) AS BIGINT) AS weight FROM fan GROUP BY o_orderkey, salary
+""",
+    "bucketed_avg_by_item": _avg("p_type", "p_type <> 'PROMO'"),
+    "bucketed_pair_flows": """
+SELECT 0 AS hop, o_orderpriority AS source, p_type AS target, CAST(COUNT(*) AS BIGINT) AS "count"
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY 2, 3
 """,
     "group_share_answered": """
-SELECT DISTINCT source, lang,
-       ROUND(COUNT(*) OVER (PARTITION BY source, lang) * 100.0::DOUBLE / COUNT(*) OVER (PARTITION BY source), 6) AS percentage
-FROM documents WHERE source IS NOT NULL AND lang <> 'es'
+SELECT g.source, g.lang,
+       ROUND(COUNT(*) * 100.0::DOUBLE / (SELECT COUNT(*) FROM documents t WHERE t.source = g.source AND t.lang <> 'es'), 6) AS percentage
+FROM documents g WHERE g.source IS NOT NULL AND g.lang <> 'es' GROUP BY g.source, g.lang
 """,
     "pivot_share": _pivot(),
     "pivot_share_rest": f"""
@@ -414,16 +432,16 @@ GROUP BY 1, 2
 """,
     "cramers_v": _chi2(ORDER_SEGMENTS),
     "association_grid": f"SELECT feature, target, n11, r, k, n, ROUND(v, 6) AS v FROM ({GRID}) g",
-    "association_grid_multi": """
-SELECT feature, target, n11, r, k, n,
-       ROUND(CASE WHEN r * k * (n - r) * (n - k) > 0
-                  THEN ABS(n * n11 - r * k) / SQRT(r::DOUBLE * k * (n - r) * (n - k)) END, 6) AS v
+    "association_grid_multi": f"""
+SELECT feature, target, CAST(a AS BIGINT) AS n11, CAST(r AS BIGINT) AS r, CAST(k AS BIGINT) AS k, CAST(n AS BIGINT) AS n,
+       ROUND(SQRT(({FOUR_CELLS}) / n), 6) AS v
 FROM (SELECT feature, target,
-             COUNT(DISTINCT CASE WHEN l_returnflag = feature AND l_linestatus = target THEN l_orderkey END) AS n11,
-             COUNT(DISTINCT CASE WHEN l_returnflag = feature THEN l_orderkey END) AS r,
-             COUNT(DISTINCT CASE WHEN l_linestatus = target THEN l_orderkey END) AS k,
-             COUNT(DISTINCT l_orderkey) AS n
-      FROM lineitem, (VALUES ('A'), ('N'), ('R'), ('X')) f(feature), (VALUES ('F'), ('O')) t(target)
+             COUNT(CASE WHEN both_seen THEN 1 END)::DOUBLE AS a, COUNT(CASE WHEN f1 THEN 1 END)::DOUBLE AS r,
+             COUNT(CASE WHEN t1 THEN 1 END)::DOUBLE AS k, COUNT(*)::DOUBLE AS n
+      FROM (SELECT feature, target, l_orderkey, bool_or(l_returnflag = feature AND l_linestatus = target) AS both_seen,
+                   bool_or(l_returnflag = feature) AS f1, bool_or(l_linestatus = target) AS t1
+            FROM lineitem, (VALUES ('A'), ('N'), ('R'), ('X')) f(feature), (VALUES ('F'), ('O')) t(target)
+            GROUP BY feature, target, l_orderkey)
       GROUP BY feature, target) g
 """,
     "top_associations": f"""

@@ -9,11 +9,13 @@ places, means to 4) so the results compare exactly with the DuckDB oracle in
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from panelcast.functions.missing import NULLS, Missing, drop_missing
+from panelcast.functions.missing import NULLS, Missing, drop_missing, relabel
 from panelcast.operators.adoption import (
     Family,
     adoption_families,
@@ -42,6 +44,8 @@ from panelcast.operators.profile import (
     silhouette_sweep,
 )
 from panelcast.operators.share import breakdown, collapse_small, distribution, equals, group_share, pivot_share
+from panelcast.sources.sinks import checkpoint_dir
+from panelcast.sources.store import Results, write_bridge, write_bucketed
 from panelcast.sources.tables import table
 
 # Category values of the test tables used as parameters.
@@ -111,6 +115,21 @@ def q_breakdown_collapsed(spark, d):
     return breakdown(part, "p_brand", where=equals("p_type", "MEDIUM"), missing=Missing(values=["NA"]), threshold=4)
 
 
+def q_relabelled_distribution(spark, d):
+    """Part types under other names, two of which become one."""
+    new = {"ECONOMY": "Low price", "PROMO": "Low price", "STANDARD": "Ordinary"}
+    part = table(spark, d, "part").select(relabel("p_type", new).alias("p_type"))
+    return distribution(part, "p_type")
+
+
+def q_stored_group_share(spark, d):
+    """The shares as a stored result: the second call finds what the first wrote."""
+    results = Results(spark, f"{checkpoint_dir(spark)}/results")
+    call = "group_share", {"group": "o_orderpriority", "answer": "o_orderstatus"}, [f"{d}/orders.parquet"]
+    results.get(*call, lambda: q_group_share(spark, d))
+    return results.get(*call, lambda: q_group_share(spark, d))
+
+
 def q_collapse_small(spark, d):
     counts = distribution(table(spark, d, "part"), "p_size")
     return collapse_small(counts, "p_size", "cnt", threshold=2)
@@ -146,6 +165,44 @@ def q_fanout_breakdowns(spark, d):
     return out.select("dim", "value", _r("average", 4), "cnt")
 
 
+BUCKETS = 8
+
+
+def bucketed_inputs(spark, d, buckets=BUCKETS):
+    """(orders, bridges) as tables bucketed by the order, in the shared folder."""
+    run = uuid.uuid4().hex
+    root = f"{checkpoint_dir(spark)}/bucketed-{run}"
+    o = write_bucketed(table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority"),
+                       f"orders_{run}", f"{root}/orders", ["o_orderkey"], buckets)
+    li = write_bridge(table(spark, d, "lineitem"), "l_orderkey", ["l_suppkey", "l_partkey"], f"lineitem_{run}", f"{root}/lineitem", buckets)
+    return o, [
+        Bridge("s_name", li, "l_orderkey", "l_suppkey", table(spark, d, "supplier"), "s_suppkey", "s_name", mult="mult"),
+        Bridge("p_type", li, "l_orderkey", "l_partkey", table(spark, d, "part"), "p_partkey", "p_type", mult="mult"),
+    ]
+
+
+def q_bucketed_fanout_base(spark, d):
+    """The fan-out base from bucketed tables: counted and joined without a shuffle."""
+    o, bridges = bucketed_inputs(spark, d)
+    fb = fanout_base(o, "o_orderkey", "o_totalprice", measure_name="salary", bridges=bridges, lo=0, hi=400000)
+    return fb.entities.select("o_orderkey", "salary", "weight")
+
+
+def q_bucketed_avg_by_item(spark, d):
+    """Means by item from bucketed tables: only sums per item are shuffled."""
+    o, bridges = bucketed_inputs(spark, d)
+    fb = fanout_base(o, "o_orderkey", "o_totalprice", measure_name="salary", bridges=bridges, lo=0, hi=400000)
+    return _avg(fb, "p_type", exclude=["PROMO"])
+
+
+def q_bucketed_pair_flows(spark, d):
+    """Priority to part type, each line counted, from bucketed tables."""
+    o, (_, b) = bucketed_inputs(spark, d)
+    rows = label_counts(o, "o_orderkey", ["o_orderpriority"], b.df, "l_orderkey", "l_partkey", b.lookup, "p_partkey", "p_type",
+                        "p_type", mult="mult")
+    return pair_flows(rows, [("o_orderpriority", "p_type")], weight="mult")
+
+
 def q_fanout_base(spark, d):
     return _fanout(spark, d).entities.select("o_orderkey", "salary", "weight")
 
@@ -476,6 +533,11 @@ def q_components_proof(spark, d):
 QUERIES = {
     "group_share": q_group_share,
     "group_share_answered": q_group_share_answered,
+    "stored_group_share": q_stored_group_share,
+    "relabelled_distribution": q_relabelled_distribution,
+    "bucketed_fanout_base": q_bucketed_fanout_base,
+    "bucketed_avg_by_item": q_bucketed_avg_by_item,
+    "bucketed_pair_flows": q_bucketed_pair_flows,
     "pivot_share": q_pivot_share,
     "pivot_share_rest": q_pivot_share_rest,
     "distribution_ordered": q_distribution_ordered,

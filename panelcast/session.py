@@ -21,6 +21,29 @@ SCALE_CONF = {
 }
 
 
+def runtime_filter_conf(entities: int, min_scan: str = "10GB") -> dict[str, str]:
+    """Settings under which joins of a filtered entity table with a bridge
+    first send a Bloom filter of the entities' keys to the bridge scan, so that
+    rows of other entities are dropped before they are counted or shuffled.
+
+    ``entities`` is how many the filter is expected to keep.  The Bloom filter
+    takes 8 bits for each, at most 64 MB; with more keys than fit it lets more
+    rows through, and results stay the same.  Spark adds it only where the
+    bridge scan has at least ``min_scan`` bytes.
+    """
+    bits = min(8 * max(entities, 1), 1 << 29)
+    return {
+        "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+        "spark.sql.optimizer.runtime.bloomFilter.expectedNumItems": str(bits // 8),
+        "spark.sql.optimizer.runtime.bloomFilter.maxNumItems": str(bits // 8),
+        "spark.sql.optimizer.runtime.bloomFilter.numBits": str(bits),
+        "spark.sql.optimizer.runtime.bloomFilter.maxNumBits": str(bits),
+        # Spark's estimate of the filtered side, from its files; the filter itself is bounded above.
+        "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1TB",
+        "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": min_scan,
+    }
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "panelcast",
                   driver_memory: str = "8g", checkpoint_dir: str | None = None) -> SparkSession:
     """A local session; ``checkpoint_dir`` names the folder for stored steps."""

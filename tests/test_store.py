@@ -1,0 +1,184 @@
+"""Bucketed tables, runtime filters and results found again."""
+
+import os
+import re
+import uuid
+
+import pytest
+
+from panelcast.operators import Bridge, fanout_base, fanout_breakdowns, grouped_avg, label_counts
+from panelcast.plans.testbed import bucketed_inputs
+from panelcast.session import runtime_filter_conf
+from panelcast.sources import Results, read_bucketed, table, write_bridge, write_bucketed
+from paths import SF001, SF01
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def name(what: str) -> str:
+    return f"{what}_{uuid.uuid4().hex}"
+
+
+def nodes(node):
+    """Every operator of an executed plan, stages and adaptive parts included."""
+    yield node
+    kind = node.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        yield from nodes(node.executedPlan())
+    elif kind.endswith("QueryStageExec"):
+        yield from nodes(node.plan())
+    children = node.children()
+    for i in range(children.size()):
+        yield from nodes(children.apply(i))
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    keys = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    for k in keys:
+        spark.conf.set(k, "-1")
+    yield
+    for k in keys:
+        spark.conf.unset(k)
+
+
+def test_bucketed_base_needs_no_shuffle(spark, no_broadcast):
+    o, bridges = bucketed_inputs(spark, SF001)
+    base = fanout_base(o, "o_orderkey", "o_totalprice", "salary", bridges=bridges, lo=0, hi=400000)
+    p = plan(base.entities)
+    assert "SortMergeJoin" in p and "Exchange" not in p, p
+    # Means by item: nothing but the sums per item, the lookup and the result's order.
+    p = plan(grouped_avg(base, "p_type", sort=None))
+    assert not re.findall(r"Exchange hashpartitioning\((?:o|l)_orderkey", p)
+    rows = label_counts(o, "o_orderkey", ["o_orderpriority"], bridges[1].df, "l_orderkey", "l_partkey",
+                        bridges[1].lookup, "p_partkey", "p_type", "p_type", mult="mult")
+    assert not re.findall(r"Exchange hashpartitioning\(_key", plan(rows))
+
+
+def test_unbucketed_base_shuffles(spark, no_broadcast):
+    li = table(spark, SF001, "lineitem")
+    base = fanout_base(table(spark, SF001, "orders"), "o_orderkey", "o_totalprice", "salary",
+                       bridges=[Bridge("p", li, "l_orderkey", "l_partkey")])
+    assert "Exchange hashpartitioning(o_orderkey" in plan(base.entities)
+
+
+def test_bucketed_bridge_with_hot_entity(spark, tmp_path, no_broadcast):
+    # Entity 1 has a third of all rows, of five items; one key and one item are NULL.
+    rows = [(1, i % 5) for i in range(2000)] + [(e % 700 + 2, e % 9) for e in range(4000)] + [(None, 3), (2, None)]
+    ents = [(e, ["a", "b"][e % 2], float(e)) for e in range(1, 900)]
+    raw = spark.createDataFrame(rows, "e long, i long").repartition(6)
+    ent = spark.createDataFrame(ents, "id long, attr string, s double")
+    stored = write_bridge(raw, "e", ["i"], name("b"), str(tmp_path / "b"), 4)
+    ent_stored = write_bucketed(ent, name("e"), str(tmp_path / "e"), ["id"], 4)
+    assert stored.where("e = 1").count() == 5
+    lookup = spark.createDataFrame([(i, f"L{i}") for i in range(9)], "id long, name string")
+
+    def answers(entities, bridge, mult):
+        b = Bridge("item", bridge, "e", "i", lookup, "id", "name", mult=mult)
+        base = fanout_base(entities, "id", "s", "s", attrs=["attr"], bridges=[b])
+        every = fanout_breakdowns(entities, "id", "s", attrs=["attr"], bridges=[b], bins=(0, 900, 9))
+        flows = label_counts(entities, "id", ["attr"], bridge, "e", "i", lookup, "id", "name", "name", mult=mult)
+        key = str
+        return [sorted(map(tuple, x.collect()), key=key) for x in (
+            base.entities, every, flows, grouped_avg(base, "item"), grouped_avg(base, "attr"), grouped_avg(base, "item", weighting="entity"))]
+
+    assert answers(ent_stored, stored, "mult") == answers(ent, raw, None)
+
+
+def test_bucketed_table_read_by_another_session(spark, tmp_path, no_broadcast):
+    df = spark.createDataFrame([(i % 50, i, f"it's {i}") for i in range(500)], "k long, `a b` long, s string")
+    path = str(tmp_path / "it's here")
+    write_bucketed(df, name("t"), path, ["k"], 4)
+    other = spark.newSession()
+    other.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    again = read_bucketed(other, name("t"), path, ["k"], 4)
+    counts = again.groupBy("k").count()
+    assert "Exchange" not in plan(counts)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, df.collect()))
+    assert {tuple(r) for r in counts.collect()} == {(k, 10) for k in range(50)}
+    with pytest.raises(ValueError):
+        write_bucketed(df, name("t"), path, [], 4)
+
+
+def test_empty_bucketed_table(spark, tmp_path):
+    none = spark.createDataFrame([], "e long, i long")
+    stored = write_bridge(none, "e", ["i"], name("b"), str(tmp_path / "none"), 4)
+    assert stored.columns == ["e", "i", "mult"] and stored.count() == 0
+
+
+def test_bloom_filter_of_entities_reaches_the_bridge(spark, no_broadcast):
+    def run():
+        o, li = table(spark, SF01, "orders"), table(spark, SF01, "lineitem")
+        base = fanout_base(o, "o_orderkey", "o_totalprice", "salary", bridges=[Bridge("p", li, "l_orderkey", "l_partkey")], lo=0, hi=30000)
+        df = base.entities
+        rows = sorted(map(tuple, df.collect()))
+        executed = df._jdf.queryExecution().executedPlan()
+        written = {n.hashCode(): n.metrics().apply("shuffleRecordsWritten").value() for n in nodes(executed)
+                   if n.getClass().getSimpleName() == "ShuffleExchangeExec" and "orderkey" in n.outputPartitioning().toString()
+                   and "count" in n.output().toString()}
+        return rows, executed.toString(), sum(written.values())
+
+    rows, before, many = run()
+    conf = runtime_filter_conf(2_000, min_scan="0")
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        filtered, after, few = run()
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+    assert rows == filtered
+    assert "might_contain" not in before
+    # The filter stands under the partial count of the bridge.
+    assert re.search(r"partial_count\(1\).*?\n[^\n]*Filter[^\n]*might_contain", after, re.S)
+    kept = len(rows) / table(spark, SF01, "orders").count()
+    assert 0 < few < many * (kept + 0.1) < many / 2, (few, many, kept)
+
+
+def test_runtime_filter_is_bounded():
+    conf = runtime_filter_conf(10**12)
+    assert int(conf["spark.sql.optimizer.runtime.bloomFilter.maxNumBits"]) == 8 * 64 * 1024 * 1024
+    assert int(runtime_filter_conf(0)["spark.sql.optimizer.runtime.bloomFilter.numBits"]) > 0
+
+
+def test_results_are_found_again(spark, tmp_path):
+    source, root = str(tmp_path / "in"), str(tmp_path / "results")
+    spark.range(10).write.parquet(source)
+    built = []
+
+    def build():
+        built.append(1)
+        return spark.read.parquet(source).selectExpr("sum(id) AS s")
+
+    results = Results(spark, root)
+    call = "totals", {"column": "id"}, [source]
+    first = results.get(*call, build)
+    assert first.first().s == 45 and len(built) == 1
+    again = Results(spark, root).get(*call, build)
+    assert again.first().s == 45 and len(built) == 1
+    assert again.inputFiles() and all(root in f for f in again.inputFiles())
+    # Other arguments are another result; a changed input is noticed.
+    results.get("totals", {"column": "id", "where": None}, [source], build)
+    assert len(built) == 2
+    spark.range(10, 12).write.mode("append").parquet(source)
+    assert results.get(*call, build).first().s == 45 + 21 and len(built) == 3
+    assert results.release(*call) and not results.release(*call)
+    results.get(*call, build)
+    assert len(built) == 4
+    assert results.release("totals") and not os.path.exists(os.path.join(root, "totals"))
+    assert not results.release("totals")
+    with pytest.raises(ValueError):
+        results.release("../in")
+
+
+def test_unfinished_results_do_not_count(spark, tmp_path):
+    root = str(tmp_path)
+    results = Results(spark, root)
+    results.get("op", {}, [], lambda: spark.range(3))
+    (folder,) = (tmp_path / "op").iterdir()
+    (done,) = folder.iterdir()
+    (done / "_SUCCESS").unlink()
+    assert results.get("op", {}, [], lambda: spark.range(5)).count() == 5
+    assert len(list(folder.iterdir())) == 2
