@@ -7,13 +7,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import chunks, text_bytes
+from panelcast.llm.common import BROADCAST_KEYS, chunks, saved, text_bytes
 
 #: Bytes of a piece at most.
 PIECE = 16
 #: Bytes of benchmark text that a task holds at a time.
 BLOCK_BYTES = 1 << 20
 
+#: ASCII letters and digits: no word border stands between two of them.
+_WORD = np.array([b < 128 and chr(b).isalnum() for b in range(256)])
 _FOLD = bytes(b if b >= 128 or chr(b).isalnum() else 0x20 for b in range(256))
 
 
@@ -81,10 +83,8 @@ class Items:
     def __init__(self, items: list[tuple[int, bytes]], max_edits: float):
         # An item that may be edited away would be everywhere: one byte of it stays.
         self.items = [(i, t, min(int(len(t) * max_edits + 1e-9), len(t) - 1)) for i, t in items]
-        self.grams = np.zeros((len(self.items), 1 << 16), bool)
         by_width: dict[int, list[tuple[int, np.ndarray]]] = {}
         for n, (_, t, most) in enumerate(self.items):
-            self.grams[n, gram_codes(np.frombuffer(t, np.uint8))] = True
             width, offsets = pieces(len(t), most)
             by_width.setdefault(width, []).append((n, offsets))
         joined = np.frombuffer(b"".join(t for _, t, _ in self.items), np.uint8)
@@ -99,17 +99,20 @@ class Items:
             there[key >> np.uint64(44)] = True
             self.tables[width] = (key[order], owner[order], offset[order], there)
         self.verbatim = np.array([most == 0 for _, _, most in self.items])
+        self.lengths = np.array([len(t) for _, t, _ in self.items])
 
     def _shared_enough(self, cand: np.ndarray, joined: bytes, base: np.ndarray) -> np.ndarray:
         """Candidates whose region holds enough of the item's 4-grams: each edit
         spoils at most four of them, so no match is lost."""
         codes = gram_codes(np.frombuffer(joined, np.uint8))
         cand = cand[np.lexsort((cand[:, 2], cand[:, 0], cand[:, 1]))]
-        keep = []
+        keep, marks = [], np.zeros(1 << 16, bool)
         edge = np.flatnonzero(np.diff(cand[:, 1], prepend=-1, append=-1))
         for a, b in zip(edge[:-1], edge[1:]):
             n = cand[a, 1]
             _, item, most = self.items[n]
+            own = gram_codes(np.frombuffer(item, np.uint8))
+            marks[own] = True
             span = len(item) + 4 * most
             step = max(1, (1 << 21) // span)
             for c in range(a, b, step):
@@ -117,8 +120,9 @@ class Items:
                 first = base[part[:, 0]] + part[:, 2] - 2 * most
                 at = first[:, None] + np.arange(span)
                 inside = (at >= base[part[:, 0]][:, None]) & (at < base[part[:, 0] + 1][:, None])
-                shared = (self.grams[n][codes[np.clip(at, 0, len(codes) - 1)]] & inside).sum(axis=1)
+                shared = (marks[codes[np.clip(at, 0, len(codes) - 1)]] & inside).sum(axis=1)
                 keep.append(part[shared >= len(item) - 3 - 4 * most])
+            marks[own] = False
         return np.concatenate(keep) if keep else cand[:0]
 
     def hits(self, texts: list[bytes]):
@@ -127,6 +131,7 @@ class Items:
         joined = b"".join(t + b"\0" for t in texts) + bytes(PIECE)
         buf = np.frombuffer(joined, np.uint8)
         base = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
+        inner = _WORD[buf]
         found = []
         for width, key in prefix_keys(buf, np.arange(base[-1]), list(self.tables)):
             have, owner, offset, there = self.tables[width]
@@ -137,6 +142,11 @@ class Items:
             row = np.repeat(row, count)
             doc = np.searchsorted(base, row, side="right") - 1
             part = np.stack([doc, owner[pick], row - base[doc] - offset[pick]], axis=1)
+            # An item that must be verbatim stands between word borders.
+            exact = np.flatnonzero(self.verbatim[part[:, 1]])
+            at = base[doc[exact]] + part[exact, 2]
+            end = np.minimum(at + self.lengths[part[exact, 1]], len(buf) - 1)
+            part = np.delete(part, exact[inner[at - 1] & inner[at] | inner[end - 1] & inner[end]], axis=0)
             part = part[np.lexsort((part[:, 2], part[:, 1], part[:, 0]))]
             # One alignment, of an item that must be verbatim the first only, is enough.
             differ = np.diff(part, axis=0, prepend=-1 << 40) != 0
@@ -160,8 +170,10 @@ class Items:
 
 def item_blocks(benchmark: DataFrame):
     """The benchmark's distinct normalised items, null and empty ones left out,
-    in blocks of about BLOCK_BYTES; each is fetched by itself."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL")
+    in blocks of about BLOCK_BYTES; each is fetched by itself.  Repeated rows
+    become one before that."""
+    items = (benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
+             .where("text IS NOT NULL").distinct())
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-size // BLOCK_BYTES)
     for b in range(blocks):
@@ -186,7 +198,9 @@ def find(docs: DataFrame, benchmark: DataFrame, *, max_edits: float = 0.1) -> Da
     verbatim.  Pieces are looked up at every byte of the documents, and where
     one stands, the item is checked by its grams and then by exact edit
     distance against the text around.  No passage is missed, whatever the
-    length of its item, and a hit is never wrong.  The benchmark
+    length of its item, and a hit is never wrong.  An item too short for an edit
+    (under 1 / ``max_edits`` bytes) stands verbatim between word borders: not
+    with an ASCII letter or digit on both sides of its start or end.  The benchmark
     goes to the tasks in blocks of bounded size, one pass over the documents
     for each.  Null or empty texts match nothing; an item without an id gets
     -1.  Repeated rows give repeated results.  Other columns are ignored.
@@ -214,13 +228,28 @@ def find(docs: DataFrame, benchmark: DataFrame, *, max_edits: float = 0.1) -> Da
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, *, max_edits: float = 0.1) -> DataFrame:
-    """The rows of ``docs``, all columns, in which :func:`find` finds nothing."""
+    """The rows of ``docs``, all columns, in which :func:`find` finds nothing.
+
+    The blocks of the benchmark are looked for one after the other; texts with
+    a hit are noted by two hashes of the text, and their rows left out at the
+    end, so that a task holds one block at a time."""
+    def searched(run):
+        key = [F.xxhash64("text").alias("_t1"), F.xxhash64(F.lit("text"), "text").alias("_t2")]
+        return docs.where("text IS NOT NULL").select(*key, "text").mapInArrow(run, "_t1 long, _t2 long")
+
+    found = []
     for block in item_blocks(benchmark):
         def run(batches, block=block):
             items = Items(block, max_edits)
             for b in batches:
-                keep = np.ones(b.num_rows, bool)
-                keep[[d for d, _, _, _ in _chunk_hits(items, text_bytes(b.column("text")))]] = False
-                yield b.filter(pa.array(keep))
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+                rows = pa.array(sorted({d for d, _, _, _ in _chunk_hits(items, text_bytes(b.column("text")))}), pa.int64())
+                yield b.select(["_t1", "_t2"]).take(rows)
+        found.append(saved(searched(run).distinct(), "leaks"))
+    if not found:
+        return docs
+    gone = found[0]
+    for f in found[1:]:
+        gone = gone.unionAll(f)
+    gone = F.broadcast(gone) if sum(f.count() for f in found) <= BROADCAST_KEYS else gone
+    on = [F.xxhash64(docs["text"]) == gone["_t1"], F.xxhash64(F.lit("text"), docs["text"]) == gone["_t2"]]
+    return docs.join(gone, on, "left_anti")

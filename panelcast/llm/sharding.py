@@ -67,11 +67,12 @@ def sharded(rows: DataFrame, key: str, tree: Sequence[Shard], *, grown: Sequence
 
     ``slot`` numbers a shard's rows from 0 without gaps.  It is the row's
     place within its hashed part of the shard plus the sizes of the parts
-    before, so no task orders a whole shard.  ``grown_shard`` is the shard
+    before, so no task orders a whole shard, nor all rows of one key unless
+    they are alike in the carried columns too.  ``grown_shard`` is the shard
     under the tree ``grown`` (null without one).  Ties in the slot order go by
     the carried columns; rows equal in all of them are interchangeable.
     """
-    part = F.shiftrightunsigned(F.xxhash64(F.lit("slot"), F.col(key)), 64 - SLOT_BITS).cast("int")
+    part = F.shiftrightunsigned(F.xxhash64(F.lit("slot"), F.col(key), *map(F.col, carry)), 64 - SLOT_BITS).cast("int")
     # A column of the input that is called like a result is dropped first.
     rows = rows.select(key, *carry)
     placed = rows.withColumns({

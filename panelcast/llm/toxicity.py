@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.llm.common import held_out, text_bytes
-from panelcast.llm.quality import training_ids
+from panelcast.llm.quality import training_ids, training_texts
 
 #: Features: hashed character n-grams of these lengths, at a byte each.
 GRAMS, BITS = (3, 4, 5), 18
@@ -63,20 +63,24 @@ def train(bags: list[np.ndarray], labels: np.ndarray, *, alpha: float = 1.0, epo
     return {"v": (w * r).astype(np.float32), "bias": float(bias)}
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, folds: int = 4, fold: int = 2, max_docs: int = 4000) -> dict:
-    """A model from at most ``max_docs`` labelled documents (bound of what the
-    driver gets: their distinct feature numbers, some 50 MB)."""
+def fit(docs: DataFrame, labels: DataFrame, *, folds: int = 4, fold: int = 2, max_docs: int = 4000,
+        max_features: int = 1 << 14) -> dict:
+    """A model from at most ``max_docs`` labelled documents, one text for each,
+    and of a text at most ``max_features`` distinct features, those that come
+    first when the numbers are mixed (bound of what the driver gets: four bytes
+    a feature; some 50 MB for the test tables).  Scores see every feature."""
     ids = training_ids(labels, "toxic", folds, fold, max_docs)
 
     def run(batches):
         seen = np.zeros(1 << BITS, np.int32)
         for b in batches:
             for i, y, t in zip(b.column("doc_id").to_pylist(), b.column("y").to_pylist(), text_bytes(b.column("text"))):
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([y], pa.int32()), pa.array([features(t, seen).astype(np.int32).tobytes()], pa.binary())], names=["doc_id", "y", "x"])
+                x = features(t, seen)
+                if len(x) > max_features:
+                    x = x[np.argsort(x * 40503 % (1 << BITS))[:max_features]]  # an odd factor: no ties
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([y], pa.int32()), pa.array([x.astype(np.int32).tobytes()], pa.binary())], names=["doc_id", "y", "x"])
 
-    # At most max_docs ids of 16 bytes: safe to broadcast.
-    chosen = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")
-              .select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, x binary").collect())
+    chosen = training_texts(docs, ids).mapInArrow(run, "doc_id long, y int, x binary").collect()
     chosen.sort(key=lambda r: (r.doc_id, bytes(r.x)))
     y = np.array([r.y for r in chosen], float)
     if len(set(y.tolist())) < 2:
