@@ -20,9 +20,9 @@ WORD_PIECES = "word_bpe_49k.json"
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files of source trees: directory source/thousands/hundreds
-    of the doc_id; texts of up to 400 characters play licence files."""
+    of the doc_id; texts whose first line names a licence play licence files."""
     docs = read(spark, sf_dir, "documents")
-    name = F.when(F.length("text") <= 400, F.concat(F.lit("LICENSE-"), F.col("doc_id"))).otherwise(F.concat("doc_id", F.lit(".txt")))
+    name = F.when(F.col("text").rlike(r"(?i)\A[^\n]*licen[cs]e"), F.concat(F.lit("LICENSE-"), F.col("doc_id"))).otherwise(F.concat("doc_id", F.lit(".txt")))
     path = F.concat_ws("/", "source", F.floor(F.col("doc_id") / 1000), F.floor(F.col("doc_id") / 100), name)
     return licenses.scan(docs.select("doc_id", path.alias("path"), "text"), carry=["doc_id"])
 
