@@ -1,0 +1,148 @@
+"""Each stage of the pipeline against a brute-force version with the
+pipeline's own parameters, on what the stage before it has kept."""
+
+import glob
+import os
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+
+import corpus_pipeline as P
+from panelcast.llm import bpe, decontam, line_dedup, quality
+from panelcast.llm.common import scratch_dir
+
+SF = "/root/testdata/sf0.001"
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+class Groups:
+    """Union of items, each known by the smallest of its group."""
+
+    def __init__(self):
+        self.up = {}
+
+    def find(self, a):
+        while self.up.get(a, a) != a:
+            a = self.up[a]
+        return a
+
+    def link(self, a, b):
+        a, b = self.find(a), self.find(b)
+        self.up[max(a, b)] = min(a, b)
+
+
+def lines_removed(rows):
+    """Rows (doc_id, text, ..., n_chars) after the line dedup.  Lines meet by
+    a common entry of their sketches; all pairs of an entry are compared."""
+    seen = defaultdict(list)
+    for i, t, *_ in rows:
+        if i is not None and t is not None:
+            for n, x in enumerate(line_dedup.normal_lines(t.encode())):
+                if x and (i, n) not in seen[x]:
+                    seen[x].append((i, n))
+    keys = sorted(seen)
+    entries, counts = line_dedup.gram_sketches(keys, line_dedup.SKETCH, 0.8)
+    holders, groups, tried = defaultdict(list), Groups(), set()
+    for k, part in enumerate(np.split(entries, np.cumsum(counts)[:-1])):
+        for e in part.tolist():
+            for other in holders[e]:
+                a, b = keys[other], keys[k]
+                if (other, k) not in tried and min(len(a), len(b)) >= 0.8 * max(len(a), len(b)):
+                    tried.add((other, k))
+                    if line_dedup.edit_distance(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9:
+                        groups.link(other, k)
+            holders[e].append(k)
+    first = {}
+    for k, x in enumerate(keys):
+        g = groups.find(k)
+        first[g] = min([*seen[x], *([first[g]] if g in first else [])])
+    gone = {at for k, x in enumerate(keys) for at in seen[x] if at != first[groups.find(k)]}
+    out = []
+    for i, t, *others, size in rows:
+        left = None if t is None else [x for n, x in enumerate(t.split("\n")) if (i, n) not in gone]
+        if t is None or len(left) == t.count("\n") + 1:
+            out.append((i, t, *others, size))
+        elif re.search(r"\S", "\n".join(left), re.ASCII):
+            out.append((i, "\n".join(left), *others, len("\n".join(left))))
+    return out
+
+
+def near_copies_removed(rows):
+    """All pairs of sets of five-word shingles."""
+    sets, groups = {}, Groups()
+    for i, t, *_ in rows:
+        w = [x for x in re.split("[\x20\x09-\x0d]+", re.sub("[A-Z]+", lambda m: m[0].lower(), t or "")) if x]
+        if i is not None and w:
+            sets[i] = {tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))}
+    ids = sorted(sets)
+    for n, a in enumerate(ids):
+        for b in ids[:n]:
+            x, y = sets[a], sets[b]
+            if 10 * min(len(x), len(y)) >= 8 * max(len(x), len(y)) and 100 * len(x & y) >= 80 * len(x | y):
+                groups.link(a, b)
+    return [r for r in rows if r[0] not in sets or groups.find(r[0]) == r[0]]
+
+
+def leaks_removed(rows, items):
+    """Every item against every whole text."""
+    items = {n for t in items if t and (n := decontam.normal(t.encode()))}
+    leaks = {}
+    for t in {r[1] for r in rows if r[1]}:
+        text = decontam.normal(t.encode())
+        leaks[t] = any(decontam.best_match(x, text, len(x) // 10) is not None for x in items)
+    return [r for r in rows if not leaks.get(r[1])]
+
+
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    """The smallest test tables, with odd rows, fuzzy copies and passages."""
+    folder = str(tmp_path_factory.mktemp("tables"))
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(COLUMNS)
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    texts = [r.text for r in docs.orderBy("doc_id").collect() if 300 < len(r.text) < 2500]
+    item = bench.orderBy("item_id").first().text
+    changed = texts[3].split(" ")
+    changed[7:8] = ["another"]
+    odd = [(None, "a text without an id, whose words nobody else has"), (9001, None), (9002, ""), (9003, " \n\t"), (9004, texts[0]), (9004, texts[0]),
+           (9005, " ".join(changed)), (9006, texts[5] + "\n" + texts[6].upper()), (9007, f"{texts[8]}\nas said: {item.upper()} and so on"),
+           (9008, f"{texts[9]} {item[:40]}x{item[42:]}"), (9009, item[: len(item) // 2])]
+    spark.createDataFrame([(i, t, "en", None, None if t is None else len(t)) for i, t in odd], docs.schema).union(docs).write.parquet(f"{folder}/documents.parquet")
+    bench.union(spark.createDataFrame([(None, item), (777, None), (778, "")], bench.schema)).write.parquet(f"{folder}/benchmark.parquet")
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{folder}/labels.parquet")
+    return folder
+
+
+def test_stages_by_brute_force(spark, tables):
+    before = set(glob.glob(f"{scratch_dir(spark).removeprefix('file:')}/pipeline-*"))
+    out = P.run(spark, tables).collect()
+    base, = set(glob.glob(f"{scratch_dir(spark).removeprefix('file:')}/pipeline-*")) - before
+    kept = {}
+    for name, _ in P.STAGES[:-1]:
+        stored = spark.read.parquet(f"{base}/{name}")
+        assert stored.columns == COLUMNS
+        kept[name] = [tuple(r) for r in stored.collect()]
+    docs, labels = spark.read.parquet(f"{tables}/documents.parquet"), spark.read.parquet(f"{tables}/labels.parquet")
+    model = quality.fit(docs, labels)  # its scores against plain loops: test_edges
+    rows = [tuple(r) for r in docs.collect()]
+    scores = quality.score_texts(model, [(r[1] or "").encode() for r in rows])
+    assert Counter(kept["quality_classifier"]) == Counter(r for r, s in zip(rows, scores) if s >= 0.3)
+    assert Counter(kept["line_dedup"]) == Counter(lines_removed(kept["quality_classifier"]))
+    assert Counter(kept["minhash_dedup"]) == Counter(near_copies_removed(kept["line_dedup"]))
+    items = [r.text for r in spark.read.parquet(f"{tables}/benchmark.parquet").collect()]
+    assert Counter(kept["benchmark_decontamination"]) == Counter(leaks_removed(kept["minhash_dedup"], items))
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    plain = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = Counter((i, tuple(plain.encode_ordinary(t or ""))) for i, t, *_ in kept["benchmark_decontamination"])
+    assert Counter((r.doc_id, tuple(r.ids)) for r in out) == want and all(r.n_tokens == len(r.ids) for r in out)
+    sizes = [len(rows), *(len(kept[name]) for name, _ in P.STAGES[:-1])]
+    assert sizes[0] > sizes[1] >= sizes[2] > sizes[4] and len(out) == sizes[4]  # decisions take effect
+
+
+def test_no_documents(spark, tables, tmp_path):
+    for name in ("documents", "benchmark", "labels"):
+        spark.read.parquet(f"{tables}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert P.run(spark, str(tmp_path)).collect() == []
