@@ -45,7 +45,7 @@ from panelcast.operators.profile import (
 )
 from panelcast.operators.share import breakdown, collapse_small, distribution, equals, group_share, pivot_share
 from panelcast.sources.sinks import checkpoint_dir
-from panelcast.sources.store import Results, write_bridge, write_bucketed
+from panelcast.sources.store import Results, bucket_count, write_bridge, write_bucketed
 from panelcast.sources.tables import table
 
 # Category values of the test tables used as parameters.
@@ -165,16 +165,20 @@ def q_fanout_breakdowns(spark, d):
     return out.select("dim", "value", _r("average", 4), "cnt")
 
 
+#: Buckets of small tables; larger ones have more.
 BUCKETS = 8
 
 
-def bucketed_inputs(spark, d, buckets=BUCKETS):
-    """(orders, bridges) as tables bucketed by the order, in the shared folder."""
+def bucketed_inputs(spark, d, buckets=None):
+    """(orders, bridges) as tables bucketed by the order, in the shared folder,
+    in as many buckets as their rows ask for unless the number is given."""
     run = uuid.uuid4().hex
     root = f"{checkpoint_dir(spark)}/bucketed-{run}"
-    o = write_bucketed(table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority"),
+    orders, lines = table(spark, d, "orders"), table(spark, d, "lineitem")
+    buckets = buckets or bucket_count(orders, lines, least=BUCKETS)
+    o = write_bucketed(orders.select("o_orderkey", "o_totalprice", "o_orderpriority"),
                        f"orders_{run}", f"{root}/orders", ["o_orderkey"], buckets)
-    li = write_bridge(table(spark, d, "lineitem"), "l_orderkey", ["l_suppkey", "l_partkey"], f"lineitem_{run}", f"{root}/lineitem", buckets)
+    li = write_bridge(lines, "l_orderkey", ["l_suppkey", "l_partkey"], f"lineitem_{run}", f"{root}/lineitem", buckets)
     return o, [
         Bridge("s_name", li, "l_orderkey", "l_suppkey", table(spark, d, "supplier"), "s_suppkey", "s_name", mult="mult"),
         Bridge("p_type", li, "l_orderkey", "l_partkey", table(spark, d, "part"), "p_partkey", "p_type", mult="mult"),

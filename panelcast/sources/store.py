@@ -2,7 +2,8 @@
 
 ``write_bucketed`` lays a table out by the hash of its key, so that counts by
 the key and joins on it need no shuffle; ``write_bridge`` does so for a
-multi-valued answer, whose equal rows become one with a count first.
+multi-valued answer, whose equal rows become one with a count first;
+``bucket_count`` says how many buckets tables of a size need.
 ``Results`` keeps results by operator, arguments and the versions of the input
 files: the same call finds the stored copy, a changed input is computed anew.
 All files lie in folders that the caller names on shared storage.
@@ -21,11 +22,23 @@ from pyspark.sql import functions as F
 from panelcast.functions.missing import qcol
 from panelcast.sources.sinks import write_result
 
+#: Rows of a bucket: one task sorts, counts and joins a bucket's rows.
+ROWS_PER_BUCKET = 1_000_000
+
 
 def _sql_name(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def bucket_count(*tables: DataFrame, least: int = 1) -> int:
+    """How many buckets the tables, which shall join, need: the largest has
+    about ROWS_PER_BUCKET rows in each, so that a task's memory stays the same
+    when the tables grow.  Rows of Parquet files are counted by their footers."""
+    most = max(t.count() for t in tables)
+    allowed = int(tables[0].sparkSession.conf.get("spark.sql.sources.bucketing.maxBuckets"))
+    return min(max(least, -(-most // ROWS_PER_BUCKET)), allowed)
+
+
 def write_bucketed(df: DataFrame, name: str, path: str, keys: Sequence[str], buckets: int) -> DataFrame:
     """Store ``df`` at ``path`` as the table ``name``, bucketed and sorted by
     ``keys``, and return the table.

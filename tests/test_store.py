@@ -7,9 +7,9 @@ import uuid
 import pytest
 
 from panelcast.operators import Bridge, fanout_base, fanout_breakdowns, grouped_avg, label_counts
-from panelcast.plans.testbed import bucketed_inputs
+from panelcast.plans.testbed import BUCKETS, bucketed_inputs, q_bucketed_avg_by_item
 from panelcast.session import runtime_filter_conf
-from panelcast.sources import Results, read_bucketed, table, write_bridge, write_bucketed
+from panelcast.sources import Results, bucket_count, read_bucketed, store, table, write_bridge, write_bucketed
 from paths import SF001, SF01
 
 
@@ -102,6 +102,47 @@ def test_bucketed_table_read_by_another_session(spark, tmp_path, no_broadcast):
         write_bucketed(df, name("t"), path, [], 4)
 
 
+@pytest.fixture
+def small_orders(spark, tmp_path):
+    """A folder of tables with 300 orders of three lines each, one line twice,
+    and the same rows as lists: orders (key, price, priority), lines (key, part)."""
+    orders = [(o, 100.0 + o, "12"[o % 2]) for o in range(300)]
+    lines = [(o, p, o % 4) for o in range(300) for p in (o % 5, o % 5, (o + 2) % 5)]
+    types = ["PROMO", "SMALL", "LARGE", "SMALL", "MEDIUM"]
+    for what, rows, schema in (
+            ("orders", orders, "o_orderkey long, o_totalprice double, o_orderpriority string"),
+            ("lineitem", lines, "l_orderkey long, l_partkey long, l_suppkey long"),
+            ("part", list(enumerate(types)), "p_partkey long, p_type string"),
+            ("supplier", [(i, f"S{i}") for i in range(4)], "s_suppkey long, s_name string")):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{what}.parquet")
+    return str(tmp_path), orders, [(o, types[p]) for o, p, _ in lines]
+
+
+def test_buckets_grow_with_rows(spark, small_orders, monkeypatch):
+    d, _, _ = small_orders
+    li, o = table(spark, d, "lineitem"), table(spark, d, "orders")
+    assert bucket_count(o, li) == 1 and bucket_count(o, li, least=BUCKETS) == BUCKETS
+    monkeypatch.setattr(store, "ROWS_PER_BUCKET", 70)
+    assert bucket_count(o, li) == 13 and bucket_count(o) == 5 and bucket_count(li.limit(0)) == 1
+    o, bridges = bucketed_inputs(spark, d)
+    for counts in (o.groupBy("o_orderkey").count(), bridges[0].df.groupBy("l_orderkey").count()):
+        assert "SelectedBucketsCount: 13 out of 13" in plan(counts)
+
+
+def test_means_from_many_buckets(spark, small_orders, monkeypatch):
+    monkeypatch.setattr(store, "ROWS_PER_BUCKET", 70)
+    d, orders, lines = small_orders
+    # Every line of an order meets each of its three lines at the suppliers.
+    prices = {o: m for o, m, _ in orders}
+    want = {}
+    for o, kind in lines:
+        want.setdefault(kind, []).extend([prices[o]] * 3)
+    got = q_bucketed_avg_by_item(spark, d)
+    assert "SelectedBucketsCount: 13 out of 13" in plan(got)
+    assert {r.p_type: r.average_salary for r in got.collect()} == {
+        k: pytest.approx(sum(v) / len(v), abs=1e-4) for k, v in want.items() if k != "PROMO"}
+
+
 def test_empty_bucketed_table(spark, tmp_path):
     none = spark.createDataFrame([], "e long, i long")
     stored = write_bridge(none, "e", ["i"], name("b"), str(tmp_path / "none"), 4)
