@@ -3,11 +3,12 @@
 import os
 import re
 import uuid
+from collections import Counter
 
 import pytest
 
 from panelcast.operators import Bridge, fanout_base, fanout_breakdowns, grouped_avg, label_counts
-from panelcast.plans.testbed import BUCKETS, bucketed_inputs, q_bucketed_avg_by_item
+from panelcast.plans.testbed import BUCKETS, bucketed_inputs, q_bucketed_avg_by_item, q_bucketed_pair_flows
 from panelcast.session import runtime_filter_conf
 from panelcast.sources import Results, bucket_count, read_bucketed, store, table, write_bridge, write_bucketed
 from paths import SF001, SF01
@@ -143,6 +144,15 @@ def test_means_from_many_buckets(spark, small_orders, monkeypatch):
         k: pytest.approx(sum(v) / len(v), abs=1e-4) for k, v in want.items() if k != "PROMO"}
 
 
+def test_flows_from_many_buckets(spark, small_orders, monkeypatch):
+    monkeypatch.setattr(store, "ROWS_PER_BUCKET", 70)
+    d, orders, lines = small_orders
+    priority = {o: p for o, _, p in orders}
+    got = q_bucketed_pair_flows(spark, d)
+    assert "SelectedBucketsCount: 13 out of 13" in plan(got)
+    assert {(r.source, r.target): r["count"] for r in got.collect()} == Counter((priority[o], kind) for o, kind in lines)
+
+
 def test_empty_bucketed_table(spark, tmp_path):
     none = spark.createDataFrame([], "e long, i long")
     stored = write_bridge(none, "e", ["i"], name("b"), str(tmp_path / "none"), 4)
