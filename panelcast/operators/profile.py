@@ -15,7 +15,8 @@ table.  It is written once as a reliable checkpoint in the shared
 depend on how the input is partitioned.
 
 ``fit_clusters``, ``cluster_profiles``, ``principal_components``,
-``project_2d`` and ``silhouette_sweep`` run jobs when called.
+``project_2d`` and ``silhouette_sweep`` run jobs when called, and so does
+``second_moments`` without ``dim``.
 """
 
 from __future__ import annotations
@@ -220,12 +221,14 @@ def second_moments(vectors: DataFrame, features_col: str = "features", weight_co
 
     So (0, 0) is the number of rows, (0, j) the sum of dimension j (from 1),
     and the rest the Gram matrix: one pass over the distinct vectors, one row
-    per dimension and task in the shuffle.  ``dim`` is the vectors' length
-    (read off one row if not given); vectors of another length are left out.
-    No rows for an empty input.
+    per dimension and task in the shuffle.  ``dim`` is the vectors' length;
+    vectors of another length are left out.  If it isn't given, the distinct
+    vectors are stored and it is read off one of them, so that ``vectors`` are
+    worked out once.  No rows for an empty input.
     """
     rows = distinct_vectors(vectors, features_col, weight_col)
     if dim is None:
+        rows = materialize(rows)
         one = rows.select(F.size("features").alias("n")).head()
         dim = one["n"] if one else 0
     x = F.concat(F.array(F.lit(1.0)), F.col("features"))
@@ -252,15 +255,16 @@ class Components:
         return spark.createDataFrame(rows, "component int, eigenvalue double, explained double, idx int, loading double")
 
 
-def principal_components(vectors: DataFrame, k: int = 2, features_col: str = "features", weight_col: str | None = None) -> Components:
+def principal_components(vectors: DataFrame, k: int = 2, features_col: str = "features", weight_col: str | None = None,
+                         dim: int | None = None) -> Components:
     """The first ``k`` principal components from the second moments (M8): the
     driver gets (dim + 1)^2 sums, whatever the number of rows, and solves for
-    the eigenvectors.
+    the eigenvectors.  ``dim`` as in :func:`second_moments`.
 
     Component signs are arbitrary in any PCA; they are fixed so that each
     component's largest-magnitude loading is positive.
     """
-    cells = second_moments(vectors, features_col, weight_col).collect()
+    cells = second_moments(vectors, features_col, weight_col, dim).collect()
     if not cells:
         raise ValueError("no vectors")
     m = np.zeros((max(c["i"] for c in cells) + 1,) * 2)

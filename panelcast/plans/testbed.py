@@ -44,7 +44,7 @@ from panelcast.operators.profile import (
     silhouette_sweep,
 )
 from panelcast.operators.share import breakdown, collapse_small, distribution, equals, group_share, pivot_share
-from panelcast.sources.sinks import checkpoint_dir
+from panelcast.sources.sinks import checkpoint_dir, materialize
 from panelcast.sources.store import Results, bucket_count, write_bridge, write_bucketed
 from panelcast.sources.tables import table
 
@@ -515,10 +515,12 @@ def q_cluster_proof(spark, d):
 def q_components_proof(spark, d):
     """The principal components against the covariance worked out in SQL from
     the second moments: per component the trace and the entries of
-    covariance * v - eigenvalue * v that are not 0."""
-    v = normalized(_order_vectors(spark, d))
-    comps = principal_components(v, 2, "normalized_features").table(spark)
-    m = second_moments(v, "normalized_features")
+    covariance * v - eigenvalue * v that are not 0.  The distinct vectors are
+    stored, so the orders and their lines are read once for both."""
+    v = materialize(distinct_vectors(normalized(_order_vectors(spark, d)), "normalized_features"))
+    dim = len(PART_TYPES + PRIORITIES)
+    comps = principal_components(v, 2, "features", "weight", dim).table(spark)
+    m = materialize(second_moments(v, "features", "weight", dim))
     n = m.filter("i = 0 AND j = 0").select("value").scalar()
     left = m.filter("j = 0 AND i > 0").select("i", F.col("value").alias("left"))
     right = m.filter("i = 0 AND j > 0").select("j", F.col("value").alias("right"))

@@ -259,3 +259,51 @@ def test_second_moments_and_components(spark):
     for r in project_2d(df, "id", "features").collect():
         assert np.allclose(np.abs([r.pca_x, r.pca_y]), np.abs(theirs[r.id]), atol=1e-9)
     assert second_moments(df.limit(0)).collect() == []
+
+
+def test_second_moments_work_out_their_input_once(spark):
+    sc = spark.sparkContext
+    worked = sc.accumulator(0)
+
+    def noted(r):
+        worked.add(1)
+        return r
+
+    rows = sc.parallelize([([float(i % 3), float(i % 2)],) for i in range(60)], 4).map(noted)
+    df = spark.createDataFrame(rows, "features array<double>")
+    got = {(r.i, r.j): r.value for r in second_moments(df).collect()}
+    assert worked.value == 60
+    assert got[0, 0] == 60 and got[1, 2] == sum((i % 3) * (i % 2) for i in range(60)) == got[2, 1]
+
+
+def test_components_proof_reads_each_table_once(spark, tmp_path, monkeypatch):
+    from panelcast.operators import profile
+    from panelcast.plans import testbed
+    from panelcast.sources import sinks
+
+    kinds, priorities = testbed.PART_TYPES, testbed.PRIORITIES
+    for what, rows, schema in (
+            ("orders", [(o, priorities[o % 5]) for o in range(80)], "o_orderkey long, o_orderpriority string"),
+            ("lineitem", [(o, p) for o in range(80) for p in {o % 6, o // 7 % 6}], "l_orderkey long, l_partkey long"),
+            ("part", list(enumerate(kinds)), "p_partkey long, p_type string")):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{what}.parquet")
+    plans = []
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return df
+
+    # What is stored, what the driver gets, and the result.
+    for module in (profile, testbed):
+        monkeypatch.setattr(module, "materialize", lambda df, path=None: sinks.materialize(seen(df), path))
+        monkeypatch.setattr(module, "second_moments", lambda *a, f=module.second_moments, **k: seen(f(*a, **k)))
+    rows = seen(testbed.q_components_proof(spark, str(tmp_path))).collect()
+    assert len(plans) == 5 and [p.count("parquet") for p in plans] == [3, 0, 0, 0, 0], plans
+    x = np.zeros((80, 11))
+    for o in range(80):
+        for p in {o % 6, o // 7 % 6}:
+            x[o, p] = 1
+        x[o, 6 + o % 5] = 1
+    trace = np.trace(np.cov((x / np.sqrt((x * x).sum(1))[:, None]).T))
+    assert [(r.component, r.dims, r.n_off) for r in sorted(rows)] == [(1, 11, 0), (2, 11, 0)]
+    assert all(r.trace == pytest.approx(trace, abs=1e-6) and r.length == 1 for r in rows)
