@@ -480,7 +480,7 @@ def q_silhouette_labels(spark, d):
 
 def q_second_moments(spark, d):
     v = normalized(_order_vectors(spark, d))
-    return second_moments(v, "normalized_features").select("i", "j", _r("value", 4))
+    return second_moments(v, "normalized_features", dim=len(PART_TYPES + PRIORITIES)).select("i", "j", _r("value", 4))
 
 
 def q_cluster_centres(spark, d):
