@@ -50,7 +50,12 @@ def write_bucketed(df: DataFrame, name: str, path: str, keys: Sequence[str], buc
     """
     if buckets < 1 or not keys:
         raise ValueError("need keys and at least one bucket")
-    (df.repartition(buckets, *[qcol(k) for k in keys]).write.mode("overwrite").format("parquet")
+    return _stored(df.repartition(buckets, *[qcol(k) for k in keys]), name, path, keys, buckets)
+
+
+def _stored(df: DataFrame, name: str, path: str, keys: Sequence[str], buckets: int) -> DataFrame:
+    """The table of ``df``, whose partitions are the buckets."""
+    (df.write.mode("overwrite").format("parquet")
      .bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(_sql_name(name)))
     return df.sparkSession.table(_sql_name(name))
 
@@ -72,11 +77,19 @@ def write_bridge(bridge: DataFrame, key: str, items: Sequence[str], name: str, p
     each combination of items, for ``Bridge(mult=...)`` and
     ``label_counts(mult=...)``.
 
-    The counts combine before the shuffle, so an entity with a third of all
-    rows adds at most a row per task and combination to its bucket.
+    Rows are dealt over as many tasks as there are buckets and counted there, so
+    no task counts a whole split of the input, most of whose rows differ.  Equal
+    rows meet by the split that they come from, so a combination with a third of
+    all rows is spread over tasks, and an entity adds at most a row per split and
+    combination to its bucket, where these add up.
     """
-    rows = bridge.groupBy(qcol(key), *[qcol(i) for i in items]).agg(F.count(F.lit(1)).alias(mult))
-    return write_bucketed(rows, name, path, [key], buckets)
+    if buckets < 1:
+        raise ValueError("need at least one bucket")
+    by = [qcol(key), *[qcol(i) for i in items]]
+    rows = bridge.select(*by, F.spark_partition_id().alias("_split"))
+    counts = rows.repartition(buckets, *by, "_split").groupBy(*by, "_split").agg(F.count(F.lit(1)).alias(mult))
+    whole = counts.repartition(buckets, qcol(key)).groupBy(*by).agg(F.sum(qcol(mult)).alias(mult))
+    return _stored(whole, name, path, [key], buckets)
 
 
 class Results:
