@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.llm.common import WordHasher, chunks, gram_hashes, longs, matching, mixed, saved, text_bytes
-from panelcast.llm.graph import bucket_components
+from panelcast.llm.graph import bucket_components, one_by_one
 
 #: Hashes compared at a time by the verification.
 BATCH = 24
@@ -136,7 +136,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: int = 80,
 
     comps = bucket_components(
         members, ["band", "key"], reps.select("id", "sig"), plausible(similarity / 100, miss, bands * rows),
-        lambda ids: set_bodies(docs, ids, shingle), sets_similar(similarity))
+        lambda ids: set_bodies(docs, ids, shingle), one_by_one(sets_similar(similarity)))
     named = (reps.select("h1", "h2", "n_shingles", "id").join(comps, "id", "left")
              .select("h1", "h2", "n_shingles", F.coalesce("comp", "id").alias("component_id")))
     return (s.select("doc_id", "n_shingles", "h1", "h2").join(named, ["h1", "h2", "n_shingles"], "left")
